@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from . import chat, quality
+from . import chat, html_text, packing, quality, secrets, simhash
 from .common import table
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scans(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark, sf_dir):
     return chat.digest(chat.probe_rows(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op5_packing, op6_simhash, op8_secret_scans, op7_quality_rules, op10_chat_formatting)}
 ORACLES = {"op7_quality_rules": quality.REPORT_SQL, "op10_chat_formatting": chat.DIGEST_SQL}
