@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, packing, quality, secrets, simhash
+from . import chat, html_text, minhash, mixing, packing, quality, secrets, simhash
 from .common import table
 
 
+def op1_mixing_sources(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_document_fingerprints(spark, sf_dir):
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.digest(chat.probe_rows(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op5_packing, op6_simhash, op8_secret_scans, op7_quality_rules, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_mixing_sources, op2_html_extraction, op4_document_fingerprints, op5_packing, op6_simhash, op8_secret_scans, op7_quality_rules, op10_chat_formatting)}
 ORACLES = {"op7_quality_rules": quality.REPORT_SQL, "op10_chat_formatting": chat.DIGEST_SQL}
