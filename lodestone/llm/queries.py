@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, minhash, mixing, packing, quality, secrets, simhash
+import corpus_pipeline
+
+from . import chat, html_text, minhash, mixing, packing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -34,9 +36,14 @@ def op8_secret_scans(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark, sf_dir):
     return chat.digest(chat.probe_rows(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing_sources, op2_html_extraction, op4_document_fingerprints, op5_packing, op6_simhash, op8_secret_scans, op7_quality_rules, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_mixing_sources, op2_html_extraction, op4_document_fingerprints, op5_packing, op6_simhash, op8_secret_scans, op7_quality_rules, op9_pii_surrogates, op10_chat_formatting)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op7_quality_rules": quality.REPORT_SQL, "op10_chat_formatting": chat.DIGEST_SQL}
