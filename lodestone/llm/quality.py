@@ -132,6 +132,8 @@ def cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     for rule, _, _ in measured_order(docs, text, rules, sample_rows):
         df = rule.metrics(df, _c("kept"))
         df = df.withColumn(OWN + "kept", _c("kept") & ~F.coalesce(rule.rejects(), F.lit(False)))
+    # the verdict leaves through a generator: no filter on it is pushed below, which would inline all the stages into itself
+    df = df.withColumn(OWN + "kept", F.explode(F.array(_c("kept"))))
     return df.drop(*(c for c in _own_columns(df) if c != OWN + "kept"))
 
 
