@@ -1,6 +1,733 @@
-"""Queries and oracle SQL of the retrieval operators, by name."""
+"""The retrieval operators as registered queries over the given tables, with DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import chunking, encoders, text
+from .operators import answers, dictionaries, filters, frontmatter, latency, normalize, pages, search, store
+from .sources.fixtures import view, with_views
+from .streaming import jobs
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: Question vectors of the searches: stored vectors of the first points.
+ASKED = "select point_id as question_id, vector as qvec from point_v where point_id < 50"
+
+
+def query(oracle: str | None = None, views: tuple[str, ...] = ()):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = (with_views(*views) + oracle) if views else oracle
+        return f
+
+    return register
+
+
+# --- sources and pages ------------------------------------------------------------------------------------------------
+
+
+@query(" select distinct source from front_v where source like '%.pdf' order by source limit 10", ("front_v",))
+def select_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.select_sources(view(spark, sf, "front_v"), "limit")
+
+
+@query(" select source, page_number, total_pages, content from page_v where regexp_matches(content, '\\S')", ("page_v",))
+def page_table(spark, sf):
+    return pages.page_table(view(spark, sf, "documents"))
+
+
+@query(" select source, page_number, total_pages, content from front_v where regexp_matches(content, '\\S')", ("front_v",))
+def drop_blank(spark, sf):
+    return pages.drop_blank(view(spark, sf, "front_v"))
+
+
+def _chunks(spark, sf) -> DataFrame:
+    return chunking.chunked(view(spark, sf, "page_v"))
+
+
+@query()
+def chunk_pages(spark, sf):
+    return _chunks(spark, sf)
+
+
+@query()
+def chunk_stats(spark, sf):
+    n = F.length("content")
+    return _chunks(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.round(F.avg(n), 4).alias("mean_chars"), F.max(n).alias("max_chars"))
+
+
+@query()
+def chunk_preview(spark, sf):
+    return pages.preview(_chunks(spark, sf))
+
+
+def _page_points(df: DataFrame) -> DataFrame:
+    """Whole pages as points, without splitting: what SQL can follow."""
+    return df.withColumn("chunk_index", F.lit(0))
+
+
+@query(" select source, page_number, content, sha256(concat_ws(chr(31), source, cast(page_number as varchar), '0', content)) as point_id from page_v where page_number > 10", ("page_v",))
+def upsert_points(spark, sf):
+    all_ = _page_points(view(spark, sf, "page_v"))
+    held = store.new_points(all_.filter("page_number <= 10"), None)
+    return store.new_points(all_, held).select("source", "page_number", "content", "point_id")
+
+
+@query(" select count(*) as n_points, min(len(vector))::INT as min_dim, max(len(vector))::INT as max_dim from point_v", ("point_v",))
+def vector_dim_check(spark, sf):
+    return store.vector_dimensions(view(spark, sf, "point_v"))
+
+
+_PAYLOAD = "source, project_title, author, advisor, keywords, year"
+
+
+@query(f" select point_id, field, value from (select point_id, {_PAYLOAD} from point_v) unpivot include nulls (value for field in ({_PAYLOAD}))", ("point_v",))
+def filterable_payload(spark, sf):
+    p = view(spark, sf, "point_v").select("point_id", store.payload().alias("payload"))
+    return p.select("point_id", F.explode("payload").alias("field", "value"))
+
+
+@query(" select point_id, project_title, author, advisor from point_v order by point_id limit 1000", ("point_v",))
+def capped_terms(spark, sf):
+    return store.capped(view(spark, sf, "point_v"))
+
+
+@query("""
+  , p as (select source, count(*) as n from front_v where regexp_matches(content, '\\S') group by source)
+  select f.source, p.n as n_pages, p.n as n_chunks, p.n as n_points, 'written' as outcome from (select distinct source from front_v) f join p using (source)""", ("front_v",))
+def ingest_report(spark, sf):
+    front = view(spark, sf, "front_v")
+    kept = pages.drop_blank(front)
+    points = _page_points(kept)
+    return pages.ingest_report(pages.select_sources(front), kept, points, store.new_points(points, None))
+
+
+# --- front matter -----------------------------------------------------------------------------------------------------
+
+_FIELDS = "project_title, author, advisor, keywords, year"
+_TITLE_LIST = ", ".join(f"'{w}'" for w in frontmatter.TITLE_WORDS)
+_L = f"""
+  , l0 as (select *, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') as lines from front_v),
+  l1 as (select *, list_transform(lines, lambda x: regexp_matches(x, '(?i)^(Mr\\.|Ms\\.|Miss)\\s+[A-Z]')
+      or (upper(x) = x and lower(x) <> x and len(regexp_extract_all(x, '[A-Za-z]+')) between 2 and 3
+          and not list_has_any(list_transform(regexp_extract_all(x, '[A-Za-z]+'), lambda w: lower(w)), [{_TITLE_LIST}]))) as nm,
+    list_transform(lines, lambda x: regexp_matches(x, '(?i)\\b(BACHELOR|MASTER|DOCTOR|DIPLOMA)\\b')) as dgs from l0),
+  l2 as (select *, list_position(dgs, true) as dg from l1),
+  l3 as (select *, list_max(list_filter(range(0, dg), lambda i: i = 0 or not nm[i])) as k from l2),
+  l4 as (select *, coalesce(k > 0 and k < dg - 1, false) as ok from l3),
+  l5 as (select *, case when ok then lines[1:k] else lines[1:1] end as title_lines, case when ok then lines[k+1:dg-1] else [] end as author_lines,
+    regexp_extract(content, '(?i)\\(Project\\s+Proposal\\)') as prop from l4),
+  l6 as (select *, len(lines) > 0 and prop <> '' and not contains(lower(array_to_string(title_lines, ' ')), lower(prop)) as isprop from l5),
+  l7 as (select *, case when isprop then lines[3:10] else lines[len(title_lines)+1:len(title_lines)+8] end as cand from l6),
+  l8 as (select *, list_position(list_transform(cand, lambda x: regexp_matches(x, '(?i)Bachelor|Advisor|Keyword|Year')), true) as st from l7),
+  l9 as (select *, list_filter(case when st > 0 then cand[1:st-1] else cand end, lambda x: nm[list_position(lines, x)]) as adds from l8),
+  l10 as (select *, case when len(lines) > 0 then case when isprop then array_to_string(lines[1:2], ' ') || ' ' || prop else array_to_string(title_lines, ' ') end end as project_title,
+    nullif(array_to_string(list_concat(author_lines, list_filter(adds, lambda x: not list_contains(author_lines, x))), ', '), '') as author,
+    list_filter(list_transform(range(1, len(lines) + 1), lambda i: case when regexp_matches(lines[i], '(?i)Supervisory') then regexp_extract(array_to_string(lines[i:i+2], ' '), '(?i)Supervisory\\s+Committee\\s+(.*?)\\s+Advisor', 1) else '' end), lambda x: x <> '')[1] as adv,
+    list_filter(list_transform(list_filter(lines, lambda x: regexp_matches(x, '(?i)\\bKeywords?\\b')), lambda x: trim(regexp_replace(x, '(?i)Keywords?\\s*[:\\-]?\\s*', '', 'g'))), lambda x: x <> '') as kws,
+    nullif(regexp_extract(content, '\\b(20[12]\\d)\\b', 1), '') as year from l9),
+  m as (select source, page_number, total_pages, content, lines, nm, title_lines, author_lines, project_title, author, trim(adv, ' .:-') as advisor,
+    case when len(kws) > 0 then trim(regexp_replace(array_to_string(kws, ' '), '\\s+', ' ', 'g'), ' .') end as keywords, year from l10)
+"""
+
+
+@query(_L + " select source, page_number, array_to_string(lines, '|') as lines from m", ("front_v",))
+def page_lines(spark, sf):
+    return view(spark, sf, "front_v").select("source", "page_number", F.array_join(text.lines(F.col("content")), "|").alias("lines"))
+
+
+@query(_L + ", u as (select source, page_number, unnest(lines) as line, unnest(nm) as n from m) select source, page_number, line from u where n", ("front_v",))
+def author_like_lines(spark, sf):
+    each = view(spark, sf, "front_v").select("source", "page_number", F.explode(text.lines(F.col("content"))).alias("line"))
+    return each.filter(frontmatter.looks_like_name(F.col("line")))
+
+
+@query(_L + " select source, page_number, array_to_string(title_lines, '|') as title_lines, array_to_string(author_lines, '|') as author_lines from m", ("front_v",))
+def title_author_split(spark, sf):
+    df = frontmatter.with_title_parts(view(spark, sf, "front_v"))
+    return df.select("source", "page_number", F.array_join("title_lines", "|").alias("title_lines"), F.array_join("author_lines", "|").alias("author_lines"))
+
+
+def _field(name: str, of: str):
+    def run(spark, sf):
+        return frontmatter.with_fields(view(spark, sf, "front_v")).select("source", "page_number", of).filter(F.col(of).isNotNull())
+
+    run.__name__ = name
+    query(_L + f" select source, page_number, {of} from m where {of} is not null", ("front_v",))(run)
+
+
+for _name, _of in (("proposal_title", "project_title"), ("authors", "author"), ("advisor", "advisor"), ("keywords", "keywords"), ("year", "year")):
+    _field(_name, _of)
+
+
+@query(_L + f" select source, page_number, {_FIELDS} from m", ("front_v",))
+def page_metadata(spark, sf):
+    return frontmatter.with_fields(view(spark, sf, "front_v")).select("source", "page_number", *frontmatter.FIELDS)
+
+
+_CARRY = ", ".join(f"first_value(case when page_number <= 5 and regexp_matches(content, '\\S') then {f} end ignore nulls) over w as {f}" for f in frontmatter.FIELDS)
+
+
+@query(_L + f" select source, page_number, {_CARRY} from m window w as (partition by source order by page_number rows between unbounded preceding and current row)", ("front_v",))
+def carry_metadata(spark, sf):
+    return frontmatter.carried(frontmatter.with_fields(view(spark, sf, "front_v"))).select("source", "page_number", *frontmatter.FIELDS)
+
+
+# --- encoders ---------------------------------------------------------------------------------------------------------
+
+
+def _embed_sql(source: str, key: str, text_sql: str) -> str:
+    return f""", t as (select {key}, regexp_extract_all(lower({text_sql}), '[\\p{{L}}\\p{{N}}]+') as toks from {source}),
+      b as (select {key}, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 as bucket, count(*) as n from (select {key}, unnest(toks) as tok from t) group by all)
+      select {key}, bucket::INT as bucket, round(n / sqrt(sum(n * n) over (partition by {key})), 4) as weight from b"""
+
+
+def _sparse(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.posexplode("vector").alias("bucket", "w")).filter("w > 0").select(key, "bucket", F.round(F.col("w").cast("double"), 4).alias("weight"))
+
+
+@query(_embed_sql("point_v", "point_id", "content"), ("point_v",))
+def embed_documents(spark, sf):
+    return _sparse(encoders.embed_documents(view(spark, sf, "point_v").select("point_id", "content")), "point_id")
+
+
+@query(_embed_sql("question_v", "question_id", "'query: ' || question"), ("question_v",))
+def embed_questions(spark, sf):
+    return _sparse(encoders.embed_questions(view(spark, sf, "question_v")), "question_id")
+
+
+# --- dictionaries -----------------------------------------------------------------------------------------------------
+
+_NON_NAMES = ", ".join(f"'{w}'" for w in dictionaries.NON_NAME_WORDS)
+_PART = """, {f}p as (select distinct trim(term) as term, trim({f}) as "full" from (select {f}, unnest(string_split({f}, ',')) as term from point_v) where trim(term) <> '')"""
+_LIKELY = f"len(regexp_extract_all(term, '[A-Za-z]+')) >= 2 and not list_has_any(list_transform(regexp_extract_all(term, '[A-Za-z]+'), lambda w: lower(w)), [{_NON_NAMES}])"
+_DICTS = _PART.format(f="author") + _PART.format(f="keywords") + f""", dict as (
+  select distinct 'project_title' as field, trim(project_title) as term, [trim(project_title)] as full_values from point_v where trim(project_title) <> ''
+  union all select distinct 'advisor', trim(advisor), [trim(advisor)] from point_v where trim(advisor) <> ''
+  union all select 'author', term, list_sort(list("full")) from authorp where {_LIKELY} group by term
+  union all select 'keywords', term, list_sort(list("full")) from keywordsp group by term)"""
+
+
+def _points(spark, sf):
+    return view(spark, sf, "point_v")
+
+
+@query(_DICTS + " select term from dict where field = 'project_title'", ("point_v",))
+def dict_titles(spark, sf):
+    return dictionaries.titles(_points(spark, sf))
+
+
+def _joined_values(df):
+    return df.select("term", F.array_join("full_values", "|").alias("full_values"))
+
+
+@query(_DICTS + " select term, array_to_string(full_values, '|') as full_values from dict where field = 'author'", ("point_v",))
+def dict_authors(spark, sf):
+    return _joined_values(dictionaries.authors(_points(spark, sf)))
+
+
+@query(_DICTS + " select term from dict where field = 'advisor'", ("point_v",))
+def dict_advisors(spark, sf):
+    return dictionaries.advisors(_points(spark, sf))
+
+
+@query(_DICTS + " select term, array_to_string(full_values, '|') as full_values from dict where field = 'keywords'", ("point_v",))
+def dict_keywords(spark, sf):
+    return _joined_values(dictionaries.keywords(_points(spark, sf)))
+
+
+@query(_DICTS + f" select distinct term, ({_LIKELY}) as likely from (select term from authorp union select p_name from part union select p_type from part)", ("point_v",))
+def likely_authors(spark, sf):
+    part = view(spark, sf, "part")
+    names = _points(spark, sf).select(text.stripped(F.explode(F.split("author", ","))).alias("term"))
+    all_ = names.union(part.select("p_name")).union(part.select("p_type")).distinct()
+    return all_.select("term", dictionaries.likely_author(F.col("term")).alias("likely"))
+
+
+@query(_DICTS + " select field, count(*) as n_terms from dict group by field union all select 'records', count(*) from point_v", ("point_v",))
+def dict_summary(spark, sf):
+    return dictionaries.summary(_points(spark, sf))
+
+
+_TERMS = """, terms as (select distinct lower(trim(regexp_replace(v, '\\s+', ' ', 'g'))) as term from (select unnest([project_title, author, advisor]) as v from point_v) where v is not null)"""
+_TOKENS = "select distinct token from (select unnest(regexp_extract_all(lower(term), '[a-z0-9]+')) as token from {t}) where length(token) > 2 and token not in (" + ", ".join(f"'{w}'" for w in dictionaries.STOP_WORDS) + ")"
+_PROTECTED = _TERMS + ", phrases as (select term from terms union select lower(unnest([alias, canonical])) from aliases where kind in ('advisor', 'staff')), ptok as (" + _TOKENS.format(t="phrases") + ")"
+
+
+@query(_TERMS + " select term from terms where term <> ''", ("point_v",))
+def metadata_terms(spark, sf):
+    return dictionaries.terms(_points(spark, sf))
+
+
+@query(_TERMS + " " + _TOKENS.format(t="terms"), ("point_v",))
+def metadata_tokens(spark, sf):
+    return dictionaries.term_tokens(dictionaries.terms(_points(spark, sf)))
+
+
+def _protected(spark, sf):
+    return dictionaries.protected(_points(spark, sf), view(spark, sf, "aliases"))
+
+
+@query(_PROTECTED + " select 'phrase' as kind, term as value from phrases union all select 'token', token from ptok", ("point_v", "aliases"))
+def protected_terms(spark, sf):
+    return _protected(spark, sf)
+
+
+# --- question normalisation -------------------------------------------------------------------------------------------
+
+_BASIC = ", q as (select question_id, lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) as question from question_v)"
+_EDGE = """'["''`.,;:!?()\\[\\]{}<>]"""
+_TOK = _BASIC + f""", r0 as (select question_id, unnest(string_split(question, ' ')) as raw, unnest(range(0, len(string_split(question, ' ')))) as pos from q),
+  r1 as (select *, coalesce(sum(length(raw) + 1) over (partition by question_id order by pos rows between unbounded preceding and 1 preceding), 0) as a, regexp_replace(raw, {_EDGE.replace("'[", "'^[")}+', '') as lft from r0),
+  r2 as (select question_id, pos::INT as pos, regexp_replace(lft, {_EDGE}+$', '') as token, (a + length(raw) - length(lft))::INT as start from r1),
+  tok as (select question_id, pos, token, start, (start + length(token))::INT as stop from r2 where token <> '')"""
+
+
+def _questions(spark, sf):
+    return normalize.basic(view(spark, sf, "question_v"))
+
+
+@query(_BASIC + " select question_id, question from q", ("question_v",))
+def normalize_basic(spark, sf):
+    return _questions(spark, sf)
+
+
+@query(_TOK + " select * from tok", ("question_v",))
+def tokenize_spans(spark, sf):
+    return normalize.tokens(_questions(spark, sf))
+
+
+_BY_TOKEN = "select distinct question_id, pos from (select question_id, pos, unnest(regexp_extract_all(lower(token), '[a-z0-9]+')) as part from tok) where part in (select token from ptok)"
+
+
+@query(_TOK + _PROTECTED + " " + _BY_TOKEN, ("question_v", "point_v", "aliases"))
+def protected_by_token(spark, sf):
+    return normalize.protected_by_token(normalize.tokens(_questions(spark, sf)), _protected(spark, sf))
+
+
+_BY_PHRASE = """, hit as (select question_id, question, term, unnest(range(1, length(question) - length(term) + 2)) as i from q join phrases on length(term) >= 3 and contains(question, term)),
+  span as (select question_id, i - 1 as f, i - 1 + length(term) as t from hit where substr(question, i, length(term)) = term
+    and not regexp_matches(substr(question, i + length(term), 1), '[\\p{L}\\p{N}_]') and (i = 1 or not regexp_matches(substr(question, i - 1, 1), '[\\p{L}\\p{N}_]'))),
+  byphrase as (select distinct tok.question_id, pos from tok join span on tok.question_id = span.question_id and start >= f and stop <= t)"""
+
+
+@query(_TOK + _PROTECTED + _BY_PHRASE + " select * from byphrase", ("question_v", "point_v", "aliases"))
+def protected_by_phrase(spark, sf):
+    q = _questions(spark, sf)
+    return normalize.protected_by_phrase(q, normalize.tokens(q), _protected(spark, sf))
+
+
+@query(_TOK + _PROTECTED + _BY_PHRASE + f""", prot as ({_BY_TOKEN} union select question_id, pos from byphrase)
+  select question_id, string_agg(case when p.pos is null then coalesce(s.canonical, token) else token end, ' ' order by tok.pos) as question
+  from tok left join prot p using (question_id, pos) left join (select alias, canonical from aliases where kind = 'synonym') s on s.alias = tok.token group by question_id""", ("question_v", "point_v", "aliases"))
+def apply_synonyms(spark, sf):
+    return normalize.apply_synonyms(_questions(spark, sf), _protected(spark, sf), view(spark, sf, "aliases"))
+
+
+def _words(spark, sf):
+    return normalize.tokens(_questions(spark, sf)).select("token").distinct()
+
+
+def _lexicon(spark, sf):
+    return normalize.frequencies(view(spark, sf, "documents"), "text", 20)
+
+
+@query()
+def fuzzy_snap(spark, sf):
+    return normalize.fuzzy_snap(_words(spark, sf), _protected(spark, sf))
+
+
+@query()
+def spell_correct(spark, sf):
+    return normalize.spell_correct(_words(spark, sf), _lexicon(spark, sf))
+
+
+@query()
+def correct_tokens(spark, sf):
+    q, p = _questions(spark, sf), _protected(spark, sf)
+    return normalize.correct_tokens(normalize.with_protection(q, p), p, _lexicon(spark, sf))
+
+
+@query()
+def normalize_questions(spark, sf):
+    return normalize.normalize(view(spark, sf, "question_v"), _protected(spark, sf), view(spark, sf, "aliases"), _lexicon(spark, sf))
+
+
+# --- filters ----------------------------------------------------------------------------------------------------------
+
+
+def _shown(q: DataFrame) -> DataFrame:
+    return q.select("question_id", "rest", filters.sorted_text(F.col("filters")).alias("filters"))
+
+
+_NAMED_SQL = r"""'(?i)"?\b(project_title|title|author|advisor|keywords?)\b"?\s*[:=]\s*(?:"([^"]+)"|''([^'']+)''|([^\s"]+))'"""
+
+
+@query(_BASIC + f""" select question_id, regexp_replace(question, {_NAMED_SQL}, '', 'g') as rest,
+  case when regexp_matches(question, {_NAMED_SQL}) then 'author=' || regexp_extract(question, 'author=(\\S+)', 1) else '' end as filters from q""", ("question_v",))
+def kv_filters(spark, sf):
+    return _shown(filters.named_values(filters.start(_questions(spark, sf))))
+
+
+@query(_BASIC + """, v as (select question_id, question, lower(n_name) as value from q join question_v using (question_id) join nation on n_nationkey = (question_id // 100) % 25)
+  select question_id, question as rest, 'advisor=' || coalesce((select min_by(canonical, ord) from aliases where kind = 'advisor' and contains(v.value, alias)), v.value) as filters
+  from (select q.question_id, q.question, lower(n_name) as value from q join nation on n_nationkey = (q.question_id // 100) % 25) v""".replace(", v as (select question_id, question, lower(n_name) as value from q join question_v using (question_id) join nation on n_nationkey = (question_id // 100) % 25)", ""), ("question_v", "aliases"))
+def advisor_alias(spark, sf):
+    nation = view(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("value"))
+    q = filters.start(_questions(spark, sf)).join(nation, F.expr("k = floor(question_id / 100) % 25"))
+    q = q.withColumn("filters", F.create_map(F.lit("advisor"), F.array("value")))
+    return _shown(filters.advisor_alias(q, view(spark, sf, "aliases")))
+
+
+_YEAR_SQL = "'\\b(19\\d{2}|20\\d{2})\\b'"
+
+
+@query(_BASIC + f" select question_id, regexp_replace(question, {_YEAR_SQL}, '', 'g') as rest, case when regexp_matches(question, {_YEAR_SQL}) then 'year=' || regexp_extract(question, {_YEAR_SQL}, 1) else '' end as filters from q", ("question_v",))
+def year_filter(spark, sf):
+    return _shown(filters.year(filters.start(_questions(spark, sf))))
+
+
+def _alias_sql(kind: str, field: str, once: bool) -> str:
+    return _BASIC + f""", hit as (select question_id, min_by(struct_pack(a := alias, c := canonical), ord) as h from q join aliases on kind = '{kind}' and regexp_matches(question, '(?i)\\b' || alias || '\\b') group by question_id)
+      select question_id, case when h is null then question else regexp_replace(question, '(?i)\\b' || h.a || '\\b', ''{"" if once else ", 'g'"}) end as rest, case when h is null then '' else '{field}=' || h.c end as filters from q left join hit using (question_id)"""
+
+
+@query(_alias_sql("author", "author", True), ("question_v", "aliases"))
+def author_alias(spark, sf):
+    return _shown(filters.author_alias(filters.start(_questions(spark, sf)), view(spark, sf, "aliases")))
+
+
+@query(_alias_sql("staff", "advisor", False), ("question_v", "aliases"))
+def staff_filter(spark, sf):
+    return _shown(filters.staff(filters.start(_questions(spark, sf)), view(spark, sf, "aliases")))
+
+
+def _hit_query(name: str, field: str, longer: int):
+    def run(spark, sf):
+        return _shown(filters.dictionary_hit(filters.start(_questions(spark, sf)), dictionaries.dictionary(_points(spark, sf)), field, longer))
+
+    run.__name__ = name
+    query(_BASIC + _DICTS + f""", c as (select question_id, row_number() over (partition by question_id order by length(term) desc, term) as n, term, full_values from q join dict on field = '{field}' and length(term) > {longer} and contains(question, lower(term)))
+      select question_id, case when term is null then question else replace(question, lower(term), '') end as rest,
+        case when term is null then '' else '{field}=' || array_to_string(full_values, '|') end as filters from q left join (select * from c where n = 1) using (question_id)""", ("question_v", "point_v"))(run)
+
+
+for _name, _of, _n in (("title_filter", "project_title", 3), ("author_filter", "author", 3), ("advisor_filter", "advisor", 3), ("keyword_filter", "keywords", 2)):
+    _hit_query(_name, _of, _n)
+
+
+@query(" select point_id, case when trim(coalesce(advisor, '')) <> '' then 'advisor=' || trim(advisor) || ';' else '' end || 'author=' || trim(author) as filters from point_v", ("point_v",))
+def validate_filters(spark, sf):
+    made = F.create_map(F.lit("author"), F.array(F.concat(F.lit("  "), "author", F.lit(" ")), F.lit(" ")), F.lit("advisor"), F.array("advisor"), F.lit("year"), F.array(F.lit("  ")))
+    return _points(spark, sf).select("point_id", filters.sorted_text(filters.validated(made)).alias("filters"))
+
+
+@query(_BASIC + f""", p as (select question_id, question, lower(p_name) as v from q join part on p_partkey = (question_id // 100) % 200),
+  c as (select question_id, question, v, strpos(question, v) as i from p)
+  select question_id, lower(trim(regexp_replace(regexp_replace(case when i > 0 then substr(question, 1, i - 1) || substr(question, i + length(v)) else question end, {_YEAR_SQL}, '', 'g'), '\\s+', ' ', 'g'))) as residual from c""", ("question_v",))
+def residual_query(spark, sf):
+    part = view(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name")
+    q = _questions(spark, sf).join(part, F.expr("k = floor(question_id / 100) % 200"))
+    return q.select("question_id", filters.residual(F.col("question"), F.create_map(F.lit("project_title"), F.array("p_name"))).alias("residual"))
+
+
+def _parsed(spark, sf) -> DataFrame:
+    return filters.parse(_questions(spark, sf), dictionaries.dictionary(_points(spark, sf)), view(spark, sf, "aliases"))
+
+
+@query()
+def parse_questions(spark, sf):
+    return _parsed(spark, sf).select("question_id", "residual", filters.sorted_text(F.col("filters")).alias("filters"))
+
+
+@query(" select point_id, case when point_id % 2 = 0 then 'author=' || author || ';year=2000' else 'author=X;year=' || year end as filters from point_v", ("point_v",))
+def override_filters(spark, sf):
+    base = F.create_map(F.lit("author"), F.array("author"), F.lit("year"), F.array("year"))
+    over = F.when(F.col("point_id") % 2 == 0, F.create_map(F.lit("year"), F.array(F.lit("2000")))).otherwise(F.create_map(F.lit("author"), F.array(F.lit("X"))))
+    return _points(spark, sf).select("point_id", filters.sorted_text(filters.overridden(base, over)).alias("filters"))
+
+
+@query(" select point_id from point_v where year in ('2011', '2013') and advisor = 'Dr. KENYA' or author like '%LEE' and year = '2012'", ("point_v",))
+def filter_points(spark, sf):
+    one = F.create_map(F.lit("year"), F.array(F.lit("2011"), F.lit("2013")), F.lit("advisor"), F.array(F.lit("Dr. KENYA")))
+    two = F.create_map(F.lit("year"), F.array(F.lit("2012")))
+    p = _points(spark, sf)
+    return p.filter(filters.matches(one, store.payload()) | (F.col("author").endswith("LEE") & filters.matches(two, store.payload()))).select("point_id")
+
+
+# --- search -----------------------------------------------------------------------------------------------------------
+
+_COS = """, asked as (select point_id as question_id, vector as qvec, year from point_v where point_id < 50),
+  s as (select question_id, point_id, list_cosine_similarity(qvec::DOUBLE[], vector::DOUBLE[]) as score from asked join point_v p on {cond}),
+  hits as (select question_id, point_id, score, row_number() over (partition by question_id order by score desc, point_id)::INT as rank from s qualify rank <= 20)"""
+
+
+def _asked(spark, sf) -> DataFrame:
+    return _points(spark, sf).filter("point_id < 50").select(F.col("point_id").alias("question_id"), F.col("vector").alias("qvec"), F.create_map(F.lit("year"), F.array("year")).alias("filters"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+@query(_COS.format(cond="true") + " select question_id, point_id, round(score, 6) as score, rank from hits", ("point_v",))
+def semantic_topk(spark, sf):
+    return _rounded(search.semantic_topk(_asked(spark, sf).drop("filters"), _points(spark, sf)))
+
+
+@query(_COS.format(cond="true") + " select question_id, point_id, round(score, 6) as score, rank from hits", ("point_v",))
+def semantic_topk_blocks(spark, sf):
+    return _rounded(search.semantic_topk_blocks(_asked(spark, sf), _points(spark, sf)))
+
+
+@query(_COS.format(cond="p.year = asked.year") + " select question_id, point_id, round(score, 6) as score, rank from hits", ("point_v",))
+def semantic_topk_filtered(spark, sf):
+    return _rounded(search.semantic_topk(_asked(spark, sf), _points(spark, sf)))
+
+
+def _hits(spark, sf) -> DataFrame:
+    p = _points(spark, sf)
+    return search.results(search.semantic_topk(_asked(spark, sf), p), p)
+
+
+_HITS = _COS.format(cond="p.year = asked.year") + ", h as (select hits.*, content, source, project_title, advisor, author from hits join point_v using (point_id) where coalesce(content, '') <> '')"
+
+
+@query(_HITS + " select question_id, rank, point_id, source, length(content) as n from h", ("point_v",))
+def semantic_results(spark, sf):
+    return _hits(spark, sf).select("question_id", "rank", "point_id", "source", F.length("content").cast("long").alias("n"))
+
+
+def _pairs(spark, sf) -> DataFrame:
+    q = _points(spark, sf).filter("point_id < 50").select(F.col("point_id").alias("question_id"), F.concat_ws(" ", "project_title", "keywords").alias("question"))
+    return search.pair_scores(_hits(spark, sf).join(q, "question_id"), _points(spark, sf))
+
+
+_PAIR = _HITS + """, tk as (select point_id, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) as token from point_v),
+  df as (select token, count(*) as df from tk group by token), n as (select count(*) as n from point_v),
+  qt as (select point_id as question_id, unnest(list_distinct(regexp_extract_all(lower(project_title || ' ' || keywords), '[a-z0-9]+'))) as token from point_v where point_id < 50),
+  w as (select question_id, token, ln(1 + n / (1 + coalesce(df, 0))) as w from qt left join df using (token), n),
+  ps as (select h.*, coalesce((select sum(w.w) from w join tk using (token) where w.question_id = h.question_id and tk.point_id = h.point_id), 0) / (select sum(w.w) from w where w.question_id = h.question_id) as pair_score from h),
+  rr as (select *, row_number() over (partition by question_id order by round(pair_score, 9) desc, rank)::INT as position from ps qualify position <= 5)"""
+
+
+def _paired(spark, sf):
+    return _pairs(spark, sf).withColumn("pair_score", F.round("pair_score", 9))
+
+
+@query(_PAIR + " select question_id, point_id, round(pair_score, 6) as pair_score from ps", ("point_v",))
+def pair_scores(spark, sf):
+    return _pairs(spark, sf).select("question_id", "point_id", F.round("pair_score", 6).alias("pair_score"))
+
+
+@query(_PAIR + " select question_id, point_id, position from rr", ("point_v",))
+def rerank_topn(spark, sf):
+    return search.rerank(_paired(spark, sf)).select("question_id", "point_id", "position")
+
+
+@query(_PAIR + """, ro as (select question_id, point_id, round(pair_score, 9) as p from rr) select question_id, point_id, round(case when max(p) over w1 = min(p) over w1 then 1.0 else (p - min(p) over w1) / (max(p) over w1 - min(p) over w1) end, 4) as norm_score from ro window w1 as (partition by question_id)""", ("point_v",))
+def minmax_scores(spark, sf):
+    return search.minmax(search.rerank(_paired(spark, sf))).select("question_id", "point_id", F.round("norm_score", 4).alias("norm_score"))
+
+
+def _encoded_points(spark, sf) -> DataFrame:
+    return encoders.embed_documents(_points(spark, sf).drop("vector"))
+
+
+def _searched(spark, sf, overrides=None) -> tuple[DataFrame, DataFrame]:
+    """Normalised and parsed questions with hashed vectors, and their kept hits among points encoded alike."""
+    q = normalize.normalize(view(spark, sf, "question_v"), _protected(spark, sf), view(spark, sf, "aliases"))
+    q = filters.parse(q, dictionaries.dictionary(_points(spark, sf)), view(spark, sf, "aliases"))
+    if overrides is not None:
+        q = q.withColumn("filters", filters.overridden(F.col("filters"), overrides))
+    q = encoders.embedded(q, F.concat(F.lit(encoders.QUESTION_PREFIX), "residual"), "qvec")
+    return q, search.search_details(q, _encoded_points(spark, sf))
+
+
+@query()
+def search_texts(spark, sf):
+    q, kept = _searched(spark, sf)
+    return search.per_question(q, kept).select("question_id", "residual", "texts")
+
+
+QUERIES["search"] = QUERIES.pop("search_texts")
+
+
+@query()
+def search_details(spark, sf):
+    _, kept = _searched(spark, sf)
+    return kept.select("question_id", "position", "point_id", F.round("score", 6).alias("score"), F.round("pair_score", 6).alias("pair_score"), F.round("norm_score", 6).alias("norm_score"), "score_kind")
+
+
+@query()
+def hybrid_search(spark, sf):
+    q, kept = _searched(spark, sf, F.create_map(F.lit("year"), F.array(F.lit("2011"), F.lit("2012"))))
+    return search.per_question(q, kept).select("question_id", "n_hits", "sources")
+
+
+@query()
+def sample_sources(spark, sf):
+    q, kept = _searched(spark, sf)
+    return search.per_question(q, kept).select("question_id", "sources", "n_hits")
+
+
+# --- answers ----------------------------------------------------------------------------------------------------------
+
+
+def _kept(spark, sf):
+    return search.rerank(_paired(spark, sf))
+
+
+@query(" select question_id, question from question_v where regexp_matches(lower(question), 'advisor|committee|supervise|supervisor')", ("question_v",))
+def advisor_questions(spark, sf):
+    return view(spark, sf, "question_v").filter(answers.is_advisor_question(F.col("question")))
+
+
+_ANSWER_Q = "select distinct question_id, 'who is the advisor?' as question from hits"
+_META = """, ti as (select question_id, lower(trim(project_title)) as k, min(position) as f, min_by(trim(project_title), position) as v from rr group by all),
+  ad as (select question_id, lower(trim(advisor)) as k, min(position) as f, min_by(trim(advisor), position) as v from rr where coalesce(advisor, '') <> '' group by all),
+  tl as (select question_id, list(v order by f) as t from ti group by 1), al as (select question_id, min_by(v, f) as a from ad group by 1)"""
+
+
+def _advisor_questions(spark, sf):
+    return _asked(spark, sf).select("question_id", F.lit("who is the advisor?").alias("question"))
+
+
+@query(_PAIR + _META + """ select question_id, coalesce(a, 'the advisor') || case when len(t) = 1 then ' is associated with this project: ' || t[1] else ' is associated with these projects: ' || array_to_string(t[1:5], ', ') end || '.' as answer from tl left join al using (question_id)""", ("point_v",))
+def metadata_answer(spark, sf):
+    return answers.metadata_answers(_advisor_questions(spark, sf), _kept(spark, sf))
+
+
+_CTX = _PAIR + """, cx as (select *, row_number() over (partition by question_id, lower(trim(project_title)) order by position) as nth from rr qualify nth = 1),
+  ct as (select question_id, position, source, concat_ws(' | ', 'Project title: ' || project_title, 'Advisor: ' || nullif(advisor, ''), 'Source: ' || source) || chr(10) || trim(replace(content, chr(10), ' ')) as context from cx)"""
+
+
+@query(_CTX + " select question_id, position, point_id from cx", ("point_v",))
+def context_dedup(spark, sf):
+    return answers.contexts(_kept(spark, sf)).select("question_id", "position", "point_id")
+
+
+@query(_CTX + " select question_id, position, context from ct", ("point_v",))
+def context_text(spark, sf):
+    return answers.contexts(_kept(spark, sf)).select("question_id", "position", "context")
+
+
+@query(_CTX + " select question_id, string_agg(source, '|' order by position) as sources from ct group by 1", ("point_v",))
+def answer_sources(spark, sf):
+    return answers.sources(answers.contexts(_kept(spark, sf))).select("question_id", F.array_join("sources", "|").alias("sources"))
+
+
+@query(_CTX + f" select question_id, '{answers.INSTRUCTIONS}' || chr(10) || chr(10) || string_agg(context, chr(10) || chr(10) order by position) || chr(10) || chr(10) || 'Question: who is the advisor?' as prompt from ct group by 1", ("point_v",))
+def build_prompts(spark, sf):
+    return answers.prompts(_advisor_questions(spark, sf), answers.contexts(_kept(spark, sf)))
+
+
+_NOTHING = "|".join(answers.NOTHING_SAID).replace("'", "''")
+_CLEAN = f""", c0 as (select question_id, trim(coalesce(raw_answer, ''), ' ' || chr(9) || chr(10) || chr(13)) as a from raw_answer_v),
+  c1 as (select question_id, case when starts_with(lower(a), 'answer:') then trim(a[8:], ' ' || chr(9) || chr(10) || chr(13)) else a end as a from c0),
+  cl as (select question_id, case when a = '' or regexp_matches(trim(regexp_replace(lower(a), '[\\s.!?]+', ' ', 'g')), '^({_NOTHING})') then '{answers.NO_ANSWER}' else a end as answer from c1)"""
+
+
+@query(_CLEAN + " select * from cl", ("raw_answer_v",))
+def clean_answers(spark, sf):
+    return view(spark, sf, "raw_answer_v").select("question_id", answers.cleaned(F.col("raw_answer")).alias("answer"))
+
+
+@query()
+def answer_questions(spark, sf):
+    q = view(spark, sf, "question_v")
+    _, kept = _searched(spark, sf)
+    raw = view(spark, sf, "raw_answer_v").select((F.col("question_id") - 1).alias("question_id"), "raw_answer")
+    return answers.answer_questions(q, kept, raw)
+
+
+# --- latency ----------------------------------------------------------------------------------------------------------
+
+_PCT = "quantile_cont({v}, {p})"
+
+
+def _times(spark, sf):
+    return view(spark, sf, "timing_v")
+
+
+def _round(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*[F.round(c, 4).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
+
+
+@query(" select stage, " + ", ".join(f"round(quantile_cont(seconds, {p / 100}), 4) as p{p}" for p in (50, 90, 95, 99)) + " from timing_v group by stage", ("timing_v",))
+def latency_percentiles(spark, sf):
+    return _round(latency.percentiles(_times(spark, sf), "stage", "seconds"))
+
+
+@query(""" select stage, count(*) as n, round(avg(seconds), 4) as mean_s, round(median(seconds), 4) as median_s, round(min(seconds), 4) as min_s, round(max(seconds), 4) as max_s,
+  round(quantile_cont(seconds, 0.9), 4) as p90_s, round(quantile_cont(seconds, 0.95), 4) as p95_s, round(count(*) / sum(seconds), 4) as qps, round(stddev_samp(seconds), 4) as stddev_s from timing_v group by stage""", ("timing_v",))
+def latency_summary(spark, sf):
+    return _round(latency.summary(_times(spark, sf), "stage", "seconds"))
+
+
+@query(""", s as (select stage, list_sort(list(seconds)) as l, count(*) as n, avg(seconds) as mean_s, sum(seconds) as total_s, median(seconds) as median_s from timing_v where seconds > 0 group by stage)
+  select stage, n, round(total_s, 4) as total_s, round(mean_s, 4) as mean_s, round(median_s, 4) as median_s, round(l[1], 4) as min_s, round(l[n], 4) as max_s,
+    round(l[least(floor(n * 0.9), n - 1)::INT + 1], 4) as p90_s, round(l[least(floor(n * 0.95), n - 1)::INT + 1], 4) as p95_s from s""", ("timing_v",))
+def ingest_latency(spark, sf):
+    return _round(latency.ingest_summary(_times(spark, sf), "stage", "seconds"))
+
+
+@query(" select user_id as \"user\", round(sum(value), 4) as total_s, count(*) as n_stages from events group by 1")
+def stage_totals(spark, sf):
+    t = view(spark, sf, "events").select(F.col("user_id").alias("user"), F.col("value").alias("seconds"))
+    return _round(latency.stage_totals(t))
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{found.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{next(_numbers)}" if found else tempfile.mkdtemp(prefix="lodestone-stream-")
+
+
+_numbers = iter(range(1 << 62))
+
+
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    """The files at path (a table's file, or its folder of files) as a stream."""
+    schema = spark.read.parquet(path).schema
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
+
+@query()
+def stream_latency(spark, sf):
+    base = _scratch(spark)
+    job = jobs.windowed_latency(_stream(spark, f"{sf}/events.parquet")).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query()
+def stream_ingest(spark, sf):
+    base = _scratch(spark)
+    prepare = lambda df: encoders.embed_documents(chunking.chunked(df.select("source", F.col("doc_id").cast("int").alias("page_number"), F.col("text").alias("content"))))
+    jobs.ingest_stream(_stream(spark, f"{sf}/documents.parquet"), prepare, f"{base}/points", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/points").groupBy("source").agg(F.count(F.lit(1)).alias("n_points"))
+
+
+@query()
+def stream_answers(spark, sf):
+    base = _scratch(spark)
+    turns = _stream(spark, f"{sf}/conversations.parquet").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+    points = _encoded_points(spark, sf)
+
+    def answer(q: DataFrame) -> DataFrame:
+        q = encoders.embed_questions(normalize.basic(q)).withColumnRenamed("vector", "qvec")
+        hits = search.results(search.semantic_topk(q.select("question_id", "qvec"), points, search.TOP_N), points)
+        return hits.groupBy("question_id").agg(F.max_by("source", "score").alias("source"), F.count(F.lit(1)).alias("n_hits"))
+
+    jobs.answer_stream(turns, answer, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("question_id", "source", "n_hits")
