@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import chunking, encoders, text
 from .operators import answers, dictionaries, filters, frontmatter, latency, normalize, pages, search, store
 from .sources.fixtures import view, with_views
+from .sources.tables import cut
 from .streaming import jobs
 
 QUERIES: dict = {}
@@ -245,7 +246,7 @@ def dict_keywords(spark, sf):
 @query(_DICTS + f" select distinct term, ({_LIKELY}) as likely from (select term from authorp union select p_name from part union select p_type from part)", ("point_v",))
 def likely_authors(spark, sf):
     part = view(spark, sf, "part")
-    names = _points(spark, sf).select(text.stripped(F.explode(F.split("author", ","))).alias("term"))
+    names = _points(spark, sf).select(F.explode(F.transform(F.split("author", ","), text.stripped)).alias("term"))
     all_ = names.union(part.select("p_name")).union(part.select("p_type")).distinct()
     return all_.select("term", dictionaries.likely_author(F.col("term")).alias("likely"))
 
@@ -351,7 +352,7 @@ def spell_correct(spark, sf):
 @query()
 def correct_tokens(spark, sf):
     q, p = _questions(spark, sf), _protected(spark, sf)
-    return normalize.correct_tokens(normalize.with_protection(q, p), p, _lexicon(spark, sf))
+    return normalize.correct_tokens(cut(normalize.with_protection(q, p)), p, _lexicon(spark, sf))
 
 
 @query()
@@ -537,7 +538,7 @@ def minmax_scores(spark, sf):
 
 
 def _encoded_points(spark, sf) -> DataFrame:
-    return encoders.embed_documents(_points(spark, sf).drop("vector"))
+    return cut(encoders.embed_documents(_points(spark, sf).drop("vector")), "points")
 
 
 def _searched(spark, sf, overrides=None) -> tuple[DataFrame, DataFrame]:
@@ -546,7 +547,7 @@ def _searched(spark, sf, overrides=None) -> tuple[DataFrame, DataFrame]:
     q = filters.parse(q, dictionaries.dictionary(_points(spark, sf)), view(spark, sf, "aliases"))
     if overrides is not None:
         q = q.withColumn("filters", filters.overridden(F.col("filters"), overrides))
-    q = encoders.embedded(q, F.concat(F.lit(encoders.QUESTION_PREFIX), "residual"), "qvec")
+    q = cut(encoders.embedded(q, F.concat(F.lit(encoders.QUESTION_PREFIX), "residual"), "qvec"))
     return q, search.search_details(q, _encoded_points(spark, sf))
 
 

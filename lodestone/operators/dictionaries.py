@@ -28,7 +28,7 @@ def titles(points: DataFrame) -> DataFrame:
 
 def _parts(points: DataFrame, field: str) -> DataFrame:
     whole = points.select(F.col(field).alias("full")).filter("full is not null").distinct()
-    return whole.select(stripped(F.explode(F.split("full", ","))).alias("term"), "full").filter("term <> ''")
+    return whole.select(F.explode(F.transform(F.split("full", ","), stripped)).alias("term"), "full").filter("term <> ''")
 
 
 def _full(parts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
+from ..sources.tables import cut
 from .normalize import containing
 
 FILTER = "map<string,array<string>>"
@@ -23,6 +24,11 @@ def start(questions: DataFrame) -> DataFrame:
     return questions.withColumns({"rest": F.col("question"), "filters": F.create_map().cast(FILTER)})
 
 
+def _settled(q: DataFrame) -> DataFrame:
+    """Ends a step: its columns leave through a generator, so that tests on them in later steps do not inline the step."""
+    return q.withColumn("_s", F.explode(F.array(F.struct("rest", "filters")))).withColumns({"rest": F.col("_s.rest"), "filters": F.col("_s.filters")}).drop("_s")
+
+
 def _with(filters: Column, key: Column | str, values: Column) -> Column:
     key = F.lit(key) if isinstance(key, str) else key
     return F.map_concat(F.map_filter(filters, lambda k, v: k != key), F.map_from_arrays(F.array(key), F.array(values)))
@@ -35,7 +41,7 @@ def named_values(q: DataFrame) -> DataFrame:
     q = q.withColumn("_pairs", pairs)
     last = F.filter("_pairs", lambda p, i: ~F.exists(F.slice("_pairs", i + 2, F.size("_pairs")), lambda o: o["k"] == p["k"]))
     found = F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], F.array(p["v"]))))
-    return q.withColumns({"filters": F.map_concat("filters", F.map_filter(found, lambda k, v: ~F.map_contains_key("filters", k))), "rest": F.regexp_replace("rest", NAMED, "")}).drop("_pairs")
+    return _settled(q.withColumns({"filters": F.map_concat("filters", F.map_filter(found, lambda k, v: ~F.map_contains_key("filters", k))), "rest": F.regexp_replace("rest", NAMED, "")}).drop("_pairs"))
 
 
 def advisor_alias(q: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -44,13 +50,13 @@ def advisor_alias(q: DataFrame, aliases: DataFrame) -> DataFrame:
     known = aliases.filter("kind = 'advisor'").select(F.lower("alias").alias("phrase"), "canonical", "ord")
     hits = containing(q.select("question_id", F.lower(value).alias("value")).filter("value is not null"), "value", known, "phrase")
     first = hits.groupBy("question_id").agg(F.min_by("canonical", "ord").alias("hit"))
-    return q.join(first, "question_id", "left").withColumn("filters", F.when(F.col("hit").isNotNull(), _with(F.col("filters"), "advisor", F.array("hit"))).otherwise(F.col("filters"))).drop("hit")
+    return _settled(q.join(first, "question_id", "left").withColumn("filters", F.when(F.col("hit").isNotNull(), _with(F.col("filters"), "advisor", F.array("hit"))).otherwise(F.col("filters"))).drop("hit"))
 
 
 def year(q: DataFrame) -> DataFrame:
     """The first year is the filter, all years go."""
     found = F.regexp_extract("rest", YEAR, 1)
-    return q.withColumns({"filters": F.when(found != "", _with(F.col("filters"), "year", F.array(found))).otherwise(F.col("filters")), "rest": F.regexp_replace("rest", YEAR, "")})
+    return _settled(q.withColumns({"filters": F.when(found != "", _with(F.col("filters"), "year", F.array(found))).otherwise(F.col("filters")), "rest": F.regexp_replace("rest", YEAR, "")}))
 
 
 def _word(alias: Column) -> Column:
@@ -70,14 +76,14 @@ def author_alias(q: DataFrame, aliases: DataFrame) -> DataFrame:
     q = _named_alias(q, aliases, "author", "author")
     spot = F.regexp_instr(F.lower("rest"), _word(F.col("hit.phrase")))
     cut = F.concat(F.substring("rest", F.lit(1), spot - 1), F.substring("rest", spot + F.length("hit.phrase"), F.length("rest")))
-    return q.withColumns({"filters": F.when(F.col("hit").isNotNull(), _with(F.col("filters"), "author", F.array("hit.canonical"))).otherwise(F.col("filters")), "rest": F.when(F.col("hit").isNotNull(), cut).otherwise(F.col("rest"))}).drop("hit")
+    return _settled(q.withColumns({"filters": F.when(F.col("hit").isNotNull(), _with(F.col("filters"), "author", F.array("hit.canonical"))).otherwise(F.col("filters")), "rest": F.when(F.col("hit").isNotNull(), cut).otherwise(F.col("rest"))}).drop("hit"))
 
 
 def staff(q: DataFrame, aliases: DataFrame) -> DataFrame:
     """Without an advisor so far: the first member of staff named as a whole word."""
     q = _named_alias(q, aliases, "staff", "advisor")
     cut = F.regexp_replace("rest", _word(F.col("hit.phrase")), F.lit(""))
-    return q.withColumns({"filters": F.when(F.col("hit").isNotNull(), _with(F.col("filters"), "advisor", F.array("hit.canonical"))).otherwise(F.col("filters")), "rest": F.when(F.col("hit").isNotNull(), cut).otherwise(F.col("rest"))}).drop("hit")
+    return _settled(q.withColumns({"filters": F.when(F.col("hit").isNotNull(), _with(F.col("filters"), "advisor", F.array("hit.canonical"))).otherwise(F.col("filters")), "rest": F.when(F.col("hit").isNotNull(), cut).otherwise(F.col("rest"))}).drop("hit"))
 
 
 def dictionary_hit(q: DataFrame, dictionary: DataFrame, field: str, longer_than: int = 3) -> DataFrame:
@@ -88,7 +94,7 @@ def dictionary_hit(q: DataFrame, dictionary: DataFrame, field: str, longer_than:
     best = hits.groupBy("question_id").agg(F.min_by(F.struct("phrase", "full_values"), F.struct((-F.length("term")).alias("n"), "term")).alias("hit"))
     q = q.join(best, "question_id", "left")
     cut = F.regexp_replace("rest", F.concat(F.lit(r"(?iu)\Q"), F.col("hit.phrase"), F.lit(r"\E")), F.lit(""))
-    return q.withColumns({"filters": F.when(F.col("hit").isNotNull(), _with(F.col("filters"), field, F.col("hit.full_values"))).otherwise(F.col("filters")), "rest": F.when(F.col("hit").isNotNull(), cut).otherwise(F.col("rest"))}).drop("hit")
+    return _settled(q.withColumns({"filters": F.when(F.col("hit").isNotNull(), _with(F.col("filters"), field, F.col("hit.full_values"))).otherwise(F.col("filters")), "rest": F.when(F.col("hit").isNotNull(), cut).otherwise(F.col("rest"))}).drop("hit"))
 
 
 def validated(filters: Column) -> Column:
@@ -98,11 +104,11 @@ def validated(filters: Column) -> Column:
 
 def residual(question: Column, filters: Column) -> Column:
     """question without each filter value (once, any case) and without years."""
-    def cut(text: Column, value: Column) -> Column:
+    def without(text: Column, value: Column) -> Column:
         at = F.position(F.lower(value), F.lower(text))
         return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(value), F.length(text)))).otherwise(text)
 
-    left = F.aggregate(F.flatten(F.map_values(filters)), question, cut)
+    left = F.aggregate(F.flatten(F.map_values(filters)), question, without)
     return normalized(F.regexp_replace(left, YEAR, ""))
 
 
@@ -128,11 +134,12 @@ def canonical_values(q: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def parse(questions: DataFrame, dictionary: DataFrame, aliases: DataFrame) -> DataFrame:
     """question_id, question, filters, residual (F13): all steps, dictionaries always in use."""
-    q = year(advisor_alias(named_values(start(questions)), aliases))
-    q = author_alias(q, aliases)
-    for field, longer in (("project_title", 3), ("author", 3), ("advisor", 3), ("keywords", 2)):
-        q = dictionary_hit(q, dictionary, field, longer)
-    q = canonical_values(staff(q, aliases), dictionary)
+    dictionary = cut(dictionary, "dictionary")
+    q = cut(year(advisor_alias(cut(named_values(start(questions))), aliases)))
+    q = cut(author_alias(q, aliases))
+    for field, longer in (("project_title", 3), ("author", 3), ("advisor", 3), ("keywords", 2)):  # each step is used twice by the next
+        q = cut(dictionary_hit(q, dictionary, field, longer))
+    q = canonical_values(cut(staff(q, aliases)), dictionary)
     q = q.withColumn("filters", validated(F.col("filters")))
     return q.select("question_id", "question", "filters", residual(F.col("question"), F.col("filters")).alias("residual"))
 

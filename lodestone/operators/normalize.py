@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
+from ..sources.tables import cut
 
 #: Characters that are stripped from the edges of tokens (fixed value), as a class.
 EDGES = r"""["'`.,;:!?()\[\]{}<>]"""
@@ -162,8 +163,9 @@ def correct_tokens(tokens_: DataFrame, protected: DataFrame, lexicon: DataFrame)
 
 def normalize(questions: DataFrame, protected: DataFrame, aliases: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """The full normaliser (N9); without a lexicon the spelling steps are left out."""
-    q = apply_synonyms(basic(questions), protected, aliases)
+    protected = cut(protected, "protected")
+    q = cut(apply_synonyms(cut(basic(questions)), protected, aliases))
     if lexicon is not None:
-        t = correct_tokens(with_protection(q, protected), protected, lexicon)
+        t = correct_tokens(cut(with_protection(q, protected)), protected, lexicon)
         q = rebuilt(t.withColumn("token", F.col("corrected")))
     return questions.select("question_id").join(q, "question_id", "left").withColumn("question", F.coalesce("question", F.lit("")))
