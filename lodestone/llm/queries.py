@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, html_text, minhash, mixing, packing, pii, quality, secrets, simhash
+from . import chat, html_text, minhash, mixing, packing, pii, quality, repeats, secrets, simhash
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op4_document_fingerprints(spark, sf_dir):
     return minhash.report(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.digest(chat.probe_rows(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing_sources, op2_html_extraction, op4_document_fingerprints, op5_packing, op6_simhash, op8_secret_scans, op7_quality_rules, op9_pii_surrogates, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_mixing_sources, op2_html_extraction, op3_suffix_array_dedup, op4_document_fingerprints, op5_packing, op6_simhash, op8_secret_scans, op7_quality_rules, op9_pii_surrogates, op10_chat_formatting)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op7_quality_rules": quality.REPORT_SQL, "op10_chat_formatting": chat.DIGEST_SQL}
