@@ -34,6 +34,8 @@ CLASS_WIDTH = 8
 TOLERANCE, MOST_ROUNDS = 1e-3, 4000
 #: Distinct words whose ids a Python worker keeps.
 KEPT_WORDS = 1_500_000
+#: ASCII punctuation, which the tokenizer never joins to letters before it.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -50,9 +52,39 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.closing = np.array([CLOSING_ID], "<u4").tobytes()
 
+    def learn(self, words: list[bytes]) -> None:
+        """Adds the ids of words. A Latin-1 word with marks behind it has the ids of its lower-case letters, then those of its marks."""
+        split, letters, others = [], set(), set()
+        for w in words:
+            text = w.decode("utf-8", "surrogatepass")
+            core = text.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                split.append((core.lower(), text[len(core) :]))
+                letters.add(core.lower())
+                others.add(text[len(core) :])
+            else:
+                split.append((text, ""))
+                others.add(text)
+        letters = list(letters.difference(self.parts))
+        if letters:  # one token run each, so the last token of a word tells where each ends
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.parts.update((p, raw[a:b]) for p, a, b in zip(letters, [0, *ends[:-1]], ends, strict=True))
+        others = list(others.difference(self.parts, [""]))
+        if others:
+            found = self.tokenizer.encode(others, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, "<u4").tobytes()
+            ends = np.searchsorted(found.word_ids, np.arange(len(others)), "right").tolist()
+            self.parts.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(others, [0, *ends[:-1]], ends, strict=True))
+        self.known.update((w, self.parts[a] + self.parts[b] if b else self.parts[a]) for w, (a, b) in zip(words, split, strict=True))
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Per text: its ids and the closing id as little-endian unsigned 32-bit integers."""
         for text in texts:
@@ -60,12 +92,10 @@ class WordTokenizer:
             new = list(set(words).difference(self.known))
             if len(self.known) + len(new) > KEPT_WORDS:
                 self.known.clear()
+                self.parts.clear()
                 new = list(set(words))
             if new:
-                found = self.tokenizer.encode([w.decode("utf-8", "surrogatepass") for w in new], is_pretokenized=True, add_special_tokens=False)
-                ids = np.array(found.ids, "<u4").tobytes()
-                ends = np.searchsorted(found.word_ids, np.arange(len(new)), "right").tolist()
-                self.known.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
+                self.learn(new)
             yield b"".join(map(self.known.__getitem__, words)) + self.closing
 
 
