@@ -169,32 +169,47 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     return basis.T.reshape(m, m), uses
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """histogram (size -> pieces) -> patterns (size -> slots) with how often each is used; slots equal pieces for every size."""
-    sizes = np.array(sorted(histogram), np.int64)
-    left = np.array([histogram[s] for s in sizes.tolist()], np.int64)
-    out: list[tuple[dict[int, int], int]] = []
+Pattern = tuple[dict[int, int], int]
 
-    def use(pattern: np.ndarray, times: int) -> None:
-        nonlocal left
-        if times > 0:
-            left = left - pattern * times
-            out.append(({int(s): int(n) for s, n in zip(sizes, pattern, strict=True) if n}, times))
 
-    if len(sizes):
-        patterns, uses = solve_patterns(sizes, left.astype(float), capacity)
-        for pattern, times in zip(patterns, np.floor(uses + 1e-9).astype(np.int64), strict=True):
-            most = (left[pattern > 0] // pattern[pattern > 0]).min() if pattern.any() else 0
-            use(pattern, int(min(times, most)))
+def _named(sizes: np.ndarray, pattern: np.ndarray) -> dict[int, int]:
+    return {int(s): int(n) for s, n in zip(sizes, pattern, strict=True) if n}
+
+
+def largest_first(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[Pattern]:
+    """Patterns filled with the largest sizes left, each used as often as it can be."""
+    out = []
     while left.any():
         pattern, room = np.zeros_like(left), capacity
         for k in range(len(sizes) - 1, -1, -1):
             pattern[k] = min(left[k], room // sizes[k])
             room -= pattern[k] * sizes[k]
-        use(pattern, int((left[pattern > 0] // pattern[pattern > 0]).min()))
+        times = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        left = left - pattern * times
+        out.append((_named(sizes, pattern), times))
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """histogram (size -> pieces) -> patterns (size -> slots) with how often each is used; slots equal pieces for every size.
+
+    Where the program, cut off at MOST_ROUNDS, uses more sequences than filling largest first does, the latter is taken.
+    """
+    sizes = np.array(sorted(histogram), np.int64)
+    left = np.array([histogram[s] for s in sizes.tolist()], np.int64)
+    if not len(sizes):
+        return []
+    plain, out = largest_first(sizes, left, capacity), []
+    patterns, uses = solve_patterns(sizes, left.astype(float), capacity)
+    for pattern, times in zip(patterns, np.floor(uses + 1e-9).astype(np.int64), strict=True):
+        times = int(min(times, (left[pattern > 0] // pattern[pattern > 0]).min())) if pattern.any() else 0
+        if times > 0:
+            left = left - pattern * times
+            out.append((_named(sizes, pattern), times))
+    out += largest_first(sizes, left, capacity)
+    return min(out, plain, key=lambda p: sum(times for _, times in p))
+
+
 class Slots:
     """Where the piece of a class and rank goes: sequence and slot."""
 
