@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import chunking, encoders, text
 from .operators import answers, dictionaries, filters, frontmatter, latency, normalize, pages, search, store
+from .plans import retrieval
 from .sources.fixtures import view, with_views
 from .sources.tables import cut
 from .streaming import jobs
@@ -109,6 +110,12 @@ def ingest_report(spark, sf):
     return pages.ingest_report(pages.select_sources(front), kept, points, store.new_points(points, None))
 
 
+@query()
+def ingest_points(spark, sf):
+    points = retrieval.points_from_pages(view(spark, sf, "front_v"))
+    return points.select("point_id", "source", "page_number", "chunk_index", *frontmatter.FIELDS, F.size("vector").alias("dim"))
+
+
 # --- front matter -----------------------------------------------------------------------------------------------------
 
 _FIELDS = "project_title, author, advisor, keywords, year"
