@@ -1,7 +1,7 @@
 """SimHash near-duplicates, found through a Gray-order hierarchical index.
 
 Fingerprints are computed in Arrow batches. Documents with equal fingerprints (or texts) are one node. Nodes meet in
-blocks whose keys every pair to be found shares: for a bit limit alone, keys are choices of bit bands, so that by the
+blocks: for a bit limit alone, keys are choices of bit bands, so that by the
 pigeonhole principle no link is lost; for a word-shingle similarity, keys are minimum shingle hashes. A task takes whole
 blocks, sorts each by Gray rank and builds the index: a node of a level holds the bits that all fingerprints below it share.
 Pairs of nodes are followed from the roots down; the differences on bits newly shared are added to those of the
@@ -9,6 +9,10 @@ level above, and a pair of groups is dropped as soon as its accumulated differen
 groups cannot differ by more, they are united as wholes. A block gives a star for each of its components, never all
 pairs. Stars join to components over all blocks.
 
+For a word-shingle similarity, bits and sketches only choose candidates. Each candidate pair is decided by its documents'
+sets of distinct shingles before it links. A block proposes a spanning forest of its candidates; where pairs of it are refused,
+it proposes further ones, until every candidate pair is decided or joined by decided links.
+
 A block above BLOCK_ROWS is split by further keys that keep its pairs together, so that no task holds an unbounded group.
 
 Defined cases: null text is empty; without words the fingerprint is 0, linked like any other. Repeated rows and
@@ -18,7 +22,8 @@ tables. One document stays: the least doc_id (nulls first), of repeated rows one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -29,14 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import joined_small, materialize
 from .components import components
 
 BITS = 64
 #: Contract of the query: words per shingle, greatest number of differing bits.
 SHINGLE_WORDS, LINK_BITS = 4, 4
-#: Near-duplicate stages: words per shingle, least similarity, and the bits that copies so similar stay within.
-STAGE_WORDS, STAGE_SIMILARITY, STAGE_BITS = 5, 0.8, 18
+#: Near-duplicate stages: words per shingle, least similarity. Candidates: bits of distinct shingles (five standard
+#: deviations above the mean of pairs of the least similarity), least estimate (six standard errors below it).
+STAGE_WORDS, STAGE_SIMILARITY, STAGE_BITS, STAGE_ESTIMATE = 5, 0.8, 24, 0.65
+#: Further pairs that a block proposes for each node after a refusal; so many times more in each later round.
+MORE_PAIRS = 16
 #: Minimum hashes for block keys, as many again for hot blocks; bins of the similarity sketch.
 KEYS, SKETCH_BINS = 5, 256
 FAN, BLOCK_ROWS, GROUP_ROWS, PAIRS_AT_ONCE = 8, 100_000, 50_000, 20_000
@@ -167,27 +175,74 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used == 0, 1.0, (same / np.maximum(used, 1) - chance) / (1 - chance))
 
 
-def block_stars(rows: pd.DataFrame, limit: int, similarity: float | None) -> pd.DataFrame:
-    """rows (key, id, fp, sketch) of whole blocks -> links (u, v) of ids: a star for each component of each block."""
+def _sorted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """order, fp, key, number of the block, id of rows by block and Gray rank."""
     fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
     order = np.lexsort((gray_rank(fp), rows["key"].to_numpy()))
-    fp, key, ids = fp[order], rows["key"].to_numpy()[order], rows["id"].to_numpy()[order]
-    block = np.cumsum(np.r_[0, key[1:] != key[:-1]]) if len(key) else key
-    sketches = None if similarity is None else np.frombuffer(b"".join(rows["sketch"].to_numpy()[order]), np.uint8).reshape(len(ids), -1)
+    key = rows["key"].to_numpy()[order]
+    return order, fp[order], key, np.cumsum(np.r_[0, key[1:] != key[:-1]]) if len(key) else key, rows["id"].to_numpy()[order]
+
+
+def block_stars(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """rows (key, id, fp) of whole blocks -> links (u, v) of ids: a star for each component of each block."""
+    _, fp, _, block, ids = _sorted(rows)
     sets = Unions(len(ids))
     for u, v in GrayIndex(fp, block).linked(limit):
         for i in range(0, len(u), PAIRS_AT_ONCE):
             x, y = u[i : i + PAIRS_AT_ONCE], v[i : i + PAIRS_AT_ONCE]
             open_ = sets.apart(x, y)
-            x, y = x[open_], y[open_]
-            if sketches is not None and len(x):
-                near = sketch_similarity(sketches[x], sketches[y]) >= similarity
-                x, y = x[near], y[near]
-            sets.unite(x, y)
+            sets.unite(x[open_], y[open_])
     hangs = np.flatnonzero(sets.parent != np.arange(len(ids)))
     return pd.DataFrame({"u": ids[hangs], "v": ids[sets.parent[hangs]]})
 
 
+def block_pairs(rows: pd.DataFrame, decided: pd.DataFrame, limit: int, estimate: float, more: int) -> pd.DataFrame:
+    """rows (key, id, fp, sketch) of whole blocks, decided (key, u, v, near) -> undecided candidates (key, u, v): a spanning forest, and up to more a node."""
+    order, fp, key, block, ids = _sorted(rows)
+    n = len(ids)
+    if not n:
+        return pd.DataFrame({"key": key, "u": ids, "v": ids})
+    sketches = np.frombuffer(b"".join(rows["sketch"].to_numpy()[order]), np.uint8).reshape(n, -1)
+    at = pd.DataFrame({"key": key, "id": ids, "at": np.arange(n)})
+    known = decided.merge(at, left_on=["key", "u"], right_on=["key", "id"]).merge(at, left_on=["key", "v"], right_on=["key", "id"], suffixes=("_u", "_v"))
+    x, y, near = known["at_u"].to_numpy(np.int64), known["at_v"].to_numpy(np.int64), known["near"].to_numpy(bool)
+    codes = np.unique(np.minimum(x, y) * n + np.maximum(x, y))
+    sets, trial = Unions(n), Unions(n)
+    sets.unite(x[near], y[near])
+    trial.unite(x[near], y[near])
+    given, us, vs = np.zeros(n, np.int64), [], []
+    for u, v in GrayIndex(fp, block).linked(limit):
+        for i in range(0, len(u), PAIRS_AT_ONCE):
+            x, y = u[i : i + PAIRS_AT_ONCE], v[i : i + PAIRS_AT_ONCE]
+            open_ = sets.apart(x, y) if more else trial.apart(x, y)
+            x, y = x[open_], y[open_]
+            if len(codes) and len(x):
+                new = ~np.isin(np.minimum(x, y) * n + np.maximum(x, y), codes)
+                x, y = x[new], y[new]
+            likely = sketch_similarity(sketches[x], sketches[y])
+            best = np.argsort(-likely, kind="stable")[: int((likely >= estimate).sum())]
+            x, y = x[best], y[best]
+            up: dict[int, int] = {}
+            took = []
+            for k, (a, b, p, q) in enumerate(zip(x.tolist(), y.tolist(), trial.parent[x].tolist(), trial.parent[y].tolist(), strict=True)):
+                while p in up:
+                    p = up[p]
+                while q in up:
+                    q = up[q]
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                elif given[a] >= more and given[b] >= more:
+                    continue
+                given[a] += 1
+                given[b] += 1
+                took.append(k)
+            us.append(x[took])
+            vs.append(y[took])
+            trial.unite(us[-1], vs[-1])
+    u, v = (np.concatenate([np.empty(0, np.int64), *z]).astype(np.int64) for z in (us, vs))
+    return pd.DataFrame({"key": key[u], "u": np.minimum(ids[u], ids[v]), "v": np.maximum(ids[u], ids[v])})
+
+
 # --- blocks and links over all tasks -----------------------------------------------------------------------------------
 
 
@@ -220,19 +275,53 @@ def band_blocks(nodes: DataFrame, limit: int, count: int) -> tuple[DataFrame, Co
     return rows.withColumn("further", further).drop("_band"), F.col("further")
 
 
-def links(rows: DataFrame, limit: int, similarity: float | None = None) -> DataFrame:
-    """rows (key, further, id, fp[, sketch]) -> links (u, v); blocks above BLOCK_ROWS are split by their further keys."""
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows (key, further and columns) -> g, key and columns, whole blocks by g; blocks above BLOCK_ROWS are split by their further keys."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(sizes.filter(F.col("n") > BLOCK_ROWS).select("key"), "hot-blocks")  # at most rows / BLOCK_ROWS
-    columns = ["key", "id", "fp"] + (["sketch"] if similarity is not None else [])
     if hot.count():
         split = rows.join(F.broadcast(hot), "key", "left_semi").withColumn("key", F.explode("further"))
         rows = rows.join(F.broadcast(hot), "key", "left_anti").unionByName(split)
     total = rows.count()
     groups = max(1, total // GROUP_ROWS, rows.sparkSession.sparkContext.defaultParallelism)
-    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"), *columns)
-    stars = lambda pdf: block_stars(pdf, limit, similarity)
-    return dealt.groupBy("g").applyInPandas(stars, "u long, v long").distinct()
+    return rows.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"), "key", *columns)
+
+
+def links(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (key, further, id, fp) -> links (u, v) of fingerprints within limit bits."""
+    stars = lambda pdf: block_stars(pdf, limit)
+    return _dealt(rows, ["id", "fp"]).groupBy("g").applyInPandas(stars, "u long, v long").distinct()
+
+
+def near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs (u, v), sets (id, shingles: distinct) -> u, v, near: whether shared shingles over all shingles reach similarity."""
+    side = lambda k, s: sets.select(F.col("id").alias(k), F.col("shingles").alias(s))
+    least = Fraction(str(similarity))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").withColumn("same", F.size(F.array_intersect("a", "b")).cast("long"))
+    return both.select("u", "v", (F.col("same") * least.denominator >= (F.size("a") + F.size("b") - F.col("same")) * least.numerator).alias("near"))
+
+
+def _proposer(limit: int, estimate: float, more: int) -> Callable:
+    return lambda g, rows, decided: block_pairs(rows, decided, limit, estimate, more).assign(g=g[0])
+
+
+def similar_links(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], limit: int, estimate: float, similarity: float) -> DataFrame:
+    """rows (key, further, id, fp, sketch) -> links (u, v) of ids whose sets reach similarity; sets_of: ids (id) -> id, shingles."""
+    spark = rows.sparkSession
+    held = materialize(_dealt(rows, ["id", "fp", "sketch"]), "dealt")
+    decided, sets, more = spark.createDataFrame([], "g long, key long, u long, v long, near boolean"), None, 0
+    while True:
+        found = held.groupBy("g").cogroup(decided.groupBy("g")).applyInPandas(_proposer(limit, estimate, more), "g long, key long, u long, v long")
+        found = materialize(found, "candidates")
+        pairs = found.select("u", "v").distinct()
+        if sets is None:  # a forest meets each node that has a candidate
+            sets = materialize(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "shingles")
+        verdicts = materialize(found.join(near(pairs, sets, similarity), ["u", "v"]).select("g", "key", "u", "v", "near"), "decided")
+        decided = decided.unionByName(verdicts)
+        refused = materialize(verdicts.filter(~F.col("near")).select("key").distinct(), "refused")
+        if not refused.count():
+            return decided.filter("near").select("u", "v").distinct()
+        held, more = held.join(refused, "key", "left_semi"), more * MORE_PAIRS or MORE_PAIRS
 
 
 def report(docs: DataFrame, size: int = SHINGLE_WORDS, limit: int = LINK_BITS) -> DataFrame:
@@ -260,7 +349,7 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def profile(text: str | None) -> tuple[int, int, bytes, list[int]]:
-    """(content id, fingerprint, sketch, minimum hashes) of a text, from its shingles of STAGE_WORDS words."""
+    """(content id, fingerprint, sketch, minimum hashes) of a text, from its distinct shingles of STAGE_WORDS words."""
     hashes = shingle_hashes(text, STAGE_WORDS)
     content = xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()), seed=7)
     content -= (content >> 63) << 64
@@ -272,7 +361,7 @@ def profile(text: str | None) -> tuple[int, int, bytes, list[int]]:
     lead = np.r_[True, bins[1:] != bins[:-1]]
     sketch = np.zeros(SKETCH_BINS, np.uint8)
     sketch[bins[lead]] = turned[lead] % np.uint64(255) + np.uint64(1)
-    return content, simhash(hashes), sketch.tobytes(), [int(_mixed(distinct, s).min().view(np.int64)) for s in range(1, 2 * KEYS + 1)]
+    return content, simhash(distinct), sketch.tobytes(), [int(_mixed(distinct, s).min().view(np.int64)) for s in range(1, 2 * KEYS + 1)]
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -288,6 +377,17 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
+def distinct_shingles(texts: DataFrame) -> DataFrame:
+    """texts (id, text) -> id, shingles: the distinct hashes of the text's shingles of STAGE_WORDS words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), STAGE_WORDS)).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """row (a hash of doc_id and text), doc_id, group (content id of the group's least member) of every row."""
     numbered = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
@@ -297,7 +397,12 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = nodes.select(F.col("content").alias("id"), "fp", "sketch", F.posexplode(F.slice("mins", 1, KEYS)).alias("i", "min"), F.slice("mins", KEYS + 1, KEYS).alias("others"))
     rows = rows.withColumn("key", F.xxhash64("i", "min"))
     rows = rows.select("key", "id", "fp", "sketch", F.transform("others", lambda m, i: F.xxhash64("key", i, m)).alias("further"))
-    found = components(links(materialize(rows, "blocks"), STAGE_BITS, STAGE_SIMILARITY))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        one = all_.select(F.col("content").alias("id"), "row").join(ids, "id", "left_semi").groupBy("id").agg(F.min("row").alias("row"))
+        return distinct_shingles(joined_small(numbered, materialize(one, "asked"), ["row"], "inner")).dropDuplicates(["id"])
+
+    found = components(similar_links(materialize(rows, "blocks"), sets_of, STAGE_BITS, STAGE_ESTIMATE, STAGE_SIMILARITY))
     return all_.select("row", "doc_id", "content").join(found.withColumnRenamed("node", "content"), "content", "left").select("row", "doc_id", F.coalesce("root", "content").alias("group"))
 
 

@@ -219,6 +219,30 @@ def test_one_of_each_keeps_clean_documents(docs):
     assert set(range(60)) - set(kept) <= {7, 9, 11, 12, 13}
 
 
+def test_near_copies_are_those_of_the_shingle_sets(spark):
+    rng = random.Random(8)
+    texts = []
+    for k in range(120):  # pairs of similarity 0.75 to 0.9; lines that repeat count once
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)] + ["x y z u v"] * (k % 3 * 20)
+        copy = list(words)
+        for i in range(5 + k % 24):
+            copy.insert(i * 19 % 400, f"n{k}_{i}") if i < 8 else copy.__setitem__(395 - (i - 8), f"m{k}_{i}")
+        texts += [" ".join(words), " ".join(copy)]
+    shared = [f"s{i}" for i in range(300)]
+    texts += [" ".join(shared[: 200 + i] + [f"t{i}_{j}" for j in range(36)]) for i in range(0, 90, 3)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    likeness = [len(a & b) / len(a | b) for a, b in zip(sets[:240:2], sets[1:240:2], strict=True)]
+    assert min(likeness) < 0.79 and max(likeness) > 0.81 and sum(0.75 <= x < 0.8 for x in likeness) > 10 < sum(0.8 <= x < 0.9 for x in likeness)
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == {find(i) for i in range(len(texts))}
+
+
 def test_quality_matches_brute_force(docs):
     for r in quality.report(docs).collect():
         text = next(x[1] for x in rows_of() if x[0] == r["doc_id"]) or ""
