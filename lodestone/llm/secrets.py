@@ -45,18 +45,26 @@ class SecretRule:
     fold: bool = False
 
 
+#: A private key from its first line to its last; where the last is missing, to the end of the runs of base64, with a last short line.
+PRIVATE_KEY = (
+    r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:\s|\\[nrt])*(?:Proc-Type|DEK-Info|Version|Comment|Hash): [^\n\\]*)*"
+    r"(?:(?:(?:\s|\\[nrt]|[\"',>#|]|\+(?=\s))*[A-Za-z0-9+/=]{16,})+(?:(?:\r?\n|\\n)\x20*[A-Za-z0-9+/]+={0,2}(?=[\x20\t\r]*(?:\n|\\n|[\"']|\Z)))?)?)"
+)
+
 #: The base rules of the contract, then those that the method adds.
 RULES = (
     SecretRule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     SecretRule("access", r"AKIA[A-Z0-9]+", 0, 18),
     SecretRule("hex", r"[0-9a-f]+", 0, 16),
-    SecretRule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    SecretRule("private_key", PRIVATE_KEY),
     SecretRule("hosting_token", r"gh[oprsu]_[A-Za-z0-9]+", 0, 40),
     SecretRule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     SecretRule("cloud_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
     SecretRule("payment_key", r"[rs]k_(?:live|test)_[A-Za-z0-9]+", 0, 24),
     SecretRule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    SecretRule("login_url", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{1,64})@", 1, 1),
+    SecretRule("login_url", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]*:([^\s/@]+)@", 1, 1),
 )
 BASE_KINDS = ("assign", "access", "hex")
 

@@ -277,6 +277,18 @@ def test_secrets_index_finds_what_a_full_scan_finds(docs):
     assert not any("abcdefabcdef0123" in (r["text"] or "") for r in clean.collect())
 
 
+def test_whole_keys_and_logins_are_masked():
+    body = "\n".join("MIIEpAIBAAKCAQEA" + f"{i:02}" + "x/+Z" * 11 for i in range(25)) + "\nq8Zk0w=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    mask = lambda t: secrets.masked(t, secrets.Scanner().scan([t])[0])
+    assert mask(f"see {begin}\n{body}\n{end}\nthe end") == "see [REDACTED]\nthe end"
+    assert mask(f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}\nthe end of it") == "[REDACTED]\nthe end of it"
+    assert mask(f"{begin}\n{body}\n\n{begin}\n{body}\n{end} ok") == "[REDACTED]\n\n[REDACTED] ok"
+    assert mask('k = "' + begin + "\\n" + body.replace("\n", "\\n") + '"; go') == 'k = "[REDACTED]"; go'
+    assert mask(f"a bare {begin} in prose") == "a bare [REDACTED] in prose"
+    assert mask(f"db://{'u' * 90}:{'p' * 200}@host/x redis://:pw@h") == f"db://{'u' * 90}:[REDACTED]@host/x redis://:[REDACTED]@h"
+
+
 def test_surrogates(spark):
     rows = [(1, "Mr. John Smith met Mrs. Anna Smith; JOHN@A.CO and john@a.co, +1 (017) 555-7713 or +1-017-555-7713."), (2, "4785380592391139 4785-3805-9239-1139 x4785380592391139"), (3, None), (4, ""), (5, "1.2.3.4 1.2.3.4. Госпожа Анна Иванова")]
     got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()}
