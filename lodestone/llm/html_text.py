@@ -2,12 +2,11 @@
 
 A page is read once, in order. Markup is stripped; every block element ends a line, so a line is the text of one
 block. Text of scripts, styles, comments in markup, forms and page furniture (navigation, headers, footers, sidebars,
-notices, adverts, reader comments, told by element, role or name) counts as lines of length 0, as does everything outside
-the page's article where it marks one. Over the lines' lengths, sums over a sliding window of WINDOW lines give the
+notices, adverts, reader comments, told by element, role or name) is left out, as is everything outside
+the page's articles where it marks any. Inside an article, only containers with a whole class or id are told by name. Over the lines' lengths, sums over a sliding window of WINDOW lines give the
 distribution: a surge is where the sum rises to the threshold, a dive where it falls to 0. Lines between surge
-and dive are the text. Where the page marks its article, any sum above 0 is a surge and all regions of the article are
-kept, so short paragraphs stay; otherwise the surge must reach SURGE characters, lines made of links count 0, and the
-region with the most text is kept.
+and dive are the text. Where the page marks articles, all their lines are kept; otherwise the surge must reach SURGE characters, lines
+made of links count 0 (they stay inside a region), and every region is kept; where none reaches SURGE, any text is a surge.
 
 Defined cases: null html is the empty page, with an empty text; unclosed elements end with what encloses
 them; pages without a text give an empty text, never a missing row. White space inside a block, non-breaking
@@ -27,11 +26,13 @@ from pyspark.sql import types as T
 WINDOW = 3
 SURGE = 80
 #: Elements by what they mean for lines of text.
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select|audio|video|head"
+RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|title|textarea|select|audio|video"
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button fieldset search".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 FURNITURE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments disqus replies related recommended share sharing social widget login search toolbar pagination pager".split())
+#: Elements that a name makes furniture inside an article.
+CONTAINERS = frozenset("div section ul ol dl table details center figure".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end may be left out: followed only where they are furniture themselves.
 LOOSE = frozenset("p li dt dd td th tr tbody thead tfoot option b i u s em strong a span small sub sup code font mark abbr cite q big tt strike del ins label time".split())
@@ -41,7 +42,7 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^
 NAME = re.compile(r"[a-z]+")
 
 
-def is_furniture(name: str, attributes: str) -> bool:
+def is_furniture(name: str, attributes: str, inside: bool = False) -> bool:
     if name in FURNITURE:
         return True
     if not attributes.strip():
@@ -50,8 +51,9 @@ def is_furniture(name: str, attributes: str) -> bool:
         key, value = key.lower(), (a or b or c).lower()
         if key == "role" and value in FURNITURE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and not FURNITURE_NAMES.isdisjoint(NAME.findall(value)) and name not in ("html", "body", "article", "main"):
-            return True
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and (not inside or name in CONTAINERS):
+            if not FURNITURE_NAMES.isdisjoint(value.split() if inside else NAME.findall(value)):
+                return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
@@ -124,7 +126,7 @@ def lines_of(page: str) -> list[tuple[str, int, float]]:
             continue
         while stack and name in BLOCKS and stack[-1][0] == "p":
             pop()
-        furniture = is_furniture(name, m[4])
+        furniture = is_furniture(name, m[4], article > 0)
         if furniture or name not in LOOSE:
             if not article and not hidden and (name in ("article", "main") or 'role="main"' in m[4].lower()):
                 articles += 1
@@ -154,20 +156,12 @@ def regions(lengths: list[int], surge: int) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    sizes: dict[int, int] = {}
-    for text, article, _ in lines:
-        if article:
-            sizes[article] = sizes.get(article, 0) + len(text)
-    if sizes:
-        best = max(sizes, key=lambda a: (sizes[a], -a))
-        lengths = [len(t) if a == best else 0 for t, a, _ in lines]
-        kept = regions(lengths, 1)
-    else:
-        lengths = [0 if share > 0.5 else len(t) for t, _, share in lines]
-        kept = regions(lengths, SURGE)
-        kept = sorted(kept, key=lambda r: (-sum(lengths[r[0] : r[1]]), r))[:1]
-    return "\n\n".join(lines[i][0] for a, b in kept for i in range(a, b) if lengths[i])
+    lines = [x for x in lines_of(page or "") if x[0]]  # furniture inside a text makes no dive
+    if any(article for _, article, _ in lines):
+        return "\n\n".join(t for t, article, _ in lines if article)
+    lengths = [0 if share > 0.5 else len(t) for t, _, share in lines]
+    kept = regions(lengths, SURGE) or regions(lengths, 1)
+    return "\n\n".join(lines[i][0] for a, b in kept for i in range(a, b))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -87,6 +87,17 @@ def test_html():
     assert html_text.regions([0, 5, 0, 0, 0, 0, 7, 1], 1) == [(1, 2), (6, 8)]
 
 
+def test_html_keeps_all_parts_of_a_text():
+    long, text = "word " * 30, html_text.main_text
+    assert text(f"<div><p>{long}a<p>{long}b<div class=advert>buy</div><p>short end</div>").count("word") == 60
+    assert text(f"<p>{long}<div class=share-box>x</div><p>short end").endswith("short end")
+    assert text(f"<p>{long}<p><a href=x>all link</a><p>{long}").count("\n\nall link\n\n") == 1
+    assert text("<body><p>A short page.</body>") == "A short page."
+    assert text("<article><p>one</article><nav>n</nav><article><p>two, longer</article>") == "one\n\ntwo, longer"
+    assert text("<article><h2 id='related-work'>Related</h2><section id='search-algorithms'><p>s</section><p class=notice>n<div class=comments>c</div></article>") == "Related\n\ns\n\nn"
+    assert text("<html><head><title>t</title><meta charset=utf-8><body><article><p>body</article>") == "body"
+
+
 def test_suffix_array_by_grouping():
     rng = np.random.default_rng(2)
     for _ in range(200):
