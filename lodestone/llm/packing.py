@@ -3,13 +3,14 @@
 Every document is tokenized once, in Arrow batches, and cut into pieces of the sequence length plus a rest. What
 the driver sees is the histogram of piece lengths in classes of CLASS_WIDTH tokens, at most SEQUENCE / CLASS_WIDTH rows
 whatever the corpus. Over it a linear program chooses how often to use each pattern (a multiset of classes
-that fits a sequence); an unbounded-knapsack dynamic program prices new patterns until none would help by more than TOLERANCE.
-Pattern counts are rounded down, what is left over is packed largest first, and so every piece of the histogram has a
-slot. Pieces are ranked within their class (in salted parts, so that a class holding most pieces is spread),
-and the rank names the pattern, its copy and the slot.
-
-Defined cases: a null or empty text is the one closing id. Rows that repeat are packed each. Extra columns are not read.
-An empty table gives no pieces. A text without an end of white space, of any length, is tokenized whole.
+that fits a sequence). It starts from patterns filled largest first, which form a basis; an unbounded-knapsack dynamic program
+prices new patterns, until the uses come within TOLERANCE of a lower bound: the volume, or the uses over the best price.
+Uses are rounded down, what is left is solved again as a smaller program, and the last patterns, used less than once
+each, are repaired to what is left; so every piece of the histogram has a slot. Pieces are ranked within their class (in salted
+parts, so that a class holding most pieces is spread), and the rank names the pattern, its copy and the slot.
+
+Defined cases: a null or empty text is the one closing id. Rows that repeat are packed each; null ids stay. Extra columns
+are not read. An empty table gives no pieces. A text without an end of white space, of any length, is tokenized whole.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ SEQUENCE = 2048
 CLOSING_ID = 1
 CLASS_WIDTH = 8
 #: The program ends when its bound shows that no more than this share of sequences could still be saved.
-TOLERANCE, MOST_ROUNDS = 1e-3, 4000
-#: Distinct words whose ids a Python worker keeps.
-KEPT_WORDS = 1_500_000
+TOLERANCE, MOST_ROUNDS = 1e-4, 4000
+#: Bytes of words and ids that a Python worker keeps, with the overhead of an entry, before it begins anew.
+KEPT_BYTES, ENTRY_BYTES = 256 << 20, 200
 #: ASCII punctuation, which the tokenizer never joins to letters before it.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -56,6 +57,7 @@ class WordTokenizer:
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         self.closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def learn(self, words: list[bytes]) -> None:
@@ -83,6 +85,7 @@ class WordTokenizer:
             raw = np.array(found.ids, "<u4").tobytes()
             ends = np.searchsorted(found.word_ids, np.arange(len(others)), "right").tolist()
             self.parts.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(others, [0, *ends[:-1]], ends, strict=True))
+        self.held += sum(map(len, words)) + ENTRY_BYTES * len(words)
         self.known.update((w, self.parts[a] + self.parts[b] if b else self.parts[a]) for w, (a, b) in zip(words, split, strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
@@ -90,10 +93,10 @@ class WordTokenizer:
         for text in texts:
             words = text.encode("utf-8", "surrogatepass").split()
             new = list(set(words).difference(self.known))
-            if len(self.known) + len(new) > KEPT_WORDS:
+            if self.held > KEPT_BYTES:
                 self.known.clear()
                 self.parts.clear()
-                new = list(set(words))
+                self.held, new = 0, list(set(words))
             if new:
                 self.learn(new)
             yield b"".join(map(self.known.__getitem__, words)) + self.closing
@@ -145,28 +148,74 @@ def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), counts
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns by row, uses) of the linear program min sum(uses), patterns' uses meeting demand; revised simplex."""
-    m = len(sizes)
-    basis = np.diag(capacity // sizes).astype(np.int64)  # columns are patterns
-    inverse = np.diag(1.0 / (capacity // sizes))
-    uses = inverse @ demand
-    for _ in range(MOST_ROUNDS):
-        worth = inverse.sum(0)
-        price, pattern = best_pattern(sizes, worth, capacity)
+def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns by column, uses) that meet demand: each filled with the largest sizes left and used until one of them is used up.
+
+    The size used up is in no later pattern, so the columns are triangular: a basis, whatever the demand.
+    """
+    m, left, open_ = len(sizes), demand.astype(float), list(range(len(sizes) - 1, -1, -1))
+    basis, uses = np.zeros((m, m), np.int64), np.zeros(m)
+    for step in range(m):
+        room = capacity
+        for k in open_:
+            if room < sizes[k]:
+                continue
+            basis[k, step] = n = min(room // sizes[k], max(1, int(np.ceil(left[k]))))
+            room -= n * sizes[k]
+        used = np.flatnonzero(basis[:, step])
+        out = used[(left[used] / basis[used, step]).argmin()]
+        uses[step] = left[out] / basis[out, step]
+        left = np.maximum(left - uses[step] * basis[:, step], 0)
+        open_.remove(out)
+    return basis, uses
+
+
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """Inverse by elimination with row pivots; plain array steps, as a threaded linear algebra library may hang behind a JVM's fork."""
+    m = len(basis)
+    work = np.hstack([basis.astype(float), np.eye(m)])
+    for c in range(m):
+        p = c + int(np.abs(work[c:, c]).argmax())
+        if p != c:
+            work[[c, p]] = work[[p, c]]
+        work[c] /= work[c, c]
+        others = np.flatnonzero(work[:, c])
+        others = others[others != c]
+        work[others] -= work[others, c, None] * work[c]
+    return work[:, m:]
+
+
+def _times(inverse: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (inverse * vector).sum(1)
+
+
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(patterns by row, uses, lower bound) of the linear program min sum(uses), patterns' uses meeting demand; revised simplex."""
+    basis, uses = first_basis(sizes, demand, capacity)
+    inverse = inverted(basis)
+    bound = float((sizes * demand).sum()) / capacity
+    for turn in range(1, MOST_ROUNDS):
+        if uses.sum() <= bound * (1 + TOLERANCE):
+            break
+        price, pattern = best_pattern(sizes, inverse.sum(0), capacity)
+        bound = max(bound, uses.sum() / price)
         if price <= 1 + TOLERANCE:
             break
-        step = inverse @ pattern
+        step = _times(inverse, pattern)
         ratios = np.where(step > 1e-9, uses / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratios.argmin())
         moved = ratios[out]
         uses = np.maximum(uses - moved * step, 0)
         uses[out] = moved
-        row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
         basis[:, out] = pattern
-    return basis.T.reshape(m, m), uses
+        if turn % 64 == 0:  # rounding errors do not add up
+            inverse = inverted(basis)
+            uses = np.maximum(_times(inverse, demand), 0)
+        else:
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+    return basis.T, uses, bound
 
 
 Pattern = tuple[dict[int, int], int]
@@ -176,38 +225,47 @@ def _named(sizes: np.ndarray, pattern: np.ndarray) -> dict[int, int]:
     return {int(s): int(n) for s, n in zip(sizes, pattern, strict=True) if n}
 
 
-def largest_first(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[Pattern]:
-    """Patterns filled with the largest sizes left, each used as often as it can be."""
-    out = []
-    while left.any():
-        pattern, room = np.zeros_like(left), capacity
-        for k in range(len(sizes) - 1, -1, -1):
-            pattern[k] = min(left[k], room // sizes[k])
-            room -= pattern[k] * sizes[k]
-        times = int((left[pattern > 0] // pattern[pattern > 0]).min())
-        left = left - pattern * times
-        out.append((_named(sizes, pattern), times))
-    return out
+def _filled(sizes: np.ndarray, pattern: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """pattern cut down to what is left, its room filled with the largest sizes left that fit."""
+    pattern = np.minimum(pattern, left)
+    room = capacity - int((pattern * sizes).sum())
+    for k in range(len(sizes) - 1, -1, -1):
+        n = min(int(left[k] - pattern[k]), room // int(sizes[k]))
+        pattern[k] += n
+        room -= n * int(sizes[k])
+    return pattern
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     """histogram (size -> pieces) -> patterns (size -> slots) with how often each is used; slots equal pieces for every size.
 
-    Where the program, cut off at MOST_ROUNDS, uses more sequences than filling largest first does, the latter is taken.
+    The program's uses are rounded down; what is left is a smaller program, solved again, until all uses are below one. The
+    patterns left are then taken once each, in order of use, repaired to what is left.
     """
     sizes = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[s] for s in sizes.tolist()], np.int64)
-    if not len(sizes):
-        return []
-    plain, out = largest_first(sizes, left, capacity), []
-    patterns, uses = solve_patterns(sizes, left.astype(float), capacity)
-    for pattern, times in zip(patterns, np.floor(uses + 1e-9).astype(np.int64), strict=True):
-        times = int(min(times, (left[pattern > 0] // pattern[pattern > 0]).min())) if pattern.any() else 0
-        if times > 0:
-            left = left - pattern * times
-            out.append((_named(sizes, pattern), times))
-    out += largest_first(sizes, left, capacity)
-    return min(out, plain, key=lambda p: sum(times for _, times in p))
+    out: list[Pattern] = []
+    while left.any():
+        some = np.flatnonzero(left)
+        found, uses, _ = solve_patterns(sizes[some], left[some].astype(float), capacity)
+        patterns = np.zeros((len(found), len(sizes)), np.int64)
+        patterns[:, some] = found
+        order = np.argsort(-uses, kind="stable")
+        taken = 0
+        for k in order:
+            times = int(min(np.floor(uses[k] + 1e-9), (left[patterns[k] > 0] // patterns[k][patterns[k] > 0]).min()))
+            if times > 0:
+                left = left - patterns[k] * times
+                out.append((_named(sizes, patterns[k]), times))
+                taken += times
+        if taken:
+            continue
+        for k in order:
+            pattern = _filled(sizes, patterns[k], left, capacity)
+            if pattern.any():
+                left = left - pattern
+                out.append((_named(sizes, pattern), 1))
+    return out
 
 
 class Slots:
