@@ -63,7 +63,7 @@ RULES = (
     SecretRule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     SecretRule("cloud_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
     SecretRule("payment_key", r"[rs]k_(?:live|test)_[A-Za-z0-9]+", 0, 24),
-    SecretRule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    SecretRule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     SecretRule("login_url", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]*:([^\s/@]+)@", 1, 1),
 )
 BASE_KINDS = ("assign", "access", "hex")
