@@ -19,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set (tests)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share; a local one only where none is set and all tasks run in this process."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -38,6 +39,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """docs as one column doc beside the keys, so that no column of docs clashes with a helper column."""
+    inside = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*inside).alias("doc"), *[k.alias(name) for name, k in keys.items()])
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("doc.*")
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array, split at BLANKS; null or blank text: an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -13,11 +13,12 @@ exact count of blocks of every source. The blocks of a source are numbered by a
 a range of numbers, so draws are disjoint, and within a shard blocks are ordered by a keyed hash: the local shuffle.
 
 Everything follows from the seed and the rows: reruns agree. Lines of large sources are built in salted parts (a
-part's offset from sums over parts), so no task holds a source. Only the table of sources, at most MOST_SOURCES rows
-(checked), is handled in one task.
+part's offset from sums over parts), so no task holds a source. Sources are numbered by a sort in ranges, and the level of
+the targets comes from sums over the table of sources, so neither asks how many there are; only the root of the tree
+holds one number for each source in a task.
 
 Defined cases: null or blank texts have size 0 and are not taken. A null source is a source of its own, last in order. Rows that repeat
-stand on the line each. Extra columns are not read by plan_mix() and pass through mixed(). An empty table gives an empty mix.
+stand on the line each; null ids are ids. Extra columns are not read by plan_mix() and pass through mixed(). An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_small, materialize, word_count
+from .common import boxed, joined_small, materialize, unboxed, word_count
 
 
 @dataclass(frozen=True)
@@ -41,35 +42,45 @@ class MixConfig:
     most_repeats: int = 2
     block_words: int = 2048
     shard_blocks: int = 1024
-    part_rows: int = 50_000
+    part_rows: int = 4_000
     seed: int = 17
 
 
-MOST_SOURCES = 100_000
+#: Tables with a row a source are broadcast up to so many rows, and shuffled beyond.
+BROADCAST_SOURCES = 100_000
 FAN_LEVELS = 6
+#: The generator's own draws stop at this population; larger ones come from draws source by source.
+LARGE_POPULATION = 10**9
+
+
+def numbered(sizes: DataFrame) -> DataFrame:
+    """sizes (source, ...) with nth: its place from 0 in order of sources by code point, null last."""
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("source").asc_nulls_last()
+    ranges = materialize(sizes.repartitionByRange(parts, order).withColumn("range", F.spark_partition_id()), "ranges")
+    own = ranges.withColumn("own", F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a range
+    return own.join(F.broadcast(bases), "range").withColumn("nth", (F.col("base") + F.col("own")).cast("long")).drop("range", "base", "own")
 
 
 def source_targets(sizes: DataFrame, config: MixConfig) -> DataFrame:
-    """sizes (source, n_docs, source_size) -> with weight and target. In order of sources by code point, null last."""
-    if sizes.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weights = F.array(*[F.lit(float(w)) for w in config.weights])
-    df = sizes.withColumn("weight", F.get(weights, ((F.row_number().over(order) - 1) % len(config.weights))))
-    df = df.withColumn("most", F.col("source_size") * float(config.most_repeats))
-    # sources reach their limit in order of limit over weight: the level that the rest shares follows from sums over that order
-    by_level = Window.orderBy((F.col("most") / F.col("weight")), F.col("source").asc_nulls_last())
-    above = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    df = df.withColumns({
-        "total": F.sum("source_size").over(whole) * config.share,
-        "full": F.coalesce(F.sum("most").over(above), F.lit(0.0)),
-        "open": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(above), F.lit(0.0)),
-    })
-    df = df.withColumn("level", (F.col("total") - F.col("full")) / F.col("open"))
-    # the first source in that order that stays below its limit sets the level
-    df = df.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), F.col("level").alias("level")))).over(whole)["level"])
-    target = F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("most")), F.col("most"))
+    """sizes (source, n_docs, source_size) -> with weight and target.
+
+    The level that open sources share rises as others reach their limit; it is found by sums over the table, a few times.
+    """
+    weights = F.array(*[F.lit(w) for w in config.weights])
+    df = numbered(sizes).withColumn("weight", F.get(weights, (F.col("nth") % len(config.weights)).cast("int")))
+    df = materialize(df.withColumn("most", F.col("source_size") * config.most_repeats), "weighted")
+    total = (df.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * config.share
+    level, reached = 0.0, -1
+    while True:
+        full = F.col("most") <= F.col("weight") * level
+        n, most, open_weight = df.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
+        if n == reached or not open_weight:
+            break
+        level, reached = (total - most) / open_weight, n
+    target = F.when(F.lit(not open_weight), F.col("most").cast("double")).otherwise(F.least(F.col("weight") * level, F.col("most").cast("double")))
     return df.select("source", "n_docs", "source_size", "weight", target.alias("target"))
 
 
@@ -90,6 +101,20 @@ def _permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def hypergeometric(quotas: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
+    """How many blocks of each source a draw of n among all quotas takes."""
+    if int(quotas.sum()) < LARGE_POPULATION:
+        return np.random.default_rng(seed).multivariate_hypergeometric(quotas, n, method="marginals")
+    rng, out = np.random.RandomState(np.random.SeedSequence(seed).generate_state(8)), np.zeros_like(quotas)
+    rest = int(quotas.sum())
+    for i, quota in enumerate(quotas.tolist()):  # each given those before it
+        rest -= quota
+        if n and quota:
+            out[i] = rng.hypergeometric(quota, rest, n) if rest else n
+            n -= int(out[i])
+    return out
+
+
 def _split(quotas: np.ndarray, first: int, last: int, shards: int, blocks: int, levels: int, seed: int):
     """Yields (first, last, quotas) of the nodes so many levels below the node of shards first..last-1."""
     if levels == 0 or last - first == 1:
@@ -97,7 +122,7 @@ def _split(quotas: np.ndarray, first: int, last: int, shards: int, blocks: int,
         return
     middle = (first + last) // 2
     edge = lambda s: blocks * s // shards  # noqa: E731  blocks in the shards before s
-    draw = np.random.default_rng([seed, first, last]).multivariate_hypergeometric(quotas, edge(middle) - edge(first), method="marginals")
+    draw = hypergeometric(quotas, edge(middle) - edge(first), [seed, first, last])
     yield from _split(draw, first, middle, shards, blocks, levels - 1, seed)
     yield from _split(quotas - draw, middle, last, shards, blocks, levels - 1, seed)
 
@@ -107,7 +132,7 @@ def shard_quotas(quotas: DataFrame, shards: int, blocks: int, seed: int) -> Data
 
     def split(node: pd.DataFrame) -> pd.DataFrame:
         node = node.sort_values("sid")
-        found = [pd.DataFrame({"first": a, "last": b, "sid": node["sid"], "quota": q}) for a, b, q in _split(node["quota"].to_numpy(), int(node["first"].iloc[0]), int(node["last"].iloc[0]), shards, blocks, FAN_LEVELS, seed)]
+        found = [pd.DataFrame({"first": a, "last": b, "sid": node["sid"], "quota": q})[q > 0] for a, b, q in _split(node["quota"].to_numpy(), int(node["first"].iloc[0]), int(node["last"].iloc[0]), shards, blocks, FAN_LEVELS, seed)]
         return pd.concat(found)
 
     nodes = quotas.select(F.lit(0).cast("long").alias("first"), F.lit(shards).cast("long").alias("last"), "sid", F.col("quota").cast("long").alias("quota"))
@@ -134,7 +159,7 @@ class Mix:
         """row, doc_id, epoch, from_word, n_words, shard, place: every piece of a document that the mix takes."""
         c, b = self.config, self.config.block_words
         src = self.sources.select("sid", "source_size", "take", "n_blocks")
-        df = joined_small(self.lines.filter("size > 0"), src, ["sid"], "inner", MOST_SOURCES)
+        df = joined_small(self.lines.filter("size > 0"), src, ["sid"], "inner", BROADCAST_SOURCES)
         epochs = F.explode(F.sequence(F.lit(0), F.lit(c.most_repeats - 1)))
         df = df.withColumn("epoch", epochs).withColumn("limit", F.least("source_size", F.col("take") - F.col("epoch") * F.col("source_size")))
         df = df.filter("begin < limit").withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("limit")))
@@ -168,7 +193,7 @@ def plan_mix(docs: DataFrame, config: MixConfig = MixConfig()) -> Mix:
     again = F.greatest(F.col("take") - F.col("source_size"), F.lit(0))
     blocks = F.when(F.col("source_size") == 0, 0).otherwise(F.ceil(F.least("take", "source_size") / b) + F.ceil(again / b))
     targets = materialize(targets.withColumn("n_blocks", blocks.cast("long")), "targets")
-    parts = joined_small(sized, targets.select("sid", "n_docs"), ["sid"], "inner", MOST_SOURCES)
+    parts = joined_small(sized, targets.select("sid", "n_docs"), ["sid"], "inner", BROADCAST_SOURCES)
     # the line in parts of the hash range: a part's place is known from the sums before it
     parts = parts.withColumn("part", F.floor((F.col("spot").cast("double") / float(1 << 63) + 1) / 2 * F.ceil(F.col("n_docs") / config.part_rows)).cast("long"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,22 +211,25 @@ def report(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     mix = plan_mix(docs, config)
     taken = mix.pieces().groupBy("row", "doc_id").agg(F.sum("n_words").alias("words"), F.count_distinct("shard").alias("shards"))
     rows = Window.partitionBy("row", "doc_id")
-    lines = joined_small(mix.lines, mix.sources.select("sid", "source_size", "target"), ["sid"], "inner", MOST_SOURCES)
+    lines = joined_small(mix.lines, mix.sources.select("sid", "source_size", "target"), ["sid"], "inner", BROADCAST_SOURCES)
     same = F.count(F.lit(1)).over(rows)  # rows that repeat share what was taken of them
-    out = lines.withColumn("same", same).withColumn("nth", F.row_number().over(rows.orderBy("begin"))).join(taken.withColumnsRenamed({"row": "r", "doc_id": "d"}), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    out = lines.withColumn("same", same).withColumn("copy", F.row_number().over(rows.orderBy("begin"))).join(taken.withColumnsRenamed({"row": "r", "doc_id": "d"}), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     words = F.coalesce("words", F.lit(0))
-    share = F.floor(words / F.col("same")) + (F.col("nth") <= words % F.col("same")).cast("long")
+    share = F.floor(words / F.col("same")) + (F.col("copy") <= words % F.col("same")).cast("long")
     return out.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"), F.coalesce("shards", F.lit(0)).cast("long").alias("n_shards"))
 
 
 def mixed(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """Whole documents by the mix: a document is given once for each epoch that takes at least half its words."""
+    """Whole documents by the mix, shard by shard in the order of its shuffle.
+
+    A document is given once for each epoch that takes at least half its words, in the shard and at the place of its first
+    piece there. A partition holds whole shards, sorted, so that the files written from it are the mix.
+    """
     mix = plan_mix(docs, config)
     times = mix.pieces().groupBy("row", "doc_id", "epoch").agg(F.sum("n_words").alias("words"), F.min(F.struct("shard", "place")).alias("at"))
-    size = mix.lines.groupBy("row", "doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("same"))
-    key = lambda a: (F.col("row") == F.col(a)) & F.col("doc_id").eqNullSafe(F.col("d"))
-    whole = times.join(size.withColumnsRenamed({"row": "r", "doc_id": "d"}), key("r")).filter("2 * words >= size")
-    whole = materialize(whole.groupBy("row").agg(F.count(F.lit(1)).alias("epochs")), "whole")
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    out = rows.join(whole.withColumnRenamed("row", "_row"), "_row")
-    return out.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*docs.columns)
+    size = mix.lines.groupBy("row", "doc_id").agg(F.sum("size").alias("size"))
+    whole = times.join(size.withColumnsRenamed({"row": "r", "doc_id": "d"}), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    whole = materialize(whole.filter("2 * words >= size").select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "epoch", "at.shard", "at.place"), "whole")
+    rows = boxed(docs, row=F.xxhash64("doc_id", "source", "text"), id=F.col("doc_id"))
+    out = rows.join(whole, (F.col("row") == F.col("r")) & F.col("id").eqNullSafe(F.col("d")))
+    return unboxed(out.repartition("shard").sortWithinPartitions("shard", "place", "epoch"))
