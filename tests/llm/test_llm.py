@@ -4,11 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import chat, html_text, minhash, mixing, packing, pii, quality, repeats, secrets, simhash, suffixes
 
@@ -62,6 +65,72 @@ def test_mix_meets_targets_and_limits(spark, docs):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def poured(sizes, weights, total, most):
+    """Water filling by exact fractions: one source reaches its limit at a time."""
+    target, open_ = {}, set(range(len(sizes)))
+    while open_:
+        level = (total - sum(target.values())) / sum(weights[i] for i in open_)
+        over = [i for i in open_ if most * sizes[i] < level * weights[i]]
+        if not over:
+            return target | {i: level * weights[i] for i in open_}
+        least = min(over, key=lambda i: Fraction(most * sizes[i], weights[i]))
+        target[least] = Fraction(most * sizes[least])
+        open_.remove(least)
+    return target
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_are_poured(spark, seed):
+    rng = random.Random(seed)
+    names = sorted({"".join(rng.choice("abé𝄞Z ") for _ in range(rng.randint(0, 4))) for _ in range(30)}) + [None]
+    sizes = [rng.choice([0, rng.randint(1, 9), rng.randint(1, 10**6)]) for _ in names]
+    df = spark.createDataFrame([*zip(names, [1] * len(names), sizes)], "source string, n_docs long, source_size long").repartition(3)
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df, mixing.MixConfig()).collect()}
+    want = poured(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], Fraction(3 * sum(sizes), 2), 2)
+    assert got == pytest.approx({n: float(want[i]) for i, n in enumerate(names)})
+
+
+def test_draws_from_large_populations():
+    q = np.array([8 * 10**9, 10**9, 5, 0, 3 * 10**10])
+    got = mixing.hypergeometric(q, 10**10, [3, 4])
+    assert got.sum() == 10**10 and (got <= q).all() and (got == mixing.hypergeometric(q, 10**10, [3, 4])).all()
+    assert np.abs(got[[0, 1, 4]] / q[[0, 1, 4]] * q.sum() / 10**10 - 1).max() < 1e-3
+    small = [mixing.hypergeometric(np.array([3, 4, 5]), 6, [s]) for s in range(400)]
+    mixing.LARGE_POPULATION, kept = 1, mixing.LARGE_POPULATION
+    try:
+        by_source = [mixing.hypergeometric(np.array([3, 4, 5]), 6, [s]) for s in range(400)]
+    finally:
+        mixing.LARGE_POPULATION = kept
+    assert np.abs(np.mean(small, 0) - np.mean(by_source, 0)).max() < 0.2 and all(x.sum() == 6 for x in by_source)
+
+
+def test_mixed_documents_come_by_shard(spark, docs):
+    config = mixing.MixConfig(block_words=16, shard_blocks=8, part_rows=7)
+    clash = docs.withColumns({"row": F.lit(1), "epochs": F.lit("x"), "_row": F.lit(2), "shard": F.lit(-1), "doc": F.lit("d"), "a.b": F.lit(0)})
+    out = mixing.mixed(clash, config)
+    assert out.columns == clash.columns
+    pieces = mixing.plan_mix(docs, config).pieces().collect()
+    size = {(r[0], r[3]): len(WORD.findall(r[1] or "")) * (2 if r[0] == 9 else 1) for r in rows_of()}
+    words, first = collections.Counter(), {}
+    for p in pieces:
+        key = (p["doc_id"], p["epoch"])
+        words[key] += p["n_words"]
+        first[key] = min(first.get(key, (10**9, 0)), (p["shard"], p["place"]))
+    of = {i: n for (i, _), n in size.items()}
+    want = collections.Counter()
+    for (i, _), n in words.items():
+        if 2 * n >= of[i]:
+            want[i] += 2 if i == 9 else 1
+    assert collections.Counter(r["doc_id"] for r in out.collect()) == want
+    shards = {i: {first[k] for k in words if k[0] == i and 2 * words[k] >= of[i]} for i in want}
+    for part in out.select("doc_id").rdd.glom().collect():  # each partition: whole shards, in order of place
+        seen = [(r["doc_id"], shards[r["doc_id"]]) for r in part]
+        at = (-1, -1)
+        for _, places in seen:
+            assert any(p >= at for p in places)
+            at = min(p for p in places if p >= at)
+
+
 def test_mix_pieces_are_disjoint_and_fill_shards(docs):
     c = mixing.MixConfig(block_words=16, shard_blocks=8, part_rows=1000)
     mix = mixing.plan_mix(docs, c)
@@ -84,7 +153,8 @@ def test_html():
     page = "<body><header>Site</header><div class='cookie-notice'>We use</div><main><h1>T&eacute;st</h1><p>One <b>two</b><p>three<br>four<aside>side</aside><p>a < b <ul><li>x<li>y</ul><form>go</form><!-- <p>no --><script>var t='</p>'</script><div id=comments><p>hi</div></main><footer>f</footer>"
     assert html_text.main_text(page) == "Tést\n\nOne two\n\nthree four\n\na < b\n\nx\n\ny"
     assert html_text.main_text(None) == "" == html_text.main_text("<nav>only</nav>")
-    assert html_text.regions([0, 5, 0, 0, 0, 0, 7, 1], 1) == [(1, 2), (6, 8)]
+    assert html_text.regions([0, 5, 0, 0, 0, 0, 7, 1], 1) == [(0, 2), (6, 8)]
+    assert html_text.regions([5, 0, 0, 0, 6, 90], 50) == [(4, 6)] and html_text.regions([0] * 4, 1) == [] and html_text.regions([5, 0, 0, 6], 5) == [(0, 4)]
 
 
 def test_html_keeps_all_parts_of_a_text():
@@ -98,6 +168,37 @@ def test_html_keeps_all_parts_of_a_text():
     assert text("<html><head><title>t</title><meta charset=utf-8><body><article><p>body</article>") == "body"
 
 
+def test_html_odd_markup():
+    text = html_text.main_text
+    assert text("<html><head><meta charset=utf-8><body><p>no end of the head</p>") == "no end of the head"
+    assert text("<p>a<svg/>b</p><p>c</p><svg><text>t</text></svg>") == "ab\n\nc"
+    assert text("<p data-x=it's>one</p><p>two</p>") == "one\n\ntwo"
+    assert text("<article><header><h1>Title</h1><p>by X</p></header><p>text</p><footer>f</footer></article>") == "Title\n\ntext"
+    named = "<div class='social-science'>s</div><div id=search-algorithms>t</div><div class=siteHeader>u</div><div class='share-box x'>v</div><div class='ad'>w</div>"
+    assert text(named) == "s\n\nt" == text(f"<article>{named}</article>")
+    assert text("<p>a</p><p>b <a href='x") == "a\n\nb"
+
+
+@pytest.mark.parametrize("bad", ["<a title='x ", '<a x="', "<a ", "<svg>", "<![CDATA[", "<!--", '<p class=" >', "<div></x>", "<"])
+def test_html_takes_linear_time(bad):
+    began = time.process_time()
+    html_text.main_text(bad * 40_000)
+    assert time.process_time() - began < 5
+
+
+def test_html_distribution_decides():
+    """Where nothing is marked, window sums tell text from menus and scraps; inside an article too."""
+    links = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(5))
+    long = "word " * 30
+    scrap, body = "<p>Est. 1999</p>", f"<h2>Head</h2><p>{long}a</p><p><a href=s>source</a></p><p>{long}b</p><p>short end</p>"
+    want = f"Head\n\n{long}a\n\nsource\n\n{long}b\n\nshort end"
+    assert html_text.main_text(f"<div>{scrap}<ul>{links}</ul>{body}</div>") == want
+    assert html_text.main_text(f"<article>{body}<ul>{links}</ul>{scrap}</article>") == want
+    assert html_text.main_text(f"<div>{scrap}</div>") == "Est. 1999"  # the threshold is never above what a page has
+    kept = html_text.main_text(f"<div>{scrap}<p>{'x' * html_text.SURGE}</p><ul>{links}</ul><p>{'y' * (html_text.SURGE - 1)}</p></div>")
+    assert kept == "Est. 1999\n\n" + "x" * html_text.SURGE
+
+
 def test_suffix_array_by_grouping():
     rng = np.random.default_rng(2)
     for _ in range(200):
@@ -106,7 +207,7 @@ def test_suffix_array_by_grouping():
         assert suffixes.suffix_array(x).tolist() == want
 
 
-def test_repeats_match_brute_force(docs):
+def removed(docs):
     texts = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
     counts = collections.Counter(t[i : i + 200] for _, t in texts for i in range(len(t) - 199))
     want = collections.Counter()
@@ -117,7 +218,25 @@ def test_repeats_match_brute_force(docs):
                 gone[p : p + 200] = b"\1" * 200
         spans = sum(1 for k in range(len(t)) if gone[k] and not (k and gone[k - 1]))
         want[(i, len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())] += 1
-    assert collections.Counter(map(tuple, repeats.report(docs).collect())) == want
+    return want
+
+
+def test_repeats_match_brute_force(docs):
+    assert collections.Counter(map(tuple, repeats.report(docs).collect())) == removed(docs)
+
+
+def test_a_hot_gram_is_split(spark, monkeypatch):
+    rng = random.Random(6)
+    said = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    passage = said(500)
+    rows = [(i if i % 9 else None, said(150 + i % 70) + passage[: 320 + i % 180] + (said(90) if i % 4 else "")) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = removed(df)
+    assert sum(k[2] * n for k, n in want.items()) > 30_000
+    monkeypatch.setattr(repeats, "HOT_KINDS", 5)
+    assert collections.Counter(map(tuple, repeats.report(df).collect())) == want
+    monkeypatch.setattr(repeats, "HOT_KINDS", 10**6)
+    assert collections.Counter(map(tuple, repeats.report(df).collect())) == want
 
 
 def test_fingerprints_follow_the_edit(docs):
@@ -173,20 +292,40 @@ def test_word_tokenizer_equals_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
-def test_column_generation_is_near_the_bound():
-    rng = np.random.default_rng(0)
-    histogram = {int(s): int(n) for s, n in zip(*np.unique(rng.integers(1, 255, 3000), return_counts=True), strict=True)}
-    plan = packing.plan(histogram, 256)
+def slots_of(plan, capacity):
     slots = collections.Counter()
     for pattern, times in plan:
-        assert sum(s * n for s, n in pattern.items()) <= 256
+        assert times > 0 and sum(s * n for s, n in pattern.items()) <= capacity
         for s, n in pattern.items():
             slots[s] += n * times
-    assert slots == histogram
-    used = lambda p: sum(t for _, t in p)
-    sizes = np.array(sorted(histogram))
-    assert used(plan) <= used(packing.largest_first(sizes, np.array([histogram[s] for s in sizes.tolist()]), 256))
-    assert used(packing.plan({100: 30, 70: 30, 86: 30}, 256)) == 30  # largest first would waste a sequence in four
+    return slots
+
+
+def test_column_generation_reaches_the_bound():
+    rng = np.random.default_rng(0)
+    drawn = {int(s): int(n) for s, n in zip(*np.unique(rng.integers(1, 255, 3000), return_counts=True), strict=True)}
+    even, odd = {i: 236 for i in range(1, 255)}, {129: 1000, 128: 1000, 127: 999, 85: 3000, 86: 3000}
+    for histogram in (drawn, even, odd, {i: 10**9 + i for i in range(60, 130)}, {i: 3 for i in range(100, 255)}, {255: 10}, {}):
+        plan = packing.plan(histogram, 256)
+        assert slots_of(plan, 256) == histogram
+        used = sum(t for _, t in plan)
+        sizes = np.array(sorted(histogram), np.int64)
+        if len(sizes):
+            _, uses, bound = packing.solve_patterns(sizes, np.array([histogram[s] for s in sizes.tolist()], float), 256)
+            assert bound - 1e-3 <= uses.sum() <= bound * (1 + 1e-3)  # the program ended by its bound, not by its rounds
+            assert used <= np.ceil(bound * (1 + packing.TOLERANCE)) + 1
+        if histogram in (drawn, even):
+            assert used <= 1.03 * sum(s * n for s, n in histogram.items()) / 256
+    assert sum(t for _, t in packing.plan({100: 30, 70: 30, 86: 30}, 256)) == 30  # filling largest first would waste a sequence in four
+
+
+def test_word_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_BYTES", 2_000)
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    texts = ["x" * 5_000 + " a", "b c", "word " * 50, "c d e", "z" * 1500, "b"]
+    for text, ids in zip(texts, words.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    assert words.held < 5_000
 
 
 def brute_components(fps, limit):
