@@ -1,22 +1,25 @@
 """SimHash near-duplicates, found through a Gray-order hierarchical index.
 
 Fingerprints are computed in Arrow batches. Documents with equal fingerprints (or texts) are one node. Nodes meet in
-blocks: for a bit limit alone, keys are choices of bit bands, so that by the
-pigeonhole principle no link is lost; for a word-shingle similarity, keys are minimum shingle hashes. A task takes whole
+blocks that an index of one task can carry: for a bit limit, the bits are split into one band more than the limit, so that two
+fingerprints within it agree on a band, and a few bits of each band are a key (as few as keep blocks near INDEX_ROWS);
+for a word-shingle similarity, keys are minimum shingle hashes. A task takes whole
 blocks, sorts each by Gray rank and builds the index: a node of a level holds the bits that all fingerprints below it share.
 Pairs of nodes are followed from the roots down; the differences on bits newly shared are added to those of the
-level above, and a pair of groups is dropped as soon as its accumulated differences pass the limit. Where two
-groups cannot differ by more, they are united as wholes. A block gives a star for each of its components, never all
-pairs. Stars join to components over all blocks.
+level above, and a pair of groups is dropped as soon as its accumulated differences pass the limit. Where the differences and all
+bits not yet shared stay within the limit, the groups are united as wholes, and two groups that are united already are not
+followed: no group's pairs are listed. A block gives a star for each of its components. Stars join to components over all blocks.
 
 For a word-shingle similarity, bits and sketches only choose candidates. Each candidate pair is decided by its documents'
 sets of distinct shingles before it links. A block proposes a spanning forest of its candidates; where pairs of it are refused,
 it proposes further ones, until every candidate pair is decided or joined by decided links.
 
-A block above BLOCK_ROWS is split by further keys that keep its pairs together, so that no task holds an unbounded group.
+A block above BLOCK_ROWS is split by further keys, and its parts again, until none is above or no key is left: bits by a new
+partition of all bits each time, which loses no pair and ends with single fingerprints; minimum hashes by further ones, so that
+of pairs of the least similarity one in 3,000 is lost at a split, as many as the first keys lose.
 
 Defined cases: null text is empty; without words the fingerprint is 0, linked like any other. Repeated rows and
-ties are equal fingerprints. Extra columns are not read by report() and pass through one_of_each(). Empty tables give empty
+ties are equal fingerprints. Extra columns, of any name, are not read by report() and pass through one_of_each(). Empty tables give empty
 tables. One document stays: the least doc_id (nulls first), of repeated rows one.
 """
 
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joined_small, materialize
+from .common import boxed, joined_small, materialize, unboxed
 from .components import components
 
 BITS = 64
@@ -48,6 +50,10 @@ MORE_PAIRS = 16
 #: Minimum hashes for block keys, as many again for hot blocks; bins of the similarity sketch.
 KEYS, SKETCH_BINS = 5, 256
 FAN, BLOCK_ROWS, GROUP_ROWS, PAIRS_AT_ONCE = 8, 100_000, 50_000, 20_000
+#: Fingerprints that a block of a bit limit holds if they are spread evenly.
+INDEX_ROWS = 2_048
+#: Times that a block may be split: bits of 19 partitions leave less than one bit of 64 free.
+MOST_SPLITS = 19
 FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -114,22 +120,48 @@ class GrayIndex:
             ends = np.r_[starts[1:], len(block)]
             self.levels.append((np.bitwise_and.reduceat(ones, starts), np.bitwise_or.reduceat(some, starts), block[starts], starts, ends))
 
-    def linked(self, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (u, v) of positions whose fingerprints differ in at most limit bits, or that stand for such groups."""
+    def linked(self, limit: int, sets: Unions, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (u, v) of positions whose fingerprints differ in at most limit bits; pairs of groups that are one set in sets are left out.
+
+        whole: groups that cannot differ in more bits are united in sets right away, without pairs.
+        """
         top = len(self.levels) - 1
+        leaves = [np.arange(len(self.levels[0][0]) + 1)]  # first leaf of each node, by level
+        for level in range(1, top + 1):
+            leaves.append(np.r_[leaves[-1][self.levels[level][3]], len(self.levels[0][0])])
         roots = np.arange(len(self.levels[top][0]))
         work = [(top, roots, roots, np.zeros(len(roots), np.int64))]
+        marks: dict[int, tuple[int, np.ndarray]] = {}
+
+        def one_set(level: int) -> np.ndarray:
+            """Per node of a level: the set that all its leaves are in, or -1."""
+            if marks.get(level, (-1,))[0] != sets.changes:
+                starts = leaves[level][:-1]
+                low = np.minimum.reduceat(sets.parent, starts)
+                marks[level] = sets.changes, np.where(low == np.maximum.reduceat(sets.parent, starts), low, -1)
+            return marks[level][1]
+
         while work:
             level, a, b, seen = work.pop()
             if len(a) > PAIRS_AT_ONCE:
                 work.append((level, a[PAIRS_AT_ONCE:], b[PAIRS_AT_ONCE:], seen[PAIRS_AT_ONCE:]))
                 a, b, seen = a[:PAIRS_AT_ONCE], b[:PAIRS_AT_ONCE], seen[:PAIRS_AT_ONCE]
+            if len(a):
+                of = one_set(level)
+                open_ = (of[a] != of[b]) | (of[a] < 0)
+                a, b, seen = a[open_], b[open_], seen[open_]
             if level == 0:
                 apart = a != b
                 yield a[apart], b[apart]
                 continue
             ones, some, _, starts, ends = self.levels[level]
             known = ~(ones[a] ^ some[a]) & ~(ones[b] ^ some[b])
+            if whole:
+                near = seen + np.bitwise_count(~known) <= limit
+                for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                    both = np.r_[leaves[level][x] : leaves[level][x + 1], leaves[level][y] : leaves[level][y + 1]]
+                    sets.unite(np.full(len(both), both[0]), both)
+                a, b, seen, known = a[~near], b[~near], seen[~near], known[~near]
             na, nb = (ends - starts)[a], (ends - starts)[b]
             of = np.repeat(np.arange(len(a)), na * nb)
             place = np.arange(len(of)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
@@ -140,22 +172,23 @@ class GrayIndex:
             shared = ~(ones[i] ^ some[i]) & ~(ones[j] ^ some[j])
             total = seen[of] + np.bitwise_count((ones[i] ^ ones[j]) & shared & ~known[of])
             near = total <= limit
-            i, j, total, shared = i[near], j[near], total[near], shared[near]
-            if len(i):
-                work.append((level - 1, i, j, total))
+            if near.any():
+                work.append((level - 1, i[near], j[near], total[near]))
 
 
 class Unions:
     """Components of positions; parent always points to the root."""
 
     def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
+        self.parent, self.changes = np.arange(n), 0
 
     def unite(self, u: np.ndarray, v: np.ndarray) -> None:
         while len(u):
             a, b = self.parent[u], self.parent[v]
             apart = a != b
             u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+            if len(u):
+                self.changes += 1
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
             while True:
                 up = self.parent[self.parent]
@@ -187,11 +220,8 @@ def block_stars(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
     """rows (key, id, fp) of whole blocks -> links (u, v) of ids: a star for each component of each block."""
     _, fp, _, block, ids = _sorted(rows)
     sets = Unions(len(ids))
-    for u, v in GrayIndex(fp, block).linked(limit):
-        for i in range(0, len(u), PAIRS_AT_ONCE):
-            x, y = u[i : i + PAIRS_AT_ONCE], v[i : i + PAIRS_AT_ONCE]
-            open_ = sets.apart(x, y)
-            sets.unite(x[open_], y[open_])
+    for u, v in GrayIndex(fp, block).linked(limit, sets, whole=True):
+        sets.unite(u, v)
     hangs = np.flatnonzero(sets.parent != np.arange(len(ids)))
     return pd.DataFrame({"u": ids[hangs], "v": ids[sets.parent[hangs]]})
 
@@ -211,7 +241,7 @@ def block_pairs(rows: pd.DataFrame, decided: pd.DataFrame, limit: int, estimate:
     sets.unite(x[near], y[near])
     trial.unite(x[near], y[near])
     given, us, vs = np.zeros(n, np.int64), [], []
-    for u, v in GrayIndex(fp, block).linked(limit):
+    for u, v in GrayIndex(fp, block).linked(limit, sets if more else trial):
         for i in range(0, len(u), PAIRS_AT_ONCE):
             x, y = u[i : i + PAIRS_AT_ONCE], v[i : i + PAIRS_AT_ONCE]
             open_ = sets.apart(x, y) if more else trial.apart(x, y)
@@ -246,51 +276,56 @@ def block_pairs(rows: pd.DataFrame, decided: pd.DataFrame, limit: int, estimate:
 # --- blocks and links over all tasks -----------------------------------------------------------------------------------
 
 
-def _masks(bits: list[int], pieces: int) -> list[int]:
-    """bits split into so many masks of nearly equal size."""
-    return [sum(1 << b for b in part) for part in (bits[i * len(bits) // pieces : (i + 1) * len(bits) // pieces] for i in range(pieces))]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def bit_parts(pieces: int, turn: int) -> list[list[int]]:
+    """All bits in so many parts, dealt anew each turn."""
+    bits = np.random.default_rng(turn).permutation(BITS).tolist() if turn else list(range(BITS))
+    return [bits[i * BITS // pieces : (i + 1) * BITS // pieces] for i in range(pieces)]
+
+
 def band_masks(limit: int, nodes: int) -> list[int]:
-    """Masks such that any two fingerprints within limit bits agree on one; blocks stay near 256 fingerprints if spread evenly."""
-    for more in range(1, 4):
-        pieces = _masks(list(range(BITS)), limit + more)
-        if nodes < 256 << (BITS * more // (limit + more)) or more == 3:
-            return [_signed(sum(c)) for c in combinations(pieces, more)]
-    raise AssertionError
-
-
-def band_blocks(nodes: DataFrame, limit: int, count: int) -> tuple[DataFrame, Column]:
-    """nodes (id, fp) -> rows by block key, and the further keys that a hot block may be split by."""
-    masks = band_masks(limit, count)
-    rest = [[_signed(m) for m in _masks([b for b in range(BITS) if not (mask >> b) & 1], limit + 1)] for mask in masks]
+    """Masks such that any two fingerprints within limit bits agree on one; of each band so many bits that blocks stay near INDEX_ROWS."""
+    width = max(0, (nodes // INDEX_ROWS).bit_length())
+    return [_signed(sum(1 << b for b in part[-width:])) if width else 0 for part in bit_parts(limit + 1, 0)]
+
+
+def _keyed(rows: DataFrame, masks: list[int], *before: Column) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("m")) for i, m in enumerate(masks)]))
-    rows = nodes.withColumn("_band", each).withColumn("key", F.xxhash64("_band.i", F.col("fp").bitwiseAND(F.col("_band.m"))))
-    table = F.array(*[F.array(*[F.lit(m).cast("long") for m in ms]) for ms in rest])
-    further = F.transform(F.get(table, F.col("_band.i")), lambda m, i: F.xxhash64("key", i, F.col("fp").bitwiseAND(m)))
-    return rows.withColumn("further", further).drop("_band"), F.col("further")
-
-
-def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows (key, further and columns) -> g, key and columns, whole blocks by g; blocks above BLOCK_ROWS are split by their further keys."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = materialize(sizes.filter(F.col("n") > BLOCK_ROWS).select("key"), "hot-blocks")  # at most rows / BLOCK_ROWS
-    if hot.count():
-        split = rows.join(F.broadcast(hot), "key", "left_semi").withColumn("key", F.explode("further"))
-        rows = rows.join(F.broadcast(hot), "key", "left_anti").unionByName(split)
+    rows = rows.withColumn("_band", each)
+    return rows.withColumn("key", F.xxhash64(*before, "_band.i", F.col("fp").bitwiseAND(F.col("_band.m")))).drop("_band")
+
+
+def band_blocks(nodes: DataFrame, limit: int, count: int) -> tuple[DataFrame, Callable[[DataFrame, int], DataFrame]]:
+    """nodes (id, fp) -> rows by block key, and how to split hot blocks a further time without losing a pair."""
+
+    def split(rows: DataFrame, turn: int) -> DataFrame:
+        masks = [_signed(sum(1 << b for b in part)) for part in bit_parts(limit + 1, turn)]
+        return _keyed(rows, masks, F.col("key"), F.lit(turn))
+
+    return _keyed(nodes, band_masks(limit, count)), split
+
+
+def _dealt(rows: DataFrame, columns: list[str], split: Callable[[DataFrame, int], DataFrame], turns: int) -> DataFrame:
+    """rows (key and columns) -> g, key and columns, whole blocks by g; blocks above BLOCK_ROWS are split up to so many times."""
+    for turn in range(1, turns + 1):
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        hot = materialize(sizes.filter(F.col("n") > BLOCK_ROWS).select("key"), "hot-blocks")  # at most rows / BLOCK_ROWS
+        if not hot.count():
+            break
+        parts = split(joined_small(rows, hot, ["key"], "left_semi"), turn)
+        rows = materialize(joined_small(rows, hot, ["key"], "left_anti").unionByName(parts), "split-blocks")
     total = rows.count()
     groups = max(1, total // GROUP_ROWS, rows.sparkSession.sparkContext.defaultParallelism)
     return rows.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"), "key", *columns)
 
 
-def links(rows: DataFrame, limit: int) -> DataFrame:
-    """rows (key, further, id, fp) -> links (u, v) of fingerprints within limit bits."""
+def links(rows: DataFrame, limit: int, split: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """rows (key, id, fp) -> links (u, v) of fingerprints within limit bits."""
     stars = lambda pdf: block_stars(pdf, limit)
-    return _dealt(rows, ["id", "fp"]).groupBy("g").applyInPandas(stars, "u long, v long").distinct()
+    return _dealt(rows, ["id", "fp"], split, MOST_SPLITS).groupBy("g").applyInPandas(stars, "u long, v long").distinct()
 
 
 def near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -308,7 +343,14 @@ def _proposer(limit: int, estimate: float, more: int) -> Callable:
 def similar_links(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], limit: int, estimate: float, similarity: float) -> DataFrame:
     """rows (key, further, id, fp, sketch) -> links (u, v) of ids whose sets reach similarity; sets_of: ids (id) -> id, shingles."""
     spark = rows.sparkSession
-    held = materialize(_dealt(rows, ["id", "fp", "sketch"]), "dealt")
+
+    def split(hot: DataFrame, turn: int) -> DataFrame:
+        """Blocks by key and each further minimum hash, those after it staying further ones."""
+        parts = hot.select("id", "fp", "sketch", "further", "key", F.posexplode("further").alias("i", "min"))
+        rest = F.filter("further", lambda m, i: i != F.col("i"))
+        return parts.select(F.xxhash64("key", F.lit(turn), "i", "min").alias("key"), "id", "fp", "sketch", rest.alias("further"))
+
+    held = materialize(_dealt(rows, ["id", "fp", "sketch"], split, KEYS - 1), "dealt")
     decided, sets, more = spark.createDataFrame([], "g long, key long, u long, v long, near boolean"), None, 0
     while True:
         found = held.groupBy("g").cogroup(decided.groupBy("g")).applyInPandas(_proposer(limit, estimate, more), "g long, key long, u long, v long")
@@ -328,8 +370,8 @@ def report(docs: DataFrame, size: int = SHINGLE_WORDS, limit: int = LINK_BITS) -
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links) of every row."""
     of = materialize(fingerprints(docs, size), "fingerprints")
     nodes = materialize(of.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    rows, _ = band_blocks(nodes.select(F.col("fp").alias("id"), "fp"), limit, nodes.count())
-    found = components(links(rows, limit))
+    rows, split = band_blocks(nodes.select(F.col("fp").alias("id"), "fp"), limit, nodes.count())
+    found = components(links(rows, limit, split))
     rooted = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     named = rooted.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
@@ -396,7 +438,7 @@ def groups(docs: DataFrame) -> DataFrame:
     nodes = all_.groupBy("content").agg(any_of("fp"), any_of("sketch"), any_of("mins"))
     rows = nodes.select(F.col("content").alias("id"), "fp", "sketch", F.posexplode(F.slice("mins", 1, KEYS)).alias("i", "min"), F.slice("mins", KEYS + 1, KEYS).alias("others"))
     rows = rows.withColumn("key", F.xxhash64("i", "min"))
-    rows = rows.select("key", "id", "fp", "sketch", F.transform("others", lambda m, i: F.xxhash64("key", i, m)).alias("further"))
+    rows = rows.select("key", "id", "fp", "sketch", F.col("others").alias("further"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         one = all_.select(F.col("content").alias("id"), "row").join(ids, "id", "left_semi").groupBy("id").agg(F.min("row").alias("row"))
@@ -408,6 +450,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each group the row with the least doc_id stays, whole and unchanged."""
-    kept = groups(docs).groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("least")).select(F.col("least.row").alias("_row"))
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    kept = groups(docs).groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("least.row", F.col("least.doc_id").alias("id"))
+    kept = materialize(kept, "kept")  # one row a group
+    rows = boxed(docs, r=F.xxhash64("doc_id", "text"), d=F.col("doc_id")).join(kept, (F.col("r") == F.col("row")) & F.col("d").eqNullSafe(F.col("id")), "left_semi")
+    return unboxed(rows.dropDuplicates(["r", "d"]))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -9,6 +10,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ def empty(spark):
 
 
 def test_empty_tables_give_empty_tables(spark, empty):
-    for f in (mixing.report, repeats.report, minhash.report, packing.pack, simhash.report, simhash.one_of_each, quality.report, quality.accepted, secrets.report, secrets.redact, pii.report, mixing.mixed):
+    for f in (mixing.report, repeats.report, minhash.report, packing.pack, simhash.report, simhash.one_of_each, quality.report, quality.accepted, secrets.report, secrets.redact, lambda df: pii.report(df, "k"), mixing.mixed):
         assert f(empty).count() == 0, f
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert chat.digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
@@ -353,6 +355,33 @@ def test_simhash_components(docs, monkeypatch):
     assert sorted(map(tuple, simhash.report(docs).collect())) == want
 
 
+def test_near_groups_are_united_as_wholes():
+    """7,807 fingerprints within three bits of one, and more around them: components without listing pairs."""
+    rng = np.random.default_rng(3)
+    dense = np.array([0b1011 << 20 ^ sum(1 << b for b in bits) for k in range(4) for bits in itertools.combinations(range(10, 46), k)], np.uint64)
+    far = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    fp = np.unique(np.r_[dense, far])
+    rows = pd.DataFrame({"key": np.zeros(len(fp), np.int64), "id": np.arange(len(fp)), "fp": fp.view(np.int64)})
+    stars = simhash.block_stars(rows, 4)
+    root = list(range(len(fp)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for u, v in zip(stars["u"], stars["v"], strict=True):
+        root[find(u)] = find(v)
+    want = simhash.Unions(len(fp))
+    for i in range(len(fp)):
+        j = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 4)
+        want.unite(np.full(len(j), i), j)
+    same = lambda x: [list(x).index(y) for y in x]
+    assert same([find(i) for i in range(len(fp))]) == same(want.parent.tolist())
+    listed, sets = 0, simhash.Unions(len(fp))
+    order = np.argsort(simhash.gray_rank(fp))
+    for u, v in simhash.GrayIndex(fp[order], np.zeros(len(fp), np.int64)).linked(4, sets, whole=True):
+        listed += len(u)
+        sets.unite(u, v)
+    near = sum(int((np.bitwise_count(fp ^ x) <= 4).sum()) for x in fp) // 2
+    assert listed < near / 20
+
+
 @pytest.mark.parametrize("nodes", [10, 10**7, 10**12])
 def test_bands_lose_no_pair(nodes):
     masks = [m % (1 << 64) for m in simhash.band_masks(4, nodes)]
@@ -360,6 +389,8 @@ def test_bands_lose_no_pair(nodes):
     for _ in range(300):
         change = sum(1 << b for b in rng.sample(range(64), 4))
         assert any(not change & m for m in masks)
+        for turn in range(1, 4):
+            assert any(all(not change >> b & 1 for b in part) for part in simhash.bit_parts(5, turn))
 
 
 def test_one_of_each_keeps_clean_documents(docs):
@@ -369,7 +400,7 @@ def test_one_of_each_keeps_clean_documents(docs):
     assert set(range(60)) - set(kept) <= {7, 9, 11, 12, 13}
 
 
-def test_near_copies_are_those_of_the_shingle_sets(spark):
+def test_near_copies_are_those_of_the_shingle_sets(spark, monkeypatch):
     rng = random.Random(8)
     texts = []
     for k in range(120):  # pairs of similarity 0.75 to 0.9; lines that repeat count once
@@ -389,8 +420,11 @@ def test_near_copies_are_those_of_the_shingle_sets(spark):
         for j in range(i):
             if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
                 root[max(find(i), find(j))] = min(find(i), find(j))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == {find(i) for i in range(len(texts))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"row": F.lit(1), "_row": F.lit(2), "id": F.lit("z"), "content": F.lit(0), "a.b": F.lit(0)})
+    want = {find(i) for i in range(len(texts))}
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want and simhash.one_of_each(df).columns == df.columns
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 4)  # hot blocks are split by further hashes
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want
 
 
 def test_quality_matches_brute_force(docs):
@@ -440,8 +474,15 @@ def test_whole_keys_and_logins_are_masked():
 
 
 def test_surrogates(spark):
-    rows = [(1, "Mr. John Smith met Mrs. Anna Smith; JOHN@A.CO and john@a.co, +1 (017) 555-7713 or +1-017-555-7713."), (2, "4785380592391139 4785-3805-9239-1139 x4785380592391139"), (3, None), (4, ""), (5, "1.2.3.4 1.2.3.4. Госпожа Анна Иванова")]
-    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()}
+    rows = [
+        (1, "Mr. John Smith met Mrs. Anna Smith; JOHN@A.CO and john@a.co, +1 (017) 555-7713 or +1-017-555-7713."),
+        (2, "4785380592391139 4785-3805-9239-1139 x4785380592391139"), (3, None), (4, ""), (5, "1.2.3.4 1.2.3.4. Госпожа Анна Иванова"),
+        (6, "Mr. John Smith wrote. John Smith and Smith agreed; Dr. Anna Lee, SMITH'S wife. Goldsmith stays."),
+        (7, "4539 1488 0343 6467, 4539148803436467; DE89 3704 0044 0532 0130 00 and DE89370400440532013000; 12345678901234"),
+        (8, "+44 20 7946 0958, +442079460958, +12025550123, (202) 555-0123, 202-555-0123, 2001:db8::ff00:42:8329, 2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+        (9, "Prof. Dr. Mary-Jane O'Brien-Watson and Mr. J. R. de la Cruz left; Mary-Jane and Cruz stayed. Mr. X"),
+    ]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string"), "k").collect()}
     t = got[1]["text"]
     assert not re.search(r"John|Smith|Anna|017|7713|john@", t) and got[3]["text"] is None and got[4]["text"] == ""
     a, b = re.findall(r"\S+@\S+\.(?:CO|co)", t)
@@ -452,6 +493,41 @@ def test_surrogates(spark):
     assert names[1] == names[3] and names[0] != names[2] and names[2].endswith("a")
     assert re.fullmatch(r"(\d{16}) (\d{4})-(\d{4})-(\d{4})-(\d{4}) x4785380592391139", got[2]["text"])
     assert re.search(r"Госпожа [А-Я][а-я]+ [А-Я][а-я]+$", got[5]["text"])
+    # mentions of a name without its title, in part or in capitals, are the same entities
+    john, smith = names[:2]
+    assert re.fullmatch(rf"Mr\. {john} {smith} wrote\. {john} {smith} and {smith} agreed; Dr\. \w+ \w+, {smith.upper()}'S wife\. Goldsmith stays\.", got[6]["text"])
+    assert "Anna" not in got[6]["text"] and "Lee" not in got[6]["text"]
+    luhn = lambda d: sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(int(c) for c in reversed(d))) % 10 == 0
+    iban = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    cards, accounts, odd = got[7]["text"].split("; ")
+    spaced, plain = cards.split(", ")
+    assert spaced.replace(" ", "") == plain and plain != "4539148803436467" and luhn(plain) and len(spaced) == 19 and odd == "12345678901234"
+    spaced, plain = accounts.split(" and ")
+    assert spaced.replace(" ", "") == plain and plain.startswith("DE") and plain[4:] != "370400440532013000" and iban(plain)
+    parts = got[8]["text"].split(", ")
+    assert parts[0].replace(" ", "") == parts[1] and parts[1].startswith("+44") and not set(parts) & set(rows[7][1].split(", "))
+    assert [len(p) for p in parts] == [len(p) for p in rows[7][1].split(", ")] and re.sub(r"\D", "", parts[3]) == re.sub(r"\D", "", parts[4])
+    assert re.fullmatch(r"Prof\. Dr\. (\w+-\w+) \w+-\w+ and Mr\. J\. R\. de la (\w+) left; \1 and \2 stayed\. Mr\. \w+", got[9]["text"]) and "Cruz" not in got[9]["text"]
+
+
+def test_surrogates_stay_distinct_when_the_space_is_small(spark):
+    """More one-letter addresses and surnames than short surrogates: the space grows, and equal stays equal."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [f"{a}@{b}.org" for a in letters for b in letters] + [f"Mr. {a}{b}{c}" for a in "BCDFGKLM" for b in "aeio" for c in letters]
+    rows = [(i, f"{v} and {v}", "x", "y") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, entities string")
+    out = pii.replaced(df, "k")
+    assert out.columns == ["doc_id", "text", "row", "entities", "entities_"]
+    new = {}
+    for r in out.collect():
+        a, b = r["text"].split(" and ")
+        assert a == b and r["row"] == "x" and r["entities"] == "y" and len(r["entities_"]) == 2
+        new[r["doc_id"]] = a
+    assert len(set(new.values())) == len(values) and not set(new.values()) & set(values)
+    again = {r["doc_id"]: r["text"] for r in pii.replaced(df.repartition(3), "k").collect()}
+    assert all(again[i] == f"{v} and {v}" for i, v in new.items())
+    with pytest.raises(ValueError):
+        pii.replaced(df, "")
 
 
 def test_chat_round_trip(spark):
