@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +9,12 @@ from .functions import chunking, encoders, text
 from .operators import answers, dictionaries, filters, frontmatter, latency, normalize, pages, search, store
 from .plans import retrieval
 from .sources.fixtures import view, with_views
-from .sources.tables import cut
+from .sources.tables import cut, shared_dir
 from .streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-#: Question vectors of the searches: stored vectors of the first points.
-ASKED = "select point_id as question_id, vector as qvec from point_v where point_id < 50"
-
-
 def query(oracle: str | None = None, views: tuple[str, ...] = ()):
     def register(f):
         QUERIES[f.__name__] = f
@@ -343,7 +337,7 @@ def _words(spark, sf):
 
 
 def _lexicon(spark, sf):
-    return normalize.frequencies(view(spark, sf, "documents"), "text", 20)
+    return normalize.frequencies(view(spark, sf, "documents"), "text")
 
 
 @query()
@@ -402,7 +396,7 @@ def year_filter(spark, sf):
 
 
 def _alias_sql(kind: str, field: str, once: bool) -> str:
-    return _BASIC + f""", hit as (select question_id, min_by(struct_pack(a := alias, c := canonical), ord) as h from q join aliases on kind = '{kind}' and regexp_matches(question, '(?i)\\b' || alias || '\\b') group by question_id)
+    return _BASIC + f""", hit as (select question_id, min_by(struct_pack(a := coalesce(alias, pattern), c := canonical), ord) as h from q join aliases on kind = '{kind}' and regexp_matches(question, '(?i)\\b' || coalesce(alias, pattern) || '\\b') group by question_id)
       select question_id, case when h is null then question else regexp_replace(question, '(?i)\\b' || h.a || '\\b', ''{"" if once else ", 'g'"}) end as rest, case when h is null then '' else '{field}=' || h.c end as filters from q left join hit using (question_id)"""
 
 
@@ -438,11 +432,14 @@ def validate_filters(spark, sf):
 
 @query(_BASIC + f""", p as (select question_id, question, lower(p_name) as v from q join part on p_partkey = (question_id // 100) % 200),
   c as (select question_id, question, v, strpos(question, v) as i from p)
-  select question_id, lower(trim(regexp_replace(regexp_replace(case when i > 0 then substr(question, 1, i - 1) || substr(question, i + length(v)) else question end, {_YEAR_SQL}, '', 'g'), '\\s+', ' ', 'g'))) as residual from c""", ("question_v",))
+  select question_id, lower(trim(regexp_replace(case when question_id % 200 < 100 then regexp_replace(x, {_YEAR_SQL}, '', 'g') else x end, '\\s+', ' ', 'g'))) as residual
+  from (select question_id, case when i > 0 then substr(question, 1, i - 1) || substr(question, i + length(v)) else question end as x from c)""", ("question_v",))
 def residual_query(spark, sf):
     part = view(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name")
     q = _questions(spark, sf).join(part, F.expr("k = floor(question_id / 100) % 200"))
-    return q.select("question_id", filters.residual(F.col("question"), F.create_map(F.lit("project_title"), F.array("p_name"))).alias("residual"))
+    title = F.create_map(F.lit("project_title"), F.array("p_name"))
+    asked = F.when(F.expr("question_id % 200 < 100"), F.map_concat(title, F.create_map(F.lit("year"), F.array(F.lit("2011"))))).otherwise(title)
+    return q.select("question_id", filters.residual(F.col("question"), asked).alias("residual"))
 
 
 def _parsed(spark, sf) -> DataFrame:
@@ -471,13 +468,13 @@ def filter_points(spark, sf):
 
 # --- search -----------------------------------------------------------------------------------------------------------
 
-_COS = """, asked as (select point_id as question_id, vector as qvec, year from point_v where point_id < 50),
+_COS = """, asked as (select point_id as question_id, vector as qvec, year from point_v where point_id % 50 = 0),
   s as (select question_id, point_id, list_cosine_similarity(qvec::DOUBLE[], vector::DOUBLE[]) as score from asked join point_v p on {cond}),
   hits as (select question_id, point_id, score, row_number() over (partition by question_id order by score desc, point_id)::INT as rank from s qualify rank <= 20)"""
 
 
 def _asked(spark, sf) -> DataFrame:
-    return _points(spark, sf).filter("point_id < 50").select(F.col("point_id").alias("question_id"), F.col("vector").alias("qvec"), F.create_map(F.lit("year"), F.array("year")).alias("filters"))
+    return _points(spark, sf).filter("point_id % 50 = 0").select(F.col("point_id").alias("question_id"), F.col("vector").alias("qvec"), F.create_map(F.lit("year"), F.array("year")).alias("filters"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -513,13 +510,13 @@ def semantic_results(spark, sf):
 
 
 def _pairs(spark, sf) -> DataFrame:
-    q = _points(spark, sf).filter("point_id < 50").select(F.col("point_id").alias("question_id"), F.concat_ws(" ", "project_title", "keywords").alias("question"))
+    q = _points(spark, sf).filter("point_id % 50 = 0").select(F.col("point_id").alias("question_id"), F.concat_ws(" ", "project_title", "keywords").alias("question"))
     return search.pair_scores(_hits(spark, sf).join(q, "question_id"), _points(spark, sf))
 
 
 _PAIR = _HITS + """, tk as (select point_id, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) as token from point_v),
   df as (select token, count(*) as df from tk group by token), n as (select count(*) as n from point_v),
-  qt as (select point_id as question_id, unnest(list_distinct(regexp_extract_all(lower(project_title || ' ' || keywords), '[a-z0-9]+'))) as token from point_v where point_id < 50),
+  qt as (select point_id as question_id, unnest(list_distinct(regexp_extract_all(lower(project_title || ' ' || keywords), '[a-z0-9]+'))) as token from point_v where point_id % 50 = 0),
   w as (select question_id, token, ln(1 + n / (1 + coalesce(df, 0))) as w from qt left join df using (token), n),
   ps as (select h.*, coalesce((select sum(w.w) from w join tk using (token) where w.question_id = h.question_id and tk.point_id = h.point_id), 0) / (select sum(w.w) from w where w.question_id = h.question_id) as pair_score from h),
   rr as (select *, row_number() over (partition by question_id order by round(pair_score, 9) desc, rank)::INT as position from ps qualify position <= 5)"""
@@ -550,7 +547,7 @@ def _encoded_points(spark, sf) -> DataFrame:
 
 def _searched(spark, sf, overrides=None) -> tuple[DataFrame, DataFrame]:
     """Normalised and parsed questions with hashed vectors, and their kept hits among points encoded alike."""
-    q = normalize.normalize(view(spark, sf, "question_v"), _protected(spark, sf), view(spark, sf, "aliases"))
+    q = normalize.normalize(view(spark, sf, "question_v"), _protected(spark, sf), view(spark, sf, "aliases"), cut(_lexicon(spark, sf)))
     q = filters.parse(q, dictionaries.dictionary(_points(spark, sf)), view(spark, sf, "aliases"))
     if overrides is not None:
         q = q.withColumn("filters", filters.overridden(F.col("filters"), overrides))
@@ -649,10 +646,12 @@ def clean_answers(spark, sf):
 
 @query()
 def answer_questions(spark, sf):
-    q = view(spark, sf, "question_v")
-    _, kept = _searched(spark, sf)
-    raw = view(spark, sf, "raw_answer_v").select((F.col("question_id") - 1).alias("question_id"), "raw_answer")
-    return answers.answer_questions(q, kept, raw)
+    return retrieval.answers_to_questions(view(spark, sf, "question_v"), _encoded_points(spark, sf), view(spark, sf, "aliases"), _raw_answers(spark, sf), cut(_lexicon(spark, sf)))
+
+
+def _raw_answers(spark, sf):
+    """What the model outside said: the turn after the question's."""
+    return view(spark, sf, "raw_answer_v").select((F.col("question_id") - 1).alias("question_id"), "raw_answer")
 
 
 # --- latency ----------------------------------------------------------------------------------------------------------
@@ -696,8 +695,7 @@ def stage_totals(spark, sf):
 
 
 def _scratch(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{found.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{next(_numbers)}" if found else tempfile.mkdtemp(prefix="lodestone-stream-")
+    return f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{next(_numbers)}"
 
 
 _numbers = iter(range(1 << 62))
@@ -722,7 +720,7 @@ def stream_latency(spark, sf):
 def stream_ingest(spark, sf):
     base = _scratch(spark)
     prepare = lambda df: encoders.embed_documents(chunking.chunked(df.select("source", F.col("doc_id").cast("int").alias("page_number"), F.col("text").alias("content"))))
-    jobs.ingest_stream(_stream(spark, f"{sf}/documents.parquet"), prepare, f"{base}/points", f"{base}/state").awaitTermination()
+    jobs.ingest_stream(_stream(spark, f"{sf}/documents.parquet"), prepare, f"{base}/points", f"{base}/state", f"{base}/errors").awaitTermination()
     return spark.read.parquet(f"{base}/points").groupBy("source").agg(F.count(F.lit(1)).alias("n_points"))
 
 
@@ -730,12 +728,10 @@ def stream_ingest(spark, sf):
 def stream_answers(spark, sf):
     base = _scratch(spark)
     turns = _stream(spark, f"{sf}/conversations.parquet").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
-    points = _encoded_points(spark, sf)
+    points, lexicon = _encoded_points(spark, sf), cut(_lexicon(spark, sf))
 
     def answer(q: DataFrame) -> DataFrame:
-        q = encoders.embed_questions(normalize.basic(q)).withColumnRenamed("vector", "qvec")
-        hits = search.results(search.semantic_topk(q.select("question_id", "qvec"), points, search.TOP_N), points)
-        return hits.groupBy("question_id").agg(F.max_by("source", "score").alias("source"), F.count(F.lit(1)).alias("n_hits"))
+        return retrieval.answers_to_questions(cut(q), points, view(spark, sf, "aliases"), _raw_answers(spark, sf), lexicon)
 
     jobs.answer_stream(turns, answer, f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("question_id", "source", "n_hits")
+    return spark.read.parquet(f"{base}/out").select("question_id", "answer", "route", "sources")

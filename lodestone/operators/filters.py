@@ -72,9 +72,18 @@ def _named_alias(q: DataFrame, aliases: DataFrame, kind: str, field: str) -> Dat
 
 
 def author_alias(q: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The first known short name of an author, as a whole word; one occurrence goes."""
+    """The first known short name of an author, as a whole word, else the first spelling pattern that fits; one occurrence goes.
+
+    Patterns (column pattern of aliases) are few: they come as one row, beside every question.
+    """
     q = _named_alias(q, aliases, "author", "author")
-    spot = F.regexp_instr(F.lower("rest"), _word(F.col("hit.phrase")))
+    if "pattern" in aliases.columns:
+        each = aliases.filter("kind = 'author' and pattern is not null").select(F.struct("ord", F.concat(F.lit(r"(?iU)\b(?:"), "pattern", F.lit(r")\b")).alias("pattern"), "canonical").alias("p"))
+        q = q.join(F.broadcast(each.agg(F.array_sort(F.collect_list("p")).alias("_patterns"))))  # one row
+        fits = F.get(F.filter("_patterns", lambda p: F.rlike("rest", p["pattern"])), F.lit(0))
+        found = F.when(F.col("hit").isNull() & ~F.map_contains_key("filters", "author") & fits.isNotNull(), F.struct(F.regexp_substr("rest", fits["pattern"]).alias("phrase"), fits["canonical"].alias("canonical")))
+        q = q.withColumn("hit", F.coalesce("hit", found)).drop("_patterns")
+    spot = F.regexp_instr(F.lower("rest"), _word(F.lower("hit.phrase")))
     cut = F.concat(F.substring("rest", F.lit(1), spot - 1), F.substring("rest", spot + F.length("hit.phrase"), F.length("rest")))
     return _settled(q.withColumns({"filters": F.when(F.col("hit").isNotNull(), _with(F.col("filters"), "author", F.array("hit.canonical"))).otherwise(F.col("filters")), "rest": F.when(F.col("hit").isNotNull(), cut).otherwise(F.col("rest"))}).drop("hit"))
 
@@ -103,13 +112,13 @@ def validated(filters: Column) -> Column:
 
 
 def residual(question: Column, filters: Column) -> Column:
-    """question without each filter value (once, any case) and without years."""
+    """question without each filter value (once, any case), and without years where a year is a filter."""
     def without(text: Column, value: Column) -> Column:
         at = F.position(F.lower(value), F.lower(text))
         return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(value), F.length(text)))).otherwise(text)
 
     left = F.aggregate(F.flatten(F.map_values(filters)), question, without)
-    return normalized(F.regexp_replace(left, YEAR, ""))
+    return normalized(F.when(F.map_contains_key(filters, "year"), F.regexp_replace(left, YEAR, "")).otherwise(left))
 
 
 def overridden(filters: Column, overrides: Column) -> Column:

@@ -44,10 +44,15 @@ def _grams(text: Column) -> Column:
 def containing(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
     """Pairs where text contains phrase (three characters or more), both lower case: an equi-join on a trigram, then the test.
 
-    A phrase is keyed by its first trigram, so each pair meets once. No nested loops.
+    A phrase is keyed by the trigram that the fewest phrases have, so each pair meets once and what all phrases begin with is no key.
+    No nested loops.
     """
     left = texts.withColumn("_gram", F.explode(_grams(F.col(text))))
-    right = phrases.filter(F.length(phrase) >= 3).withColumn("_gram", F.substring(phrase, 1, 3))
+    long = phrases.filter(F.length(phrase) >= 3)
+    each = long.select(F.col(phrase).alias("_phrase")).distinct().withColumn("_gram", F.explode(_grams(F.col("_phrase"))))
+    shared = each.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keys = each.join(shared, "_gram").groupBy("_phrase").agg(F.min(F.struct("_n", "_gram")).alias("_k")).select("_phrase", "_k._gram")
+    right = long.join(keys, F.col(phrase) == F.col("_phrase")).drop("_phrase")
     return left.join(right, "_gram").filter(F.contains(F.col(text), F.col(phrase))).drop("_gram")
 
 
@@ -90,7 +95,7 @@ def _lcs(a: str, b: str) -> int:
 
 
 def fuzzy_snap(words: DataFrame, protected: DataFrame, cutoff: int = FUZZY_CUTOFF) -> DataFrame:
-    """words (token) -> token, snapped, ratio: the most similar protected token, if similar enough.
+    """words (token) -> token, snapped, ratio: the most similar protected token, if similar enough; ties go to the first term.
 
     Candidates share a character of a band of lengths and pass the Levenshtein bound; the exact ratio runs on those alone.
     """
@@ -107,7 +112,7 @@ def fuzzy_snap(words: DataFrame, protected: DataFrame, cutoff: int = FUZZY_CUTOF
         return pd.Series([200.0 * _lcs(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     scored = near.withColumn("ratio", ratio("token", "term")).filter(F.col("ratio") >= cutoff)
-    return scored.groupBy("token").agg(F.max_by(F.struct("term", "ratio"), F.struct("ratio", F.hash("term"), "term")).alias("b")).select("token", F.col("b.term").alias("snapped"), F.col("b.ratio").alias("ratio"))
+    return scored.groupBy("token").agg(F.min_by(F.struct("term", "ratio"), F.struct((-F.col("ratio")).alias("low"), "term")).alias("b")).select("token", F.col("b.term").alias("snapped"), F.col("b.ratio").alias("ratio"))
 
 
 def frequencies(texts: DataFrame, text: str, least: int = 2) -> DataFrame:
@@ -152,20 +157,23 @@ def spell_correct(words: DataFrame, lexicon: DataFrame, most: int = MOST_EDITS)
     return best.select("token", F.col("b.term").alias("corrected"), F.col("b.distance").alias("distance"))
 
 
-def correct_tokens(tokens_: DataFrame, protected: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Tokens with corrected: fuzzy snap, else spelling, else themselves; protected, numeric and short tokens stay."""
+def correct_tokens(tokens_: DataFrame, protected: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """Tokens with corrected: fuzzy snap, else spelling where there is a lexicon, else themselves; protected, numeric and short tokens stay."""
     open_ = ~F.col("protected") & ~F.col("token").rlike("^[0-9]+$") & (F.length("token") > 2) & F.col("token").rlike("[a-z]")
     t = tokens_.withColumn("open", open_)
     words = t.filter("open").select("token").distinct()
-    t = t.join(fuzzy_snap(words, protected).select("token", "snapped"), "token", "left").join(spell_correct(words, lexicon).select("token", "corrected"), "token", "left")
+    t = t.join(fuzzy_snap(words, protected).select("token", "snapped"), "token", "left")
+    if lexicon is None:
+        t = t.withColumn("corrected", F.lit(None).cast("string"))
+    else:
+        t = t.join(spell_correct(words, lexicon).select("token", "corrected"), "token", "left")
     return t.withColumn("corrected", F.when(F.col("open"), F.coalesce("snapped", "corrected", "token")).otherwise(F.col("token"))).drop("snapped", "open")
 
 
 def normalize(questions: DataFrame, protected: DataFrame, aliases: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """The full normaliser (N9); without a lexicon the spelling steps are left out."""
+    """The full normaliser (N9); without a lexicon spelling is left as it is, and words still snap to protected ones."""
     protected = cut(protected, "protected")
     q = cut(apply_synonyms(cut(basic(questions)), protected, aliases))
-    if lexicon is not None:
-        t = correct_tokens(cut(with_protection(q, protected)), protected, lexicon)
-        q = rebuilt(t.withColumn("token", F.col("corrected")))
+    t = correct_tokens(cut(with_protection(q, protected)), protected, lexicon)
+    q = rebuilt(t.withColumn("token", F.col("corrected")))
     return questions.select("question_id").join(q, "question_id", "left").withColumn("question", F.coalesce("question", F.lit("")))

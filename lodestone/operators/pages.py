@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
+from ..sources.tables import numbered
 
 
 def select_sources(files: DataFrame, mode: str = "all", names: tuple[str, ...] = (), limit: int = 10) -> DataFrame:
@@ -17,9 +18,9 @@ def select_sources(files: DataFrame, mode: str = "all", names: tuple[str, ...] =
 
 
 def page_table(documents: DataFrame) -> DataFrame:
-    """One row per page with text; page_number and total_pages count blank pages too."""
-    whole = Window.partitionBy("source")
-    df = documents.select("source", F.row_number().over(whole.orderBy("doc_id")).alias("page_number"), F.count(F.lit(1)).over(whole).cast("int").alias("total_pages"), F.col("text").alias("content"))
+    """One row per page with text; page_number and total_pages count blank pages too (S2, S3). A source of any size is numbered in ranges."""
+    df = numbered(documents.select("source", "doc_id", F.col("text").alias("content")), "source", [F.col("doc_id")])
+    df = df.select("source", (F.col("nth") + 1).cast("int").alias("page_number"), F.col("n_all").cast("int").alias("total_pages"), "content")
     return df.filter(has_text(F.col("content")))
 
 
@@ -32,10 +33,14 @@ def preview(chunks: DataFrame, n: int = 3, chars: int = 100) -> DataFrame:
     return chunks.orderBy("source", "page_number", "chunk_index").limit(n).select("source", "page_number", "chunk_index", F.substring("content", 1, chars).alias("head"))
 
 
-def ingest_report(sources: DataFrame, pages: DataFrame, chunks: DataFrame, points: DataFrame) -> DataFrame:
-    """Counts and outcome per source; a source without pages has outcome no_pages."""
+def ingest_report(sources: DataFrame, pages: DataFrame, chunks: DataFrame, points: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Counts and outcome per source; a source without pages has outcome no_pages, one in errors (source) has error."""
     count = lambda df, name: df.groupBy("source").agg(F.count(F.lit(1)).alias(name))
     df = sources
     for part, name in ((pages, "n_pages"), (chunks, "n_chunks"), (points, "n_points")):
         df = df.join(count(part, name), "source", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return df.withColumn("outcome", F.when(F.col("n_pages") == 0, "no_pages").when(F.col("n_points") == 0, "nothing_written").otherwise("written"))
+    if errors is None:
+        df = df.withColumn("_failed", F.lit(None).cast("boolean"))
+    else:
+        df = df.join(errors.select("source").distinct().withColumn("_failed", F.lit(True)), "source", "left")
+    return df.withColumn("outcome", F.when(F.col("_failed"), "error").when(F.col("n_pages") == 0, "no_pages").when(F.col("n_points") == 0, "nothing_written").otherwise("written")).drop("_failed")

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
 from .filters import matches
 from .store import payload
 
 TOP_K, TOP_N = 20, 5
-#: Questions of at most this many rows are broadcast; the count is taken first. Beyond it, blocks of questions are joined.
+#: Questions of at most this many rows are broadcast; the count is taken first. Larger sets are cut into blocks of so many.
 BROADCAST_QUESTIONS = 10_000
 UNKNOWN_SOURCE = "Unknown source"
 
@@ -36,23 +38,40 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 def semantic_topk(questions: DataFrame, points: DataFrame, k: int = TOP_K) -> DataFrame:
     """questions (question_id, qvec[, filters]) against points (point_id, vector, payload columns): the k best each.
 
-    The stated query set meets all points in blocks: the questions are broadcast if counted at most BROADCAST_QUESTIONS,
+    The stated query set meets all points in blocks: at most BROADCAST_QUESTIONS questions are broadcast at a time,
     and the rank keeps k rows per question and task before the shuffle. A question's filter is part of the join's condition.
     """
-    if questions.count() <= BROADCAST_QUESTIONS:
-        questions = F.broadcast(questions)
     condition = matches(F.col("filters"), payload()) if "filters" in questions.columns else F.lit(True)
-    scored = points.join(questions, condition).withColumn("score", cosine(F.col("qvec"), F.col("vector")))
-    return _ranked(scored.select("question_id", "point_id", "score"), k)
+
+    def best(block: DataFrame) -> DataFrame:
+        scored = points.join(F.broadcast(block), condition).withColumn("score", cosine(F.col("qvec"), F.col("vector")))
+        return _ranked(scored.select("question_id", "point_id", "score"), k)
+
+    return reduce(DataFrame.unionByName, map(best, blocks_of(questions)))
+
+
+def blocks_of(questions: DataFrame) -> list[DataFrame]:
+    """Questions as tables of about BROADCAST_QUESTIONS rows at most, by the hash of their id; a small set is one."""
+    n = questions.count()
+    if n <= BROADCAST_QUESTIONS:
+        return [questions]
+    blocks = 1 + n // (BROADCAST_QUESTIONS - BROADCAST_QUESTIONS // 4)  # room for uneven blocks
+    held = cut(questions.withColumn("_block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int")), "questions")
+    return [held.filter(F.col("_block") == b).drop("_block") for b in range(blocks)]
 
 
 def semantic_topk_blocks(questions: DataFrame, points: DataFrame, k: int = TOP_K) -> DataFrame:
     """The same by block products: a task multiplies its points with the question matrix and keeps k candidates a question.
 
-    The matrix is collected only behind the count that bounds it.
+    A block of questions is collected at a time, and its hits are written before the next.
     """
-    if (n := questions.count()) > BROADCAST_QUESTIONS:
-        raise ValueError(f"{n} questions; split them into blocks of {BROADCAST_QUESTIONS}")
+    blocks = blocks_of(questions)
+    if len(blocks) == 1:
+        return _block_product(questions, points, k)
+    return reduce(DataFrame.unionByName, [cut(_block_product(b, points, k), "hits") for b in blocks])
+
+
+def _block_product(questions: DataFrame, points: DataFrame, k: int) -> DataFrame:
     rows = questions.select("question_id", "qvec").orderBy("question_id").collect()
     ids = np.array([r["question_id"] for r in rows], np.int64)
     matrix = np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), -1)
@@ -113,7 +132,7 @@ def search_details(questions: DataFrame, points: DataFrame, k: int = TOP_K, n: i
 
     A question whose pairs have no score keeps its first n hits with their cosine (score_kind tells).
     """
-    hits = results(semantic_topk(questions.select("question_id", "qvec", "filters"), points, k), points)
+    hits = cut(results(semantic_topk(questions.select("question_id", "qvec", "filters"), points, k), points), "hits")  # used for the pairs and for their questions
     scored = pair_scores(hits.join(questions.select("question_id", F.col("residual").alias("question")), "question_id"), points)
     failed = F.max(F.col("pair_score").isNull().cast("int")).over(Window.partitionBy("question_id")) == 1
     scored = scored.withColumn("score_kind", F.when(failed, "cosine").otherwise("pair")).withColumn("pair_score", F.when(F.col("score_kind") == "cosine", F.col("score")).otherwise(F.col("pair_score")))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Payload fields that filters may name (fixed value).
 FILTERABLE = ("source", "project_title", "author", "advisor", "keywords", "year")
 
+#: Up to so many sources of a batch are named in the scan of the point table.
+PRUNED_SOURCES = 1_000
+
 
 def point_key() -> Column:
     return F.sha2(F.concat_ws("\x1f", "source", F.col("page_number").cast("string"), F.col("chunk_index").cast("string"), "content"), 256)
@@ -19,6 +22,14 @@ def new_points(chunks: DataFrame, existing: DataFrame | None) -> DataFrame:
     return keyed if existing is None else keyed.join(existing.select("point_id"), "point_id", "left_anti")
 
 
+def of_sources(points: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Points that may be chunks: those of the same sources, which the table's layout prunes where they are few."""
+    named = [r["source"] for r in chunks.select("source").distinct().limit(PRUNED_SOURCES + 1).collect()]
+    if len(named) > PRUNED_SOURCES or None in named:
+        return points
+    return points.filter(F.col("source").isin(named))
+
+
 def append_points(chunks: DataFrame, path: str) -> None:
     """Appends new points to a Parquet table, laid out so that statistics prune by source and year."""
     spark = chunks.sparkSession
@@ -28,7 +39,7 @@ def append_points(chunks: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         existing = None
-    fresh = new_points(chunks, existing)
+    fresh = new_points(chunks, existing if existing is None else of_sources(existing, chunks))
     order = [c for c in ("source", "year") if c in fresh.columns]
     fresh.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").parquet(path)
 

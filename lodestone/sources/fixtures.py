@@ -34,29 +34,30 @@ VIEWS = {
             when page = 6 then {_lines("'Keywords: late'", "'Supervisory Committee Dr. Late Advisor'")}
             else 'plain body text' end as content
         from {{part}} join {{nation}} on n_nationkey = {_K} % 25
-          join (select 1 as page union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) as pages on {_K} < 100""",
+          join (select 1 as page union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) as pages on page > 0""",
     "point_v": f"""
         select e.vec_id as point_id, e.embedding as vector, d.text as content, d.source as source, concat('Project ', p.p_name) as project_title,
           case when e.vec_id % 3 = 0 then concat({_name("e.vec_id % 40")}, ' WONG, ', {_name("e.vec_id % 7")}, ' LEE') else concat({_name("e.vec_id % 40")}, ' WONG') end as author,
           case when e.vec_id % 5 <> 0 then concat('Dr. ', n.n_name) end as advisor,
           concat(p.p_type, ', ', d.lang) as keywords, cast(2010 + e.vec_id % 10 as varchar(4)) as year
         from {{embeddings}} e join {{documents}} d on d.doc_id = e.vec_id
-          join {{part}} p on p.p_partkey = e.vec_id % 200 join {{nation}} n on n.n_nationkey = e.vec_id % 25""",
+          join (select count(*) as n_parts from {{part}}) as parts on n_parts > 0 join {{part}} p on p.p_partkey = e.vec_id % n_parts join {{nation}} n on n.n_nationkey = e.vec_id % 25""",
     "question_v": f"""
         select c.conv_id * 100 + c.turn as question_id, concat(
           case c.conv_id % 6 when 0 then concat('author=', lower({_name("c.conv_id % 40")}), ' ')
             when 1 then concat('What did Dr. ', n.n_name, ' supervise in ', cast(2010 + c.conv_id % 10 as varchar(4)), '? ')
             when 2 then concat('ce  project ', p.p_name, ': ')
             when 3 then concat({_name("c.conv_id % 40")}, ' wong methods, ')
-            when 4 then concat('(', p.p_type, ') ') else '' end, left(c.text, 60)) as question
-        from {{conversations}} c join {{nation}} n on n.n_nationkey = c.conv_id % 25 join {{part}} p on p.p_partkey = c.conv_id % 200
+            when 4 then concat('(', p.p_type, ') ') else '' end, coalesce(c.text, '')) as question
+        from {{conversations}} c join {{nation}} n on n.n_nationkey = c.conv_id % 25 join (select count(*) as n_parts from {{part}}) as parts on n_parts > 0 join {{part}} p on p.p_partkey = c.conv_id % n_parts
         where c.role = 'user'""",
     "aliases": """
-        select 'synonym' as kind, 1 as ord, 'ce' as alias, 'computer engineering' as canonical union all
-        select 'synonym', 2, 'ml', 'machine learning' union all select 'synonym', 3, 'proj', 'project' union all
-        select 'advisor', 1, 'kenya', 'Dr. KENYA' union all select 'advisor', 2, 'brazil', 'Dr. BRAZIL' union all select 'advisor', 3, 'iran', 'Dr. IRAN' union all
-        select 'author', 1, 'aabc', 'AABC WONG' union all select 'author', 2, 'aade', 'AADE WONG' union all
-        select 'staff', 1, 'france', 'Dr. FRANCE' union all select 'staff', 2, 'peru', 'Dr. PERU'""",
+        select 'synonym' as kind, 1 as ord, 'ce' as alias, 'computer engineering' as canonical, cast(null as varchar(10)) as pattern union all
+        select 'synonym', 2, 'ml', 'machine learning', null union all select 'synonym', 3, 'proj', 'project', null union all
+        select 'advisor', 1, 'kenya', 'Dr. KENYA', null union all select 'advisor', 2, 'brazil', 'Dr. BRAZIL', null union all select 'advisor', 3, 'iran', 'Dr. IRAN', null union all
+        select 'author', 1, 'aabc', 'AABC WONG', null union all select 'author', 2, 'aade', 'AADE WONG', null union all
+        select 'author', 3, null, 'AADI WONG', 'aa+d+i' union all
+        select 'staff', 1, 'france', 'Dr. FRANCE', null union all select 'staff', 2, 'peru', 'Dr. PERU', null""",
     "timing_v": "select event_id as question_id, event_type as stage, value as seconds, cast(ts as timestamp) as ts from {events}",
     "raw_answer_v": """
         select conv_id * 100 + turn as question_id, text as raw_answer from {conversations} where role = 'assistant' union all

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.functions import chunking, encoders
-from lodestone.operators import answers, filters, frontmatter, latency, normalize, search, store
+from lodestone.operators import answers, filters, frontmatter, latency, normalize, pages, search, store
+from lodestone.plans import retrieval
+from lodestone.sources import tables
+from lodestone.streaming import jobs
 
 PAGES = "source string, page_number int, content string"
 
@@ -75,6 +78,117 @@ def test_blocked_contains_equals_nested_loop(spark):
     assert sorted((r["i"], r["p"]) for r in got.collect()) == sorted((i, p) for i, t in texts for (p,) in phrases if p in t)
 
 
+def test_phrases_meet_texts_at_their_rarest_trigram(spark):
+    """What all phrases begin with is no key: no text meets a phrase by it."""
+    texts = spark.createDataFrame([(i, f"project {i:04d} here") for i in range(40)], "i long, t string")
+    phrases = spark.createDataFrame([(f"project {i:04d}",) for i in range(0, 400, 10)], "p string")
+    got = normalize.containing(texts, "t", phrases, "p")
+    assert sorted((r["i"], r["p"]) for r in got.collect()) == [(i, f"project {i:04d}") for i in range(0, 40, 10)]
+
+
+def test_fuzzy_ties_go_to_the_first_term(spark):
+    words = spark.createDataFrame([("abcdefghij",)], "token string")
+    protected = spark.createDataFrame([("token", "abcdefghiz"), ("token", "abcdefghia"), ("token", "abcdefghim")], "kind string, value string")
+    assert [tuple(r) for r in normalize.fuzzy_snap(words, protected).collect()] == [("abcdefghij", "abcdefghia", 90.0)]
+
+
+def test_normaliser_without_lexicon_still_snaps(spark):
+    q = spark.createDataFrame([(1, "Papers of Puangkam"), (2, None)], "question_id long, question string")
+    protected = spark.createDataFrame([("token", "puangkan")], "kind string, value string")
+    aliases = spark.createDataFrame([], "kind string, ord int, alias string, canonical string")
+    got = {r["question_id"]: r["question"] for r in normalize.normalize(q, protected, aliases).collect()}
+    assert got == {1: "papers of puangkan", 2: ""}
+
+
+ALIASES = "kind string, ord int, alias string, canonical string, pattern string"
+
+
+def test_author_patterns_come_after_aliases(spark):
+    q = spark.createDataFrame([(1, "by joe and teeraat"), (2, "by Teerapaatt, not teeraat"), (3, "by xteeraat"), (4, "author=x teeraat")], "question_id long, question string")
+    aliases = spark.createDataFrame([("author", 1, "joe", "JOE A", None), ("author", 2, None, "TEE B", "teer(?:ap)?aat+"), ("author", 3, None, "OTHER", "teer.*")], ALIASES)
+    got = {r["question_id"]: (r["filters"].get("author"), r["rest"]) for r in filters.author_alias(filters.named_values(filters.start(q)), aliases).collect()}
+    assert got == {1: (["JOE A"], "by  and teeraat"), 2: (["TEE B"], "by , not teeraat"), 3: (None, "by xteeraat"), 4: (["x"], " teeraat")}
+
+
+def test_questions_are_parsed_step_by_step(spark):
+    dictionary = spark.createDataFrame([("project_title", "Rice Mill", ["Rice Mill"]), ("project_title", "Rice", ["Rice"]), ("author", "ANN LEE", ["ANN LEE", "ANN LEE, BO WU"]), ("advisor", "Dr. Kim", ["Dr. Kim"]), ("keywords", "iot", ["iot", "iot, water"])], "field string, term string, full_values array<string>")
+    aliases = spark.createDataFrame([("advisor", 1, "kim", "Dr. Kim", None), ("staff", 1, "pat", "Dr. Pat", None)], ALIASES)
+    asked = {
+        1: ("what did ann lee write on iot in the rice mill of 2014 and 2015?", {"project_title": ["Rice Mill"], "author": ["ANN LEE", "ANN LEE, BO WU"], "keywords": ["iot", "iot, water"], "year": ["2014"]}, "what did write on in the of and ?"),
+        2: ("advisor=prof.kim water", {"advisor": ["Dr. Kim"]}, "advisor=prof.kim water"),
+        3: ("pat and patrick", {"advisor": ["Dr. Pat"]}, "pat and patrick"),
+        4: ("title=rice nothing", {"project_title": ["Rice"]}, "title= nothing"),
+        5: ("plain words", {}, "plain words"),
+    }
+    q = spark.createDataFrame([(i, t) for i, (t, _, _) in asked.items()], "question_id long, question string")
+    got = {r["question_id"]: (r["filters"], r["residual"]) for r in filters.parse(q, dictionary, aliases).collect()}
+    assert got == {i: (f, r) for i, (_, f, r) in asked.items()}
+
+
+def test_residual_keeps_years_that_are_no_filter(spark):
+    r = lambda *f: filters.residual(F.lit("Rice of 2011 and 2012"), F.create_map(*f).cast(filters.FILTER))
+    got = spark.range(1).select(r(F.lit("k"), F.array(F.lit("rice"))), r(F.lit("year"), F.array(F.lit("2012")))).first()
+    assert tuple(got) == ("of 2011 and 2012", "rice of and")
+
+
+def test_questions_to_answers(spark):
+    said = "content string, source string, project_title string, author string, advisor string, keywords string, year string"
+    points = spark.createDataFrame([("rice grows in water", "a.pdf", "Rice Mill", "ANN LEE", "Dr. Kim", "iot", "2014"), ("fish swim", "b.pdf", "Fish Pond", "BO WU", None, "bio", "2015")], said)
+    points = encoders.embed_documents(points.withColumn("point_id", F.when(F.col("source") == "a.pdf", 1).otherwise(2)))
+    aliases = spark.createDataFrame([("staff", 1, "pat", "Dr. Pat", None)], ALIASES)
+    q = spark.createDataFrame([(1, "Who is the advisor of Rice Mill?"), (2, "how do fish swim in the fish pond"), (3, "anything of 1999")], "question_id long, question string")
+    raw = spark.createDataFrame([(2, "Answer: they swim"), (3, "x")], "question_id long, raw_answer string")
+    got = {r["question_id"]: (r["answer"], r["route"], r["sources"]) for r in retrieval.answers_to_questions(q, points, aliases, raw).collect()}
+    assert got == {1: ("Dr. Kim is associated with this project: Rice Mill.", "metadata", ["a.pdf"]), 2: ("they swim", "model", ["b.pdf"]), 3: (answers.NO_ANSWER, "no_context", [])}
+
+
+@pytest.mark.parametrize("search_by", [search.semantic_topk, search.semantic_topk_blocks])
+def test_many_questions_are_searched_in_blocks(spark, monkeypatch, search_by):
+    rng = random.Random(2)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(8)]
+    fields_ = {c: None for c in store.FILTERABLE}
+    points = spark.createDataFrame([{"point_id": i, "vector": vector(), **fields_} for i in range(90)], "point_id long, vector array<double>, " + ", ".join(f"{c} string" for c in fields_))
+    q = spark.createDataFrame([(i, vector()) for i in range(50)], "question_id long, qvec array<double>")
+    want = sorted(tuple(r) for r in search_by(q, points, 3).select("question_id", "point_id", "rank").collect())
+    monkeypatch.setattr(search, "BROADCAST_QUESTIONS", 12)
+    blocks = search.blocks_of(q)
+    assert len(blocks) == 6 and sum(b.count() for b in blocks) == 50
+    assert sorted(tuple(r) for r in search_by(q, points, 3).select("question_id", "point_id", "rank").collect()) == want and len(want) == 150
+
+
+def test_numbers_in_ranges_are_those_of_a_sort(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.random()) for _ in range(300)] + [("c", 0.5)]
+    got = sorted(((r["k"] or "", r["v"], r["nth"], r["n_all"]) for r in tables.numbered(spark.createDataFrame(rows, "k string, v double").repartition(5), "k", [F.col("v")]).collect()))
+    want = []
+    for k in ("a", "b", "c", None):
+        mine = sorted(v for x, v in rows if x == k)
+        want += [(k or "", v, i, len(mine)) for i, v in enumerate(mine)]
+    assert got == sorted(want)
+
+
+def test_a_bad_source_does_not_stop_the_others(spark, tmp_path):
+    rows = spark.createDataFrame([("good", 1, "x"), ("bad", 1, "y"), ("fine", 1, "z")], "source string, page_number int, content string")
+    rows.write.parquet(str(tmp_path / "in"))
+
+    def prepare(df):
+        return df.withColumn("chunk_index", F.when(F.col("source") == "bad", F.raise_error(F.lit("broken"))).otherwise(0).cast("int"))
+
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    jobs.ingest_stream(stream, prepare, str(tmp_path / "points"), str(tmp_path / "state"), str(tmp_path / "errors")).awaitTermination()
+    points, errors = spark.read.parquet(str(tmp_path / "points")), spark.read.parquet(str(tmp_path / "errors"))
+    report = {r["source"]: r["outcome"] for r in pages.ingest_report(rows.select("source").distinct(), rows, points, points, errors).collect()}
+    assert report == {"good": "written", "bad": "error", "fine": "written"}
+
+
+def test_previews_and_chunk_counts(spark):
+    pages_ = spark.createDataFrame([("b", 1, "w" * 30), ("a", 2, "x" * 2500), ("a", 1, "short page")], PAGES)
+    chunks = chunking.chunked(pages_)
+    assert [(r["source"], r["page_number"], r["chunk_index"], r["head"]) for r in pages.preview(chunks, 2, 5).collect()] == [("a", 1, 0, "short"), ("a", 2, 0, "xxxxx")]
+    sizes = {(r["source"], r["page_number"], r["chunk_index"]): len(r["content"]) for r in chunks.collect()}
+    assert sizes[("a", 1, 0)] == 10 and sizes[("b", 1, 0)] == 30 and [n for k, n in sorted(sizes.items()) if k[:2] == ("a", 2)] == [1000, 1000, 800]
+
+
 def test_filters(spark):
     q = spark.createDataFrame([(1, 'author:"john doe" title=x author=jane 1999 rest 2005')], "question_id long, question string")
     got = filters.year(filters.named_values(filters.start(q))).first()
@@ -83,7 +197,7 @@ def test_filters(spark):
     f = F.create_map(F.lit("a"), F.array(F.lit(" x "), F.lit(" ")), F.lit("b"), F.array(F.lit("")))
     assert spark.range(1).select(filters.validated(f).alias("f")).first()["f"] == {"a": ["x"]}
     text = filters.residual(F.lit("Find Rice rice of 2011"), F.create_map(F.lit("k"), F.array(F.lit("RICE"))))
-    assert spark.range(1).select(text.alias("t")).first()["t"] == "find rice of"
+    assert spark.range(1).select(text.alias("t")).first()["t"] == "find rice of 2011"  # years go only where a year is a filter
 
 
 def test_filter_predicate_needs_every_field(spark):
