@@ -37,23 +37,25 @@ def protected_by_token(tokens_: DataFrame, protected: DataFrame) -> DataFrame:
 
 
 def _grams(text: Column) -> Column:
-    """Distinct character trigrams: the keys by which texts meet the phrases that they may contain."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+    """Distinct character trigrams: the keys by which texts meet the phrases that they may contain. One pass, however long the text is."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), 1))
 
 
 def containing(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
     """Pairs where text contains phrase (three characters or more), both lower case: an equi-join on a trigram, then the test.
 
     A phrase is keyed by the trigram that the fewest phrases have, so each pair meets once and what all phrases begin with is no key.
-    No nested loops.
+    No nested loops. Trigrams travel with a hash of their text; the text itself meets only the phrases that it may contain.
     """
-    left = texts.withColumn("_gram", F.explode(_grams(F.col(text))))
-    long = phrases.filter(F.length(phrase) >= 3)
+    texts = texts.withColumn("_id", F.xxhash64(text))
+    left = texts.select("_id", F.explode(_grams(F.col(text))).alias("_gram"))
+    long = cut(phrases.filter(F.length(phrase) >= 3), "phrases")  # used four times
     each = long.select(F.col(phrase).alias("_phrase")).distinct().withColumn("_gram", F.explode(_grams(F.col("_phrase"))))
     shared = each.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     keys = each.join(shared, "_gram").groupBy("_phrase").agg(F.min(F.struct("_n", "_gram")).alias("_k")).select("_phrase", "_k._gram")
     right = long.join(keys, F.col(phrase) == F.col("_phrase")).drop("_phrase")
-    return left.join(right, "_gram").filter(F.contains(F.col(text), F.col(phrase))).drop("_gram")
+    may = left.join(right, "_gram").drop("_gram").distinct()
+    return texts.join(may, "_id").filter(F.contains(F.col(text), F.col(phrase))).drop("_id")
 
 
 def protected_by_phrase(questions: DataFrame, tokens_: DataFrame, protected: DataFrame) -> DataFrame:
@@ -61,7 +63,9 @@ def protected_by_phrase(questions: DataFrame, tokens_: DataFrame, protected: Dat
     phrases = protected.filter("kind = 'phrase'").select(F.col("value").alias("phrase"))
     hits = containing(questions.select("question_id", "question"), "question", phrases, "phrase")
     n = F.length("phrase")
-    spots = F.filter(F.sequence(F.lit(1), F.length("question") - n + 1), lambda i: (F.substring(F.col("question"), i, n) == F.col("phrase")) & ~F.coalesce(F.substring(F.col("question"), i + n, F.lit(1)).rlike(r"(?U)\w"), F.lit(False)) & ((i == 1) | ~F.substring(F.col("question"), i - 1, F.lit(1)).rlike(r"(?U)\w")))
+    parts = F.transform(F.split("question", F.concat(F.lit(r"(?=\Q"), "phrase", F.lit(r"\E)"))), lambda p: F.length(p))  # a part begins at each occurrence
+    starts = F.transform(parts, lambda p, k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(1), lambda a, x: a + x))
+    spots = F.filter(starts, lambda i: (F.substring(F.col("question"), i, n) == F.col("phrase")) & ~F.coalesce(F.substring(F.col("question"), i + n, F.lit(1)).rlike(r"(?U)\w"), F.lit(False)) & ((i == 1) | ~F.substring(F.col("question"), i - 1, F.lit(1)).rlike(r"(?U)\w")))
     spans = hits.select("question_id", n.alias("n"), F.explode(spots).alias("i")).select("question_id", (F.col("i") - 1).alias("from"), (F.col("i") - 1 + F.col("n")).alias("to"))
     return tokens_.join(spans, "question_id").filter("start >= `from` and stop <= `to`").select("question_id", "pos").distinct()
 

@@ -40,8 +40,8 @@ VIEWS = {
           case when e.vec_id % 3 = 0 then concat({_name("e.vec_id % 40")}, ' WONG, ', {_name("e.vec_id % 7")}, ' LEE') else concat({_name("e.vec_id % 40")}, ' WONG') end as author,
           case when e.vec_id % 5 <> 0 then concat('Dr. ', n.n_name) end as advisor,
           concat(p.p_type, ', ', d.lang) as keywords, cast(2010 + e.vec_id % 10 as varchar(4)) as year
-        from {{embeddings}} e join {{documents}} d on d.doc_id = e.vec_id
-          join (select count(*) as n_parts from {{part}}) as parts on n_parts > 0 join {{part}} p on p.p_partkey = e.vec_id % n_parts join {{nation}} n on n.n_nationkey = e.vec_id % 25""",
+        from (select *, vec_id % (select count(*) from {{part}}) as part_key from {{embeddings}}) e join {{documents}} d on d.doc_id = e.vec_id
+          join {{part}} p on p.p_partkey = e.part_key join {{nation}} n on n.n_nationkey = e.vec_id % 25""",
     "question_v": f"""
         select c.conv_id * 100 + c.turn as question_id, concat(
           case c.conv_id % 6 when 0 then concat('author=', lower({_name("c.conv_id % 40")}), ' ')
@@ -49,7 +49,7 @@ VIEWS = {
             when 2 then concat('ce  project ', p.p_name, ': ')
             when 3 then concat({_name("c.conv_id % 40")}, ' wong methods, ')
             when 4 then concat('(', p.p_type, ') ') else '' end, coalesce(c.text, '')) as question
-        from {{conversations}} c join {{nation}} n on n.n_nationkey = c.conv_id % 25 join (select count(*) as n_parts from {{part}}) as parts on n_parts > 0 join {{part}} p on p.p_partkey = c.conv_id % n_parts
+        from (select *, conv_id % (select count(*) from {{part}}) as part_key from {{conversations}}) c join {{nation}} n on n.n_nationkey = c.conv_id % 25 join {{part}} p on p.p_partkey = c.part_key
         where c.role = 'user'""",
     "aliases": """
         select 'synonym' as kind, 1 as ord, 'ce' as alias, 'computer engineering' as canonical, cast(null as varchar(10)) as pattern union all
