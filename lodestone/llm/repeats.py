@@ -43,6 +43,8 @@ from .suffixes import common_prefixes, suffix_array
 ARRAY_BYTES = 400_000
 #: Different segments of one gram that one suffix array may hold.
 HOT_KINDS = 4_000
+#: Segments of hot grams that are broadcast to the texts; beyond, the texts are shuffled to them.
+BROADCAST_SEGMENTS = 200_000
 
 
 def _tag(raw: bytes) -> int:
@@ -243,8 +245,10 @@ def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edge = single.join(runs, ["gram", "seg"]).select("row", span_of(F.col("place"), F.col("lo"), F.col("hi") - F.col("lo") + 1).alias("span"))
     spans = whole(sure).unionByName(whole(again)).unionByName(edge)
     if is_hot:
-        asked = materialize(_by_row(joined_small(counted, hot, ["gram"], "left_semi")), "asked")
-        digests = materialize(_digests(joined_small(docs.select("row", "text"), asked, ["row"], "inner")), "windows")
+        hot_segments = materialize(joined_small(counted, hot, ["gram"], "left_semi"), "hot-segments")
+        asked = _by_row(hot_segments)  # 24 bytes a segment: broadcast while they are few, whatever rows they are in
+        asked = F.broadcast(asked) if hot_segments.count() <= BROADCAST_SEGMENTS else asked
+        digests = materialize(_digests(docs.select("row", "text").join(asked, "row")), "windows")
         twice = materialize(digests.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b"), "repeated-windows")
         spans = spans.unionByName(digests.join(twice, ["a", "b"]).select("row", span_of(F.col("place"), F.col("at"), F.lit(1)).alias("span")))
     return spread, spans.groupBy("row").agg(F.collect_list("span").alias("ranges"))
