@@ -11,8 +11,10 @@ bits not yet shared stay within the limit, the groups are united as wholes, and
 followed: no group's pairs are listed. A block gives a star for each of its components. Stars join to components over all blocks.
 
 For a word-shingle similarity, bits and sketches only choose candidates. Each candidate pair is decided by its documents'
-sets of distinct shingles before it links. A block proposes a spanning forest of its candidates; where pairs of it are refused,
-it proposes further ones, until every candidate pair is decided or joined by decided links.
+sets of distinct shingles before it links. A block proposes a spanning forest of its candidates. Where pairs of it are refused and
+the links of all blocks leave nodes of it apart, its sets are sent to its task, which decides all its other candidates without listing
+them. A block whose sets hold more than SETTLE_SHINGLES proposes further pairs instead, until every candidate pair is decided or joined
+by decided links; both ways give the same components.
 
 A block above BLOCK_ROWS is split by further keys, and its parts again, until none is above or no key is left: bits by a new
 partition of all bits each time, which loses no pair and ends with single fingerprints; minimum hashes by further ones, so that
@@ -45,8 +47,10 @@ SHINGLE_WORDS, LINK_BITS = 4, 4
 #: Near-duplicate stages: words per shingle, least similarity. Candidates: bits of distinct shingles (five standard
 #: deviations above the mean of pairs of the least similarity), least estimate (six standard errors below it).
 STAGE_WORDS, STAGE_SIMILARITY, STAGE_BITS, STAGE_ESTIMATE = 5, 0.8, 24, 0.65
-#: Further pairs that a block proposes for each node after a refusal; so many times more in each later round.
+#: Most further pairs that a block proposes for each node after a refusal; so many times more in each later round.
 MORE_PAIRS = 16
+#: Shingles of the sets that one task compares at once.
+SETTLE_SHINGLES = 4_000_000
 #: Minimum hashes for block keys, as many again for hot blocks; bins of the similarity sketch.
 KEYS, SKETCH_BINS = 5, 256
 FAN, BLOCK_ROWS, GROUP_ROWS, PAIRS_AT_ONCE = 8, 100_000, 50_000, 20_000
@@ -226,20 +230,81 @@ def block_stars(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.DataFrame({"u": ids[hangs], "v": ids[sets.parent[hangs]]})
 
 
-def block_pairs(rows: pd.DataFrame, decided: pd.DataFrame, limit: int, estimate: float, more: int) -> pd.DataFrame:
-    """rows (key, id, fp, sketch) of whole blocks, decided (key, u, v, near) -> undecided candidates (key, u, v): a spanning forest, and up to more a node."""
+def _rooted(rows: pd.DataFrame, order: np.ndarray, block: np.ndarray) -> Unions:
+    """Positions with one root in one block are one set."""
+    n = len(order)
+    _, root = np.unique(rows["root"].to_numpy()[order], return_inverse=True)
+    _, first, same = np.unique(block * n + root, return_index=True, return_inverse=True)
+    sets = Unions(n)
+    sets.unite(np.arange(n), first[same])
+    return sets
+
+
+def _sketches(rows: pd.DataFrame, order: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sketch"].to_numpy()[order]), np.uint8).reshape(len(order), -1)
+
+
+class Sets:
+    """Sets of longs by position, numbered so that a set is a run of flags."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.start = np.r_[0, np.cumsum(self.size)]
+        members, self.code = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_inverse=True)
+        self.flag = np.zeros(len(members), bool)
+
+    def shared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Size of the intersection of sets x and y, pair by pair."""
+        often = np.bincount(np.r_[x, y], minlength=len(self.size))
+        swap = often[y] > often[x]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        order, out = np.argsort(x, kind="stable"), np.zeros(len(x), np.int64)
+        for run in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(x) else []:
+            own = self.code[self.start[x[run[0]]] : self.start[x[run[0]] + 1]]
+            size = self.size[y[run]]
+            ends = np.cumsum(size)
+            self.flag[own] = True
+            at = np.arange(ends[-1]) + np.repeat(self.start[y[run]] - (ends - size), size)
+            counts = np.r_[0, np.cumsum(self.flag[self.code[at]])]
+            self.flag[own] = False
+            out[run] = counts[ends] - counts[ends - size]
+        return out
+
+
+def block_links(rows: pd.DataFrame, limit: int, estimate: float, least: Fraction) -> pd.DataFrame:
+    """rows (key, id, fp, sketch, root, shingles) of whole blocks -> links (u, v) of ids: a star for each component, by exact sets."""
+    order, fp, _, block, ids = _sorted(rows)
+    sets, sketches, exact = _rooted(rows, order, block), _sketches(rows, order), Sets(list(rows["shingles"].to_numpy()[order]))
+    for u, v in GrayIndex(fp, block).linked(limit, sets):
+        for i in range(0, len(u), PAIRS_AT_ONCE):
+            x, y = u[i : i + PAIRS_AT_ONCE], v[i : i + PAIRS_AT_ONCE]
+            open_ = sets.apart(x, y)
+            x, y = x[open_], y[open_]
+            likely = sketch_similarity(sketches[x], sketches[y])
+            best = np.argsort(-likely, kind="stable")[: int((likely >= estimate).sum())]
+            for j in range(0, len(best), PAIRS_AT_ONCE // 10):  # the likeliest first: what they join need not be compared
+                a, b = x[best[j : j + PAIRS_AT_ONCE // 10]], y[best[j : j + PAIRS_AT_ONCE // 10]]
+                open_ = sets.apart(a, b)
+                a, b = a[open_], b[open_]
+                same = exact.shared(a, b)
+                near_ = same * least.denominator >= (exact.size[a] + exact.size[b] - same) * least.numerator
+                sets.unite(a[near_], b[near_])
+    hangs = np.flatnonzero(sets.parent != np.arange(len(ids)))
+    return pd.DataFrame({"u": ids[hangs], "v": ids[sets.parent[hangs]]})
+
+
+def block_pairs(rows: pd.DataFrame, refused: pd.DataFrame, limit: int, estimate: float, more: int) -> pd.DataFrame:
+    """rows (key, id, fp, sketch, root) of whole blocks, refused (key, u, v) -> undecided candidates (key, u, v) of different roots: a spanning forest, and up to more a node."""
     order, fp, key, block, ids = _sorted(rows)
     n = len(ids)
     if not n:
         return pd.DataFrame({"key": key, "u": ids, "v": ids})
-    sketches = np.frombuffer(b"".join(rows["sketch"].to_numpy()[order]), np.uint8).reshape(n, -1)
+    sketches = _sketches(rows, order)
     at = pd.DataFrame({"key": key, "id": ids, "at": np.arange(n)})
-    known = decided.merge(at, left_on=["key", "u"], right_on=["key", "id"]).merge(at, left_on=["key", "v"], right_on=["key", "id"], suffixes=("_u", "_v"))
-    x, y, near = known["at_u"].to_numpy(np.int64), known["at_v"].to_numpy(np.int64), known["near"].to_numpy(bool)
+    known = refused.merge(at, left_on=["key", "u"], right_on=["key", "id"]).merge(at, left_on=["key", "v"], right_on=["key", "id"], suffixes=("_u", "_v"))
+    x, y = known["at_u"].to_numpy(np.int64), known["at_v"].to_numpy(np.int64)
     codes = np.unique(np.minimum(x, y) * n + np.maximum(x, y))
-    sets, trial = Unions(n), Unions(n)
-    sets.unite(x[near], y[near])
-    trial.unite(x[near], y[near])
+    sets, trial = _rooted(rows, order, block), _rooted(rows, order, block)
     given, us, vs = np.zeros(n, np.int64), [], []
     for u, v in GrayIndex(fp, block).linked(limit, sets if more else trial):
         for i in range(0, len(u), PAIRS_AT_ONCE):
@@ -261,7 +326,7 @@ def block_pairs(rows: pd.DataFrame, decided: pd.DataFrame, limit: int, estimate:
                     q = up[q]
                 if p != q:
                     up[max(p, q)] = min(p, q)
-                elif given[a] >= more and given[b] >= more:
+                elif given[a] >= more or given[b] >= more:
                     continue
                 given[a] += 1
                 given[b] += 1
@@ -337,11 +402,11 @@ def near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _proposer(limit: int, estimate: float, more: int) -> Callable:
-    return lambda g, rows, decided: block_pairs(rows, decided, limit, estimate, more).assign(g=g[0])
+    return lambda g, rows, refused: block_pairs(rows, refused, limit, estimate, more).assign(g=g[0])
 
 
-def similar_links(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], limit: int, estimate: float, similarity: float) -> DataFrame:
-    """rows (key, further, id, fp, sketch) -> links (u, v) of ids whose sets reach similarity; sets_of: ids (id) -> id, shingles."""
+def similar_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], limit: int, estimate: float, similarity: float) -> DataFrame:
+    """rows (key, further, id, fp, sketch) -> node, root: components of ids whose sets reach similarity; sets_of: ids (id) -> id, shingles."""
     spark = rows.sparkSession
 
     def split(hot: DataFrame, turn: int) -> DataFrame:
@@ -351,19 +416,36 @@ def similar_links(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], li
         return parts.select(F.xxhash64("key", F.lit(turn), "i", "min").alias("key"), "id", "fp", "sketch", rest.alias("further"))
 
     held = materialize(_dealt(rows, ["id", "fp", "sketch"], split, KEYS - 1), "dealt")
-    decided, sets, more = spark.createDataFrame([], "g long, key long, u long, v long, near boolean"), None, 0
+    refused, sets, more = spark.createDataFrame([], "g long, key long, u long, v long"), None, 0
+    roots = spark.createDataFrame([], "node long, root long")
+    settle = lambda pdf: block_links(pdf, limit, estimate, Fraction(str(similarity)))
+    star = [F.col("node").alias("u"), F.col("root").alias("v")]
+    with_roots = lambda df: joined_small(df, roots.withColumnRenamed("node", "id"), ["id"], "left").withColumn("root", F.coalesce("root", "id"))
     while True:
-        found = held.groupBy("g").cogroup(decided.groupBy("g")).applyInPandas(_proposer(limit, estimate, more), "g long, key long, u long, v long")
+        found = with_roots(held).groupBy("g").cogroup(refused.groupBy("g")).applyInPandas(_proposer(limit, estimate, more), "g long, key long, u long, v long")
         found = materialize(found, "candidates")
         pairs = found.select("u", "v").distinct()
         if sets is None:  # a forest meets each node that has a candidate
             sets = materialize(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "shingles")
         verdicts = materialize(found.join(near(pairs, sets, similarity), ["u", "v"]).select("g", "key", "u", "v", "near"), "decided")
-        decided = decided.unionByName(verdicts)
-        refused = materialize(verdicts.filter(~F.col("near")).select("key").distinct(), "refused")
-        if not refused.count():
-            return decided.filter("near").select("u", "v").distinct()
-        held, more = held.join(refused, "key", "left_semi"), more * MORE_PAIRS or MORE_PAIRS
+        roots = materialize(components(verdicts.filter("near").select("u", "v").unionByName(roots.select(star))), "roots")
+        apart = materialize(verdicts.filter(~F.col("near")).select("g", "key", "u", "v"), "refused")
+        if apart.isEmpty():
+            return roots
+        asked = with_roots(joined_small(held, materialize(apart.select("key").distinct(), "asked-blocks"), ["key"], "left_semi"))
+        asked = asked.select("key", "id", "root").join(sets.select("id", F.size("shingles").alias("n")), "id").groupBy("key")
+        asked = asked.agg(F.sum("n").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        open_ = materialize(asked.select("key", "n"), "open-blocks")
+        small = materialize(open_.filter(F.col("n") <= SETTLE_SHINGLES), "small-blocks")
+        if not small.isEmpty():
+            tasks = max(spark.sparkContext.defaultParallelism, small.agg(F.sum("n")).first()[0] // max(1, SETTLE_SHINGLES))
+            whole = with_roots(joined_small(held.drop("g"), small.select("key"), ["key"], "left_semi")).join(sets, "id")
+            stars = whole.groupBy(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(tasks))).applyInPandas(settle, "u long, v long").distinct()
+            roots = materialize(components(materialize(stars, "settled").unionByName(roots.select(star))), "roots")
+        large = materialize(open_.filter(F.col("n") > SETTLE_SHINGLES).select("key"), "large-blocks")
+        if large.isEmpty():
+            return roots
+        refused, held, more = refused.unionByName(apart), joined_small(held, large, ["key"], "left_semi"), more * MORE_PAIRS or MORE_PAIRS
 
 
 def report(docs: DataFrame, size: int = SHINGLE_WORDS, limit: int = LINK_BITS) -> DataFrame:
@@ -444,7 +526,7 @@ def groups(docs: DataFrame) -> DataFrame:
         one = all_.select(F.col("content").alias("id"), "row").join(ids, "id", "left_semi").groupBy("id").agg(F.min("row").alias("row"))
         return distinct_shingles(joined_small(numbered, materialize(one, "asked"), ["row"], "inner")).dropDuplicates(["id"])
 
-    found = components(similar_links(materialize(rows, "blocks"), sets_of, STAGE_BITS, STAGE_ESTIMATE, STAGE_SIMILARITY))
+    found = similar_components(materialize(rows, "blocks"), sets_of, STAGE_BITS, STAGE_ESTIMATE, STAGE_SIMILARITY)
     return all_.select("row", "doc_id", "content").join(found.withColumnRenamed("node", "content"), "content", "left").select("row", "doc_id", F.coalesce("root", "content").alias("group"))
 
 

@@ -427,6 +427,38 @@ def test_near_copies_are_those_of_the_shingle_sets(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want
 
 
+@pytest.mark.parametrize("most", [0, 20_000, 4_000_000])  # by listed pairs, by both ways, by sets in a task
+def test_group_on_both_sides_of_the_similarity(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "SETTLE_SHINGLES", most)
+    rng = random.Random(3)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for k in range(150):  # one text with 1 to 6 words changed: most pairs near 0.8, some texts apart from all
+        words = list(base)
+        for at in rng.sample(range(150), 1 + k % 6):
+            words[at] = f"c{k}_{at}"
+        texts.append(" ".join(words))
+    texts += ["", "one", None, " ".join(base[:30])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {find(i) for i in range(len(texts))}
+    assert 4 < len(want) < 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want
+
+
+def test_shared_sizes_of_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, n)) for n in (0, 1, 5, 40, 90, 0, 30)]
+    x, y = rng.integers(0, 7, 200), rng.integers(0, 7, 200)
+    assert simhash.Sets(sets).shared(x, y).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)]
+    assert not len(simhash.Sets([]).shared(np.empty(0, np.int64), np.empty(0, np.int64)))
+
+
 def test_quality_matches_brute_force(docs):
     for r in quality.report(docs).collect():
         text = next(x[1] for x in rows_of() if x[0] == r["doc_id"]) or ""
