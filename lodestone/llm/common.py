@@ -32,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, a lost executor loses nothing."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder (in one folder for each value of column by) and reads it back: lineage is cut, a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

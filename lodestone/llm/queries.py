@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, minhash, mixing, packing, pii, quality, repeats, secrets, simhash
+from . import centroids, chat, html_text, line_dedup, minhash, mixing, packing, phrases, pii, quality, repeats, secrets, simhash
 from .common import table
 
 
@@ -50,5 +50,17 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.digest(chat.probe_rows(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing_sources, op2_html_extraction, op3_suffix_array_dedup, op4_document_fingerprints, op5_packing, op6_simhash, op8_secret_scans, op7_quality_rules, op9_pii_surrogates, op10_chat_formatting)}
-ORACLES = {"op7_quality_rules": quality.REPORT_SQL, "op10_chat_formatting": chat.DIGEST_SQL}
+def op11_centroid_clustering(spark, sf_dir):
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing_sources, op2_html_extraction, op3_suffix_array_dedup, op4_document_fingerprints, op5_packing, op6_simhash, op8_secret_scans, op7_quality_rules, op9_pii_surrogates, op10_chat_formatting, op11_centroid_clustering, op12_line_dedup, op13_phrase_collocations)}
+ORACLES = {"op7_quality_rules": quality.REPORT_SQL, "op10_chat_formatting": chat.DIGEST_SQL, "op11_centroid_clustering": centroids.REPORT_SQL, "op12_line_dedup": line_dedup.REPORT_SQL, "op13_phrase_collocations": phrases.REPORT_SQL}
