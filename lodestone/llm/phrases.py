@@ -1,14 +1,16 @@
 """Phrase collocation mining by stripes.
 
-A stripe is a prefix word with an associative counter of what follows it: the next word, and the next two. A task counts
-its texts in bounded chunks and emits one stripe for each prefix of a chunk; stripes of a prefix meet by a shuffle on the prefix and are merged
-element by element. A merged stripe holds the extensions of its prefix (f of two and of three words), the totals of
-the longer prefixes ("w1 w2" for its extensions "w1 w2 w3") and the greatest extension of each, which decides subsumption. The
-stripe of the empty prefix counts single words and gives n.
-
-Words that hold more than 1 / (HOT_SPLIT x shuffle partitions) of all occurrences are known exactly from the empty prefix's stripe and are
-at most HOT_SPLIT x partitions many; their stripes are dealt out by the hash of what follows. A chunk emits an element once, however often it
-occurs, and merging is a hash aggregation that can spill. Nothing is pruned before its count over all documents is known.
+A stripe is a prefix (of no, one or two words) with an associative counter of its next words. A task counts its texts in bounded
+chunks and emits one stripe for each prefix of a chunk; stripes of a prefix meet by a shuffle on the prefix and are merged element by
+element. The merged stripes, rows (lang, prefix, next, n), are the one structure that everything comes from: n of an element is the
+count of an extension and the total of the prefix that it makes, the greatest element of a prefix decides subsumption, and the empty prefix's
+stripe gives the words and their sum.
+
+Lengths go up by one word. A phrase occurs no more often than its parts, so elements are emitted only where a bitmap of hashes admits both parts
+as occurring often enough; a wrong admission costs room and changes nothing. Bitmaps have BITS_EACH bits an entry and at most MOST_BITS, beyond which they
+admit more. A prefix with more than 1 / (HOT_SPLIT x shuffle partitions) of all occurrences is known exactly from the length before; these are at most
+HOT_SPLIT x partitions many, and their stripes are dealt out by the hash of the next word. A chunk emits an element once, however often it
+occurs, and merging is a hash aggregation that can spill.
 
 Scores are exact: counts are decimals in products and the division is integral.
 
@@ -20,11 +22,12 @@ from __future__ import annotations
 
 import itertools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,70 +38,139 @@ SCORE_UNIT = 1_000_000
 UNDEFINED = "und"
 #: Bytes of text that a task counts at a time.
 CHUNK_BYTES = 8 << 20
-#: A word is hot above this part of an even partition's share; its stripe is dealt to so many segments.
+#: A prefix is hot above this part of an even partition's share; its stripe is dealt to so many segments.
 HOT_SPLIT, SEGMENTS = 4, 64
+#: Bits of a bitmap for each of its entries, and in all (64 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 29
 #: Bytes as the contract reads them: marks and line ends end a piece, tab is a space, A-Z is lower-cased.
 _END = b".,;:!?\n\x0b\x0c\r"
 _READ = bytes.maketrans(_END + b"\t" + bytes(range(65, 91)), b"\n" * len(_END) + b" " + bytes(range(97, 123)))
-STRIPE = "lang string, prefix string, nexts array<string>, counts array<long>"
+#: nexts: the next words on a line each, behind a tab their count where it is above 1.
+STRIPE = "lang string, prefix string, segment int, nexts string"
 
 
-def _word_ids(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Distinct words, and the words of all texts as numbers from 1 in order, 0 at the end of each piece."""
-    ids: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
-    ids[b"\n"], ids[b""]  # 0 and 1
-    tokens = b"\n".join(texts).translate(_READ).replace(b"\n", b" \n ").split(b" ")
-    found = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
-    found = found[found != 1]
-    return list(ids), np.r_[found, 0]
+class Words:
+    """The words of a chunk of one language: distinct words, and all in order as numbers from 2, 0 at the end of each piece."""
 
+    def __init__(self, lang: str, texts: list[bytes]) -> None:
+        ids: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+        ids[b"\n"], ids[b""]  # 0 and 1
+        tokens = b"\n".join(texts).translate(_READ).replace(b"\n", b" \n ").split(b" ")
+        found = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
+        self.lang, self.number = lang, dict(ids)
+        self.ids = np.r_[found[found != 1], 0]
+        self.words = list(ids)
+        self.names = pa.array(self.words, pa.binary()).cast(pa.string())
+        seed = xxhash.xxh3_64_intdigest(lang)
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
 
-def _strings(words: list[bytes]) -> pa.Array:
-    return pa.array(words, pa.binary()).cast(pa.string())
 
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-def _runs(sorted_: np.ndarray) -> np.ndarray:
-    """Where each run of equal values begins."""
-    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.empty(0, np.int64)
 
+def _admits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-def _stripes(prefixes: np.ndarray, prefix_names: pa.Array, nexts: pa.Array, counts: np.ndarray, lang: str) -> pa.RecordBatch:
-    """Elements in order of prefix, as one row for each prefix."""
-    begins = _runs(prefixes)
-    offsets = pa.array(np.r_[begins, len(prefixes)].astype(np.int32))
-    return pa.record_batch([pa.array([lang] * len(begins), pa.string()), prefix_names.take(pa.array(prefixes[begins])), pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, pa.array(counts))], ["lang", "prefix", "nexts", "counts"])
 
+def _bitmap(entries: DataFrame, hashes: Callable) -> np.ndarray:
+    """A bitmap of entries (lang, phrase), which must be written already; hashes(lang, phrases) gives their 64-bit hashes. At most MOST_BITS reach the driver."""
+    wanted = max(1 << 16, BITS_EACH * entries.count())
+    size = min(MOST_BITS, 1 << (wanted - 1).bit_length())
 
-def _single(lang: str, texts: list[bytes]) -> pa.RecordBatch:
-    """The empty prefix's stripe: words and how often they occur."""
-    words, ids = _word_ids(texts)
-    counts = np.bincount(ids, minlength=len(words))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_lang = defaultdict(list)
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_lang[lang].append(phrase)
+            for lang, phrases in by_lang.items():
+                yield pa.record_batch([pa.array((hashes(lang, phrases) & np.uint64(size - 1)).astype(np.int64))], ["at"])
+
+    at = entries.select("lang", "phrase").mapInArrow(each, "at long")
+    whole = F.col("at") + 1  # bit positions of bitmaps count from 1
+    rows = at.groupBy(F.bitmap_bucket_number(whole).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(whole)).alias("b")).toLocalIterator()
+    bits = np.zeros(size // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(r["b"], np.uint8)
+        start = (r["k"] - 1) * len(part)
+        bits[start : start + len(part)] = part[: len(bits) - start]
+    return bits
+
+
+def _word_hashes(lang: str, words: list[str]) -> np.ndarray:
+    seed = xxhash.xxh3_64_intdigest(lang)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _pair_hashes(lang: str, pairs: list[str]) -> np.ndarray:
+    halves = [p.split(" ") for p in pairs]
+    return _pair_hash(_word_hashes(lang, [a for a, _ in halves]), _word_hashes(lang, [b for _, b in halves]))
+
+
+def _stripes(lang: str, prefixes: np.ndarray, name: Callable, hot: np.ndarray, nexts: np.ndarray, counts: np.ndarray, w: Words) -> pa.RecordBatch:
+    """Elements (prefix number, next word, count) as one row for each prefix, for each segment of a hot one. name: of prefix numbers."""
+    segments = np.where(hot, (w.hashes[nexts] % np.uint64(SEGMENTS)).astype(np.int64) + 1, 0)
+    order = np.lexsort((segments, prefixes))
+    prefixes, segments, nexts, counts = prefixes[order], segments[order], nexts[order], counts[order]
+    begins = np.flatnonzero(np.r_[True, (prefixes[1:] != prefixes[:-1]) | (segments[1:] != segments[:-1])]) if len(order) else np.empty(0, np.int64)
+    each = w.names.take(pa.array(nexts))
+    many = np.flatnonzero(counts > 1)
+    if len(many):
+        marked = pc.binary_join_element_wise(each.take(pa.array(many)), pa.array(counts[many]).cast(pa.string()), "\t")
+        each = pc.replace_with_mask(each, pa.array(counts > 1), marked)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(order)].astype(np.int32)), each)
+    return pa.record_batch([pa.array([lang] * len(begins), pa.string()), name(prefixes[begins]), pa.array(segments[begins].astype(np.int32)), pc.binary_join(lists, "\n")], ["lang", "prefix", "segment", "nexts"])
+
+
+def _of_none(w: Words) -> pa.RecordBatch:
+    """The empty prefix's stripe, dealt to segments: words and how often they occur."""
+    counts = np.bincount(w.ids, minlength=len(w.words))
     counts[:2] = 0
     at = np.flatnonzero(counts)
-    return _stripes(np.zeros(len(at), np.int64), _strings([b""]), _strings(words).take(pa.array(at)), counts[at], lang)
-
-
-def _extended(lang: str, texts: list[bytes]) -> pa.RecordBatch:
-    """Stripes of single words: the next word, and the next two, of each."""
-    words, ids = _word_ids(texts)
-    names = _strings(words)
-    n = len(words)
-    two = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-    pairs, which, pair_counts = np.unique(ids[two] * n + ids[two + 1], return_inverse=True, return_counts=True)
-    at = np.full(len(ids), -1, np.int64)
-    at[two] = which
-    three = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-    triples, triple_counts = np.unique(at[three] * n + ids[three + 2], return_counts=True)
-    pair_of = triples // n
-    first = np.r_[pairs // n, pairs[pair_of] // n]
-    last_two = pa.compute.binary_join_element_wise(names.take(pa.array(pairs[pair_of] % n)), names.take(pa.array(triples % n)), " ")
-    nexts = pa.concat_arrays([names.take(pa.array(pairs % n)), last_two])
-    order = np.argsort(first, kind="stable")
-    return _stripes(first[order], names, nexts.take(pa.array(order)), np.r_[pair_counts, triple_counts][order], lang)
-
-
-def _counted(docs: DataFrame, count) -> DataFrame:
-    """The stripes that count(lang, texts) makes of each chunk of docs (lang, text)."""
+    return _stripes(w.lang, np.zeros(len(at), np.int64), lambda p: pa.array([""] * len(p), pa.string()), np.ones(len(at), bool), at, counts[at], w)
+
+
+def _of_words(bits: np.ndarray, hot: dict[str, list[str]]) -> Callable:
+    """Stripes of single words, where the bitmap admits both words."""
+
+    def count(w: Words) -> pa.RecordBatch:
+        often = _admits(bits, w.hashes)
+        often[0] = False
+        at = np.flatnonzero(often[w.ids[:-1]] & often[w.ids[1:]])
+        n = len(w.words)
+        pairs, counts = np.unique(w.ids[at] * n + w.ids[at + 1], return_counts=True)
+        split = np.isin(pairs // n, [w.number[x] for p in hot.get(w.lang, ()) if (x := p.encode()) in w.number])
+        return _stripes(w.lang, pairs // n, lambda p: w.names.take(pa.array(p)), split, pairs % n, counts, w)
+
+    return count
+
+
+def _of_pairs(bits: np.ndarray, hot: dict[str, list[str]]) -> Callable:
+    """Stripes of two words, where the bitmap admits both pairs of the three."""
+
+    def count(w: Words) -> pa.RecordBatch:
+        n = len(w.words)
+        two = np.flatnonzero((w.ids[:-1] > 0) & (w.ids[1:] > 0))
+        pairs, which = np.unique(w.ids[two] * n + w.ids[two + 1], return_inverse=True)
+        often = np.r_[_admits(bits, _pair_hash(w.hashes[pairs // n], w.hashes[pairs % n])), False]
+        at = np.full(len(w.ids), len(pairs), np.int64)  # no pair
+        at[two] = which
+        three = np.flatnonzero(often[at[:-1]] & often[at[1:]])
+        triples, counts = np.unique(at[three] * n + w.ids[three + 2], return_counts=True)
+        own = pairs[triples // n]
+        known = ([w.number.get(x.encode(), -1) for x in p.split(" ")] for p in hot.get(w.lang, ()))
+        split = np.isin(own, [a * n + b for a, b in known if a >= 0 and b >= 0])
+        name = lambda p: pc.binary_join_element_wise(w.names.take(pa.array(p // n)), w.names.take(pa.array(p % n)), " ")
+        return _stripes(w.lang, own, name, split, triples % n, counts, w)
+
+    return count
+
+
+def _counted(docs: DataFrame, count: Callable) -> DataFrame:
+    """The stripes that count makes of each chunk's Words of docs (lang, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: defaultdict[str, list[bytes]] = defaultdict(list)
@@ -109,38 +181,47 @@ def _counted(docs: DataFrame, count) -> DataFrame:
                 held[lang.as_py()].append(raw)
                 size += len(raw) + 1
                 if size >= CHUNK_BYTES:
-                    for k, texts in held.items():
-                        yield count(k, texts)
-                    held.clear()
+                    for k in list(held):
+                        yield count(Words(k, held.pop(k)))
                     size = 0
-        for k, texts in held.items():
-            yield count(k, texts)
+        for k in list(held):
+            yield count(Words(k, held.pop(k)))
 
     return docs.mapInArrow(each, STRIPE)
 
 
-def _elements(stripes: DataFrame) -> DataFrame:
-    return stripes.select("lang", "prefix", F.explode(F.arrays_zip("nexts", "counts")).alias("e")).select("lang", "prefix", F.col("e.nexts").alias("next"), F.col("e.counts").alias("n"))
+def _merged(stripes: DataFrame, least: int) -> DataFrame:
+    """lang, prefix, next, n: stripes of a prefix (of a segment of it) meet in one task and are added up element by element; those of least or more."""
+    parts = int(stripes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = stripes.repartition(parts, "lang", "prefix", "segment").select("lang", "prefix", "segment", F.explode(F.split("nexts", "\n")).alias("e"))
+    each = each.select("lang", "prefix", "segment", F.substring_index("e", "\t", 1).alias("next"), F.when(F.contains(F.col("e"), F.lit("\t")), F.substring_index("e", "\t", -1).cast("long")).otherwise(F.lit(1).cast("long")).alias("n"))
+    return each.groupBy("lang", "prefix", "segment", "next").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "prefix", "next", "n")
+
+
+def _hot(elements: DataFrame, phrase: Column, all_: int) -> dict[str, list[str]]:
+    """Phrases of more than their share of all occurrences, by language: at most HOT_SPLIT x partitions in all."""
+    parts = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out: defaultdict[str, list[str]] = defaultdict(list)
+    for r in elements.filter(F.col("n") > all_ / (HOT_SPLIT * parts)).select("lang", phrase.alias("p")).collect():
+        out[r["lang"]].append(r["p"])
+    return dict(out)
 
 
-def merged_stripes(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """docs (lang, text) -> the merged stripe of the empty prefix (lang, word, n), whole; and of all words (lang, prefix, next, n), elements of least or more."""
-    spark = docs.sparkSession
+def merged_stripes(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (lang, text) -> merged stripes (lang, prefix, next, n) of the empty prefix, whole, and of one and two words, elements of least or more."""
+    context = docs.sparkSession.sparkContext
     docs = docs.select(F.coalesce("lang", F.lit(UNDEFINED)).alias("lang"), "text")
-    words = _elements(_counted(docs, _single)).groupBy("lang", F.col("next").alias("word")).agg(F.sum("n").alias("n"))
-    words = materialize(words, "phrase-words")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = (words.agg(F.sum("n")).first()[0] or 0) / (HOT_SPLIT * parts)
-    hot = words.filter(F.col("n") > share).select("lang", F.col("word").alias("prefix"), F.lit(True).alias("_hot"))
-    stripes = _counted(docs, _extended).join(F.broadcast(hot), ["lang", "prefix"], "left")
-    split = F.sequence(F.lit(0), F.lit(SEGMENTS - 1))
-    each = F.arrays_zip("nexts", "counts")
-    segment = F.transform(split, lambda s: F.struct(s.alias("segment"), F.filter(each, lambda e: F.pmod(F.xxhash64(e["nexts"]), F.lit(SEGMENTS)) == s).alias("part")))
-    dealt = stripes.select("lang", "prefix", F.explode(F.when(F.col("_hot"), F.filter(segment, lambda x: F.size(x["part"]) > 0)).otherwise(F.array(F.struct(F.lit(0).alias("segment"), each.alias("part"))))).alias("x"))
-    dealt = dealt.select("lang", "prefix", "x.segment", "x.part").repartition(parts, "lang", "prefix", "segment")
-    elements = dealt.select("lang", "prefix", "segment", F.explode("part").alias("e")).select("lang", "prefix", "segment", F.col("e.nexts").alias("next"), F.col("e.counts").alias("n"))
-    merged = elements.groupBy("lang", "prefix", "segment", "next").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return words, materialize(merged.select("lang", "prefix", "next", "n"), "phrase-stripes")
+    none = materialize(_merged(_counted(docs, _of_none), 1), "stripes-0")
+    all_ = none.agg(F.sum("n")).first()[0] or 0
+    bits = _bitmap(none.filter(F.col("n") >= least).select("lang", F.col("next").alias("phrase")), _word_hashes)
+    bits = context.broadcast(bits)
+    hot = _hot(none, F.col("next"), all_)
+    one = materialize(_merged(_counted(docs, lambda w: _of_words(bits.value, hot)(w)), least), "stripes-1")
+    pair = F.concat_ws(" ", "prefix", "next")
+    pair_bits = context.broadcast(_bitmap(one.select("lang", pair.alias("phrase")), _pair_hashes))
+    hot_pairs = _hot(one, pair, all_)
+    two = materialize(_merged(_counted(docs, lambda w: _of_pairs(pair_bits.value, hot_pairs)(w)), least), "stripes-2")
+    return none, one, two
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -150,12 +231,11 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 def mined(docs: DataFrame, least: int = LEAST, percent: int = SUBSUMED_PERCENT, top: int = TOP) -> DataFrame:
     """docs (lang, text) -> lang, rank, phrase, a, l, r, n, score: each language's best phrases of two and three words."""
-    words, stripes = merged_stripes(docs, least)
-    tokens = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    f1 = words.filter(F.col("n") >= least)
-    long = F.contains(F.col("next"), F.lit(" "))
-    f2 = stripes.filter(~long).select("lang", F.col("prefix").alias("w1"), F.col("next").alias("w2"), F.col("n").alias("a"))
-    f3 = stripes.filter(long).select("lang", F.col("prefix").alias("w1"), F.substring_index("next", " ", 1).alias("w2"), F.substring_index("next", " ", -1).alias("w3"), F.col("n").alias("a"))
+    none, once, twice = merged_stripes(docs, least)
+    tokens = none.groupBy("lang").agg(F.sum("n").alias("n"))
+    f1 = none.filter(F.col("n") >= least).select("lang", F.col("next").alias("word"), "n")
+    f2 = once.select("lang", F.col("prefix").alias("w1"), F.col("next").alias("w2"), F.col("n").alias("a"))
+    f3 = twice.select("lang", F.substring_index("prefix", " ", 1).alias("w1"), F.substring_index("prefix", " ", -1).alias("w2"), F.col("next").alias("w3"), F.col("n").alias("a"))
     one = lambda as_, n: f1.select("lang", F.col("word").alias(as_), F.col("n").alias(n))
     two = lambda x, y, n: f2.select("lang", F.col("w1").alias(x), F.col("w2").alias(y), F.col("a").alias(n))
     # the greatest extension on either side of a pair, from its stripe's elements
