@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..sources.tables import cut
+from . import wordindex
 
 #: Characters that are stripped from the edges of tokens (fixed value), as a class.
 EDGES = r"""["'`.,;:!?()\[\]{}<>]"""
-FUZZY_CUTOFF, MOST_EDITS = 85, 2
+FUZZY_CUTOFF = 85
 
 
 def basic(questions: DataFrame) -> DataFrame:
@@ -89,33 +89,13 @@ def apply_synonyms(questions: DataFrame, protected: DataFrame, aliases: DataFram
     return rebuilt(t.withColumn("token", F.when(~F.col("protected"), F.coalesce("canonical", "token")).otherwise(F.col("token"))))
 
 
-def _lcs(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
 def fuzzy_snap(words: DataFrame, protected: DataFrame, cutoff: int = FUZZY_CUTOFF) -> DataFrame:
     """words (token) -> token, snapped, ratio: the most similar protected token, if similar enough; ties go to the first term.
 
-    Candidates share a character of a band of lengths and pass the Levenshtein bound; the exact ratio runs on those alone.
+    Words meet at rare bigrams and lengths (wordindex); the exact ratio runs on those pairs alone.
     """
-    share = (100 - cutoff) / 100
-    left = words.select("token").distinct().withColumn("n", F.length("token"))
-    band = F.sequence(F.ceil(F.col("n") * (1 - share) / (1 + share)).cast("int"), F.floor(F.col("n") * (1 + share) / (1 - share)).cast("int"))
-    left = left.withColumn("m", F.explode(band))
-    right = protected.filter("kind = 'token'").select(F.col("value").alias("term"), F.length("value").alias("m"))
-    most = F.floor((F.col("n") + F.col("m")) * share).cast("int")
-    near = left.join(right, "m").filter(F.levenshtein("token", "term") <= most)
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([200.0 * _lcs(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    scored = near.withColumn("ratio", ratio("token", "term")).filter(F.col("ratio") >= cutoff)
+    terms = cut(protected.filter("kind = 'token'").select(F.col("value").alias("term")).distinct(), "terms")  # used for the grams and their counts
+    scored = wordindex.similar_terms(words, wordindex.fuzzy_index(terms, cutoff), cutoff)
     return scored.groupBy("token").agg(F.min_by(F.struct("term", "ratio"), F.struct((-F.col("ratio")).alias("low"), "term")).alias("b")).select("token", F.col("b.term").alias("snapped"), F.col("b.ratio").alias("ratio"))
 
 
@@ -125,39 +105,13 @@ def frequencies(texts: DataFrame, text: str, least: int = 2) -> DataFrame:
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-def _osa(a: str, b: str) -> int:
-    """Edit distance where an adjacent swap counts 1."""
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before = before, row
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if older is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            row.append(best)
-    return row[-1]
-
-
-def _deletes(word: Column) -> Column:
-    """word and what is left of it after one or two deletions."""
-    drop = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    once = drop(word)
-    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, drop))))
+def spell_correct(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """words (token) -> token, corrected, distance: closest, then most frequent, term of the lexicon.
 
-
-def spell_correct(words: DataFrame, lexicon: DataFrame, most: int = MOST_EDITS) -> DataFrame:
-    """words (token) -> token, corrected, distance: closest, then most frequent, term of the lexicon (N7); an equi-join on deletions."""
-    left = words.select("token").distinct().withColumn("key", F.explode(_deletes(F.col("token"))))
-    right = lexicon.withColumn("key", F.explode(_deletes(F.col("term"))))
-    pairs = left.join(right, "key").select("token", "term", "n").distinct().filter(F.abs(F.length("token") - F.length("term")) <= most)
-
-    @F.pandas_udf("int")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_osa(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-    near = pairs.withColumn("distance", distance("token", "term")).filter(F.col("distance") <= most)
-    best = near.groupBy("token").agg(F.min(F.struct("distance", (-F.col("n")).alias("rank"), "term")).alias("b"))
+    lexicon: terms (term, n), or their wordindex.spelling_index, built once.
+    """
+    index = lexicon if "key" in lexicon.columns else wordindex.spelling_index(lexicon)
+    best = wordindex.near_terms(words, index).groupBy("token").agg(F.min(F.struct("distance", (-F.col("n")).alias("rank"), "term")).alias("b"))
     return best.select("token", F.col("b.term").alias("corrected"), F.col("b.distance").alias("distance"))
 
 
