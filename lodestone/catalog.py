@@ -430,13 +430,13 @@ def validate_filters(spark, sf):
     return _points(spark, sf).select("point_id", filters.sorted_text(filters.validated(made)).alias("filters"))
 
 
-@query(_BASIC + f""", p as (select question_id, question, lower(p_name) as v from q join part on p_partkey = (question_id // 100) % 200),
+@query(_BASIC + f""", p as (select question_id, question, lower(p_name) as v from q join part on p_partkey = (question_id // 100) % (select count(*) from part)),
   c as (select question_id, question, v, strpos(question, v) as i from p)
   select question_id, lower(trim(regexp_replace(case when question_id % 200 < 100 then regexp_replace(x, {_YEAR_SQL}, '', 'g') else x end, '\\s+', ' ', 'g'))) as residual
   from (select question_id, case when i > 0 then substr(question, 1, i - 1) || substr(question, i + length(v)) else question end as x from c)""", ("question_v",))
 def residual_query(spark, sf):
     part = view(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name")
-    q = _questions(spark, sf).join(part, F.expr("k = floor(question_id / 100) % 200"))
+    q = _questions(spark, sf).join(part, F.expr(f"k = floor(question_id / 100) % {part.count()}"))
     title = F.create_map(F.lit("project_title"), F.array("p_name"))
     asked = F.when(F.expr("question_id % 200 < 100"), F.map_concat(title, F.create_map(F.lit("year"), F.array(F.lit("2011"))))).otherwise(title)
     return q.select("question_id", filters.residual(F.col("question"), asked).alias("residual"))
@@ -545,14 +545,20 @@ def _encoded_points(spark, sf) -> DataFrame:
     return cut(encoders.embed_documents(_points(spark, sf).drop("vector")), "points")
 
 
+_CORPORA: dict[tuple[str, str], retrieval.Corpus] = {}
+
+
+def _corpus(spark, sf) -> retrieval.Corpus:
+    """The encoded points with their dictionaries and indexes: built and written once in an application."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _CORPORA:
+        _CORPORA[key] = retrieval.Corpus.prepared(_encoded_points(spark, sf), view(spark, sf, "aliases"), cut(_lexicon(spark, sf), "lexicon"))
+    return _CORPORA[key]
+
+
 def _searched(spark, sf, overrides=None) -> tuple[DataFrame, DataFrame]:
     """Normalised and parsed questions with hashed vectors, and their kept hits among points encoded alike."""
-    q = normalize.normalize(view(spark, sf, "question_v"), _protected(spark, sf), view(spark, sf, "aliases"), cut(_lexicon(spark, sf)))
-    q = filters.parse(q, dictionaries.dictionary(_points(spark, sf)), view(spark, sf, "aliases"))
-    if overrides is not None:
-        q = q.withColumn("filters", filters.overridden(F.col("filters"), overrides))
-    q = cut(encoders.embedded(q, F.concat(F.lit(encoders.QUESTION_PREFIX), "residual"), "qvec"))
-    return q, search.search_details(q, _encoded_points(spark, sf))
+    return _corpus(spark, sf).searched(view(spark, sf, "question_v"), overrides)
 
 
 @query()
@@ -646,7 +652,7 @@ def clean_answers(spark, sf):
 
 @query()
 def answer_questions(spark, sf):
-    return retrieval.answers_to_questions(view(spark, sf, "question_v"), _encoded_points(spark, sf), view(spark, sf, "aliases"), _raw_answers(spark, sf), cut(_lexicon(spark, sf)))
+    return _corpus(spark, sf).answered(view(spark, sf, "question_v"), _raw_answers(spark, sf))
 
 
 def _raw_answers(spark, sf):
@@ -728,10 +734,10 @@ def stream_ingest(spark, sf):
 def stream_answers(spark, sf):
     base = _scratch(spark)
     turns = _stream(spark, f"{sf}/conversations.parquet").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
-    points, lexicon = _encoded_points(spark, sf), cut(_lexicon(spark, sf))
+    corpus = _corpus(spark, sf)  # no batch scans points for dictionaries or indexes
 
     def answer(q: DataFrame) -> DataFrame:
-        return retrieval.answers_to_questions(cut(q), points, view(spark, sf, "aliases"), _raw_answers(spark, sf), lexicon)
+        return corpus.answered(cut(q), _raw_answers(spark, sf))
 
     jobs.answer_stream(turns, answer, f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("question_id", "answer", "route", "sources")

@@ -21,7 +21,9 @@ KEY_NAMES = {"title": "project_title", "keyword": "keywords"}
 
 
 def start(questions: DataFrame) -> DataFrame:
-    return questions.withColumns({"rest": F.col("question"), "filters": F.create_map().cast(FILTER)})
+    """The columns that steps work on; filters read before stay."""
+    read = F.col("filters") if "filters" in questions.columns else F.create_map().cast(FILTER)
+    return questions.withColumns({"rest": F.col("question"), "filters": read})
 
 
 def _settled(q: DataFrame) -> DataFrame:

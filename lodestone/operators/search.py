@@ -7,47 +7,83 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
 from .filters import matches
+from .pointindex import PointIndex, distinct_tokens, token_frequencies
 from .store import payload
 
 TOP_K, TOP_N = 20, 5
 #: Questions of at most this many rows are broadcast; the count is taken first. Larger sets are cut into blocks of so many.
 BROADCAST_QUESTIONS = 10_000
+#: Pairs of a point and a question that a task holds at a time; digits that scores keep, so that equal vectors tie.
+PAIRS_AT_ONCE, DIGITS = 50_000, 12
 UNKNOWN_SOURCE = "Unknown source"
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine; 0 where a vector is zero."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
-
-
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("point_id"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def semantic_topk(questions: DataFrame, points: DataFrame, k: int = TOP_K) -> DataFrame:
+def semantic_topk(questions: DataFrame, points: DataFrame, k: int = TOP_K, index: PointIndex | None = None) -> DataFrame:
     """questions (question_id, qvec[, filters]) against points (point_id, vector, payload columns): the k best each.
 
-    The stated query set meets all points in blocks: at most BROADCAST_QUESTIONS questions are broadcast at a time,
-    and the rank keeps k rows per question and task before the shuffle. A question's filter is part of the join's condition.
+    Questions without a filter meet all points in block products. The others are grouped by filter: a filter finds its points by an equi-join
+    with the postings of the index (built here where none is given), and only these are scored. No nested loops.
     """
-    condition = matches(F.col("filters"), payload()) if "filters" in questions.columns else F.lit(True)
+    if "filters" not in questions.columns:
+        return semantic_topk_blocks(questions, points, k)
+    asked = cut(questions.select("question_id", "qvec", "filters").withColumn("grp", F.to_json(F.array_sort(F.map_entries("filters")))), "asked")
+    none = F.coalesce(F.size("filters") == 0, F.lit(True))
+    found = _filtered(asked.filter(~none), points, k, index or PointIndex.build(points))
+    plain = asked.filter(none)
+    return found if plain.isEmpty() else found.unionByName(semantic_topk_blocks(plain, points, k))
+
+
+def _filtered(asked: DataFrame, points: DataFrame, k: int, index: PointIndex) -> DataFrame:
+    blocks = blocks_of(asked)
+    hits = [_group_product(b, points, k, index) for b in blocks]
+    return hits[0] if len(hits) == 1 else reduce(DataFrame.unionByName, [cut(h, "hits") for h in hits])
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
-    def best(block: DataFrame) -> DataFrame:
-        scored = points.join(F.broadcast(block), condition).withColumn("score", cosine(F.col("qvec"), F.col("vector")))
-        return _ranked(scored.select("question_id", "point_id", "score"), k)
 
-    return reduce(DataFrame.unionByName, map(best, blocks_of(questions)))
+def _questions(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of collected questions."""
+    return np.array([r["question_id"] for r in rows], np.int64), _units(np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0))
+
+
+def _group_product(asked: DataFrame, points: DataFrame, k: int, index: PointIndex) -> DataFrame:
+    """A block of questions with filters: each point that a group's filter finds is scored against the group's questions."""
+    rows = asked.select("grp", "question_id", "qvec").orderBy("grp", "question_id").collect()
+    starts: dict[str, tuple[int, int]] = {}  # group -> its first question, how many
+    for i, r in enumerate(rows):
+        first, n = starts.get(r["grp"], (i, 0))
+        starts[r["grp"]] = first, n + 1
+    ids, matrix = _questions(rows)
+    groups = asked.select("grp", "filters").dropDuplicates(["grp"])
+    found = index.members(groups).join(points, "point_id").filter(matches(F.col("filters"), payload())).select("grp", "point_id", "vector")
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            own = np.array([starts[g] for g in frame["grp"]], np.int64)
+            row = np.repeat(np.arange(len(frame)), own[:, 1])
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(own[:, 1]) - own[:, 1], own[:, 1])
+            asks = np.repeat(own[:, 0], own[:, 1]) + nth
+            block, points_ = _units(np.stack(frame["vector"].to_numpy()).astype(np.float64)), frame["point_id"].to_numpy()
+            for i in range(0, len(row), PAIRS_AT_ONCE):
+                r, q = row[i : i + PAIRS_AT_ONCE], asks[i : i + PAIRS_AT_ONCE]
+                yield pd.DataFrame({"question_id": ids[q], "point_id": points_[r], "score": np.round(np.einsum("ij,ij->i", block[r], matrix[q]), DIGITS)})
+
+    return _ranked(found.mapInPandas(scored, f"question_id long, point_id {points.schema['point_id'].dataType.simpleString()}, score double"), k)
 
 
 def blocks_of(questions: DataFrame) -> list[DataFrame]:
@@ -73,23 +109,18 @@ def semantic_topk_blocks(questions: DataFrame, points: DataFrame, k: int = TOP_K
 
 def _block_product(questions: DataFrame, points: DataFrame, k: int) -> DataFrame:
     rows = questions.select("question_id", "qvec").orderBy("question_id").collect()
-    ids = np.array([r["question_id"] for r in rows], np.int64)
-    matrix = np.array([r["qvec"] for r in rows], np.float64).reshape(len(rows), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    ids, matrix = _questions(rows)
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame) or not len(ids):
                 continue
-            block = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(block, axis=1, keepdims=True)
-            scores = matrix @ np.divide(block, size, out=np.zeros_like(block), where=size > 0).T
+            scores = np.round(matrix @ _units(np.stack(frame["vector"].to_numpy()).astype(np.float64)).T, DIGITS)
             points_ = frame["point_id"].to_numpy()
             order = np.lexsort((np.broadcast_to(points_, scores.shape), -scores))[:, :k]
             yield pd.DataFrame({"question_id": np.repeat(ids, order.shape[1]), "point_id": points_[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
-    return _ranked(points.select("point_id", "vector").mapInPandas(best, "question_id long, point_id long, score double"), k)
+    return _ranked(points.select("point_id", "vector").mapInPandas(best, f"question_id long, point_id {points.schema['point_id'].dataType.simpleString()}, score double"), k)
 
 
 def results(hits: DataFrame, points: DataFrame) -> DataFrame:
@@ -98,18 +129,17 @@ def results(hits: DataFrame, points: DataFrame) -> DataFrame:
     return out.filter(F.coalesce(F.col("content"), F.lit("")) != "").withColumn("source", F.coalesce("source", F.lit(UNKNOWN_SOURCE)))
 
 
-def _tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1))
+def pair_scores(pairs: DataFrame, corpus: DataFrame, index: PointIndex | None = None) -> DataFrame:
+    """pairs (question_id, point_id, question, content) with pair_score: the idf-weighted share of question tokens in the text (Q3).
 
-
-def pair_scores(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """pairs (question_id, point_id, question, content) with pair_score: the idf-weighted share of question tokens in the text (Q3)."""
-    n = corpus.agg(F.count(F.lit(1)).alias("n"))
-    df = corpus.select(F.explode(_tokens(F.col("content"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    asked = pairs.select("question_id", "question").distinct().select("question_id", F.explode(_tokens(F.col("question"))).alias("token"))
+    Document frequencies come from the stored index; without one they are counted from the corpus.
+    """
+    n = corpus.agg(F.count(F.lit(1)).alias("n")) if index is None else corpus.sparkSession.createDataFrame([(index.n_points,)], "n long")
+    df = token_frequencies(corpus) if index is None else index.tokens
+    asked = pairs.select("question_id", "question").distinct().select("question_id", F.explode(distinct_tokens(F.col("question"))).alias("token"))
     weight = asked.join(df, "token", "left").join(F.broadcast(n)).withColumn("w", F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0)))))
     total = weight.groupBy("question_id").agg(F.sum("w").alias("all_w"), F.collect_list(F.struct("token", "w")).alias("weights"))
-    out = pairs.join(total, "question_id", "left").withColumn("_t", _tokens(F.col("content")))
+    out = pairs.join(total, "question_id", "left").withColumn("_t", distinct_tokens(F.col("content")))
     held = F.aggregate(F.filter("weights", lambda x: F.array_contains("_t", x["token"])), F.lit(0.0), lambda a, x: a + x["w"])
     return out.withColumn("pair_score", F.coalesce(held / F.col("all_w"), F.lit(0.0))).drop("all_w", "weights", "_t")
 
@@ -127,13 +157,14 @@ def minmax(kept: DataFrame, score: str = "pair_score") -> DataFrame:
     return kept.withColumn("norm_score", F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low)))
 
 
-def search_details(questions: DataFrame, points: DataFrame, k: int = TOP_K, n: int = TOP_N) -> DataFrame:
+def search_details(questions: DataFrame, points: DataFrame, k: int = TOP_K, n: int = TOP_N, index: PointIndex | None = None) -> DataFrame:
     """Parsed questions (question_id, residual, filters, qvec) -> kept hits with scores, positions and payload (Q6-Q9).
 
     A question whose pairs have no score keeps its first n hits with their cosine (score_kind tells).
     """
-    hits = cut(results(semantic_topk(questions.select("question_id", "qvec", "filters"), points, k), points), "hits")  # used for the pairs and for their questions
-    scored = pair_scores(hits.join(questions.select("question_id", F.col("residual").alias("question")), "question_id"), points)
+    index = index or PointIndex.build(points)
+    hits = cut(results(semantic_topk(questions.select("question_id", "qvec", "filters"), points, k, index), points), "hits")  # used for the pairs and for their questions
+    scored = pair_scores(hits.join(questions.select("question_id", F.col("residual").alias("question")), "question_id"), points, index)
     failed = F.max(F.col("pair_score").isNull().cast("int")).over(Window.partitionBy("question_id")) == 1
     scored = scored.withColumn("score_kind", F.when(failed, "cosine").otherwise("pair")).withColumn("pair_score", F.when(F.col("score_kind") == "cosine", F.col("score")).otherwise(F.col("pair_score")))
     return minmax(rerank(scored, n))
