@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import chunking, encoders, text
-from .operators import answers, dictionaries, filters, frontmatter, latency, normalize, pages, search, store
+from .operators import answers, cells, dictionaries, filters, frontmatter, latency, normalize, pages, search, store
 from .plans import retrieval
 from .sources.fixtures import view, with_views
 from .sources.tables import cut, shared_dir
@@ -491,6 +491,12 @@ def semantic_topk_blocks(spark, sf):
     return _rounded(search.semantic_topk_blocks(_asked(spark, sf), _points(spark, sf)))
 
 
+@query(_COS.format(cond="true") + " select question_id, point_id, round(score, 6) as score, rank from hits", ("point_v",))
+def semantic_topk_cells(spark, sf):
+    hits, _ = cells.topk(_asked(spark, sf), cells.built(_points(spark, sf)))
+    return _rounded(hits)
+
+
 @query(_COS.format(cond="p.year = asked.year") + " select question_id, point_id, round(score, 6) as score, rank from hits", ("point_v",))
 def semantic_topk_filtered(spark, sf):
     return _rounded(search.semantic_topk(_asked(spark, sf), _points(spark, sf)))

@@ -137,11 +137,15 @@ def pair_scores(pairs: DataFrame, corpus: DataFrame, index: PointIndex | None =
     n = corpus.agg(F.count(F.lit(1)).alias("n")) if index is None else corpus.sparkSession.createDataFrame([(index.n_points,)], "n long")
     df = token_frequencies(corpus) if index is None else index.tokens
     asked = pairs.select("question_id", "question").distinct().select("question_id", F.explode(distinct_tokens(F.col("question"))).alias("token"))
-    weight = asked.join(df, "token", "left").join(F.broadcast(n)).withColumn("w", F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0)))))
-    total = weight.groupBy("question_id").agg(F.sum("w").alias("all_w"), F.collect_list(F.struct("token", "w")).alias("weights"))
-    out = pairs.join(total, "question_id", "left").withColumn("_t", distinct_tokens(F.col("content")))
-    held = F.aggregate(F.filter("weights", lambda x: F.array_contains("_t", x["token"])), F.lit(0.0), lambda a, x: a + x["w"])
-    return out.withColumn("pair_score", F.coalesce(held / F.col("all_w"), F.lit(0.0))).drop("all_w", "weights", "_t")
+    weight = asked.join(df, "token", "left").join(F.broadcast(n)).withColumn("w", F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0))))).select("question_id", "token", "w")
+    weight = cut(weight, "weights")
+    total = weight.groupBy("question_id").agg(F.sum("w").alias("_all"))
+    # tokens of a text meet those of its questions by equi-joins; a text is read once, however many questions it is a hit of
+    held = pairs.select("point_id", "content").dropDuplicates(["point_id"]).select("point_id", F.explode(distinct_tokens(F.col("content"))).alias("token"))
+    met = pairs.select("question_id", "point_id").distinct().join(weight, "question_id").join(held, ["point_id", "token"])
+    met = met.groupBy("question_id", "point_id").agg(F.sum("w").alias("_held"))
+    out = pairs.join(total, "question_id", "left").join(met, ["question_id", "point_id"], "left")
+    return out.withColumn("pair_score", F.coalesce(F.coalesce("_held", F.lit(0.0)) / F.col("_all"), F.lit(0.0))).drop("_all", "_held")
 
 
 def rerank(hits: DataFrame, n: int = TOP_N, score: str = "pair_score") -> DataFrame:
