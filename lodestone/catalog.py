@@ -731,11 +731,28 @@ def stream_latency(spark, sf):
 @query()
 def stream_ingest(spark, sf):
     base = _scratch(spark)
-    prepare = lambda df: encoders.embed_documents(chunking.chunked(df.select("source", F.col("doc_id").cast("int").alias("page_number"), F.col("text").alias("content"))))
+    prepare = lambda df: encoders.embed_documents(chunking.chunked_or_failed(df.select("source", F.col("doc_id").cast("int").alias("page_number"), F.col("text").alias("content"))))
     jobs.ingest_stream(_stream(spark, f"{sf}/documents.parquet"), prepare, f"{base}/points", f"{base}/state", f"{base}/errors").awaitTermination()
     return spark.read.parquet(f"{base}/points").groupBy("source").agg(F.count(F.lit(1)).alias("n_points"))
 
 
+def _pages_in_batches(spark, sf, base: str) -> DataFrame:
+    """The pages of front_v as a stream of three batches: those of a document come apart, later ones first."""
+    front = view(spark, sf, "front_v")
+    for k in range(3):
+        front.filter(F.col("page_number") % 3 == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(front.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+@query(_L + f" select source, page_number, {', '.join(frontmatter.FIELDS)} from (select source, page_number, content, {_CARRY} from m window w as (partition by source order by page_number rows between unbounded preceding and current row)) where regexp_matches(content, '\\S')", ("front_v",))
+def stream_pages(spark, sf):
+    """Pages to points as a stream: fields carried over pages that come in several batches, split, encoded, appended."""
+    base = _scratch(spark)
+    prepare = lambda df: encoders.embed_documents(chunking.chunked_or_failed(df))
+    jobs.ingest_stream(jobs.carried_stream(_pages_in_batches(spark, sf, base)), prepare, f"{base}/points", f"{base}/state", f"{base}/errors").awaitTermination()
+    return spark.read.parquet(f"{base}/points").select("source", "page_number", *frontmatter.FIELDS)
+
+
 @query()
 def stream_answers(spark, sf):
     base = _scratch(spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,13 +56,29 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
 
 def chunked(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """One row per chunk with its page's columns and chunk_index; blank pages have none."""
+    return chunked_or_failed(pages, lambda t: split_text(t, size, overlap), False)
+
+
+def chunked_or_failed(pages: DataFrame, split: Callable[[str], list[str]] = split_text, failures: bool = True) -> DataFrame:
+    """chunked with a column error: a page that cannot be split is one row without content, with what went wrong; others go on."""
     pages = pages.filter(has_text(pages["content"]))
-    schema = T.StructType([*pages.schema.fields, T.StructField("chunk_index", T.IntegerType())])
+    more = [T.StructField("chunk_index", T.IntegerType())] + [T.StructField("error", T.StringType())] * failures
+    schema = T.StructType([*pages.schema.fields, *more])
+
+    def tried(text: str) -> tuple[list, str | None]:
+        try:
+            return split(text), None
+        except Exception as error:
+            if not failures:
+                raise
+            return [None], f"{type(error).__name__}: {error}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame.assign(content=[split_text(t, size, overlap) for t in frame["content"]])
-            frame["chunk_index"] = [list(range(len(c))) for c in frame["content"]]
+            parts = [tried(t) for t in frame["content"]]
+            frame = frame.assign(content=[c for c, _ in parts], chunk_index=[list(range(len(c))) for c, _ in parts])
+            if failures:
+                frame["error"] = [e for _, e in parts]
             frame = frame.explode(["content", "chunk_index"]).dropna(subset=["chunk_index"])
             yield frame.astype({"chunk_index": "int32"})
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.functions import chunking, encoders
-from lodestone.operators import answers, filters, frontmatter, latency, normalize, pages, search, store
+from lodestone.operators import answers, filters, frontmatter, latency, normalize, pages, search, store, wordindex
 from lodestone.plans import retrieval
 from lodestone.sources import tables
+from lodestone.sources.fixtures import view
 from lodestone.streaming import jobs
 
 PAGES = "source string, page_number int, content string"
@@ -59,7 +60,7 @@ def test_spelling_counts_a_swap_once(spark):
     lexicon = spark.createDataFrame([("abcd", 5), ("abd", 9)], "term string, n long")
     got = [tuple(r) for r in normalize.spell_correct(words, lexicon).collect()]
     assert got == [("abdc", "abd", 1)]
-    assert normalize._osa("abcd", "abdc") == 1 and normalize._lcs("abcd", "acbd") == 3
+    assert wordindex.edits_within(["abcd"], ["abdc"])[0] == 1 and wordindex.common_length("abcd", "acbd") == 3
 
 
 def test_fuzzy_snap(spark):
@@ -167,18 +168,39 @@ def test_numbers_in_ranges_are_those_of_a_sort(spark):
     assert got == sorted(want)
 
 
-def test_a_bad_source_does_not_stop_the_others(spark, tmp_path):
-    rows = spark.createDataFrame([("good", 1, "x"), ("bad", 1, "y"), ("fine", 1, "z")], "source string, page_number int, content string")
+def test_a_bad_page_does_not_stop_the_others_and_bad_storage_stops_the_batch(spark, tmp_path):
+    rows = spark.createDataFrame([("good", 1, "x"), ("bad", 1, "y"), ("bad", 2, "z"), ("fine", 1, "z")], "source string, page_number int, content string")
     rows.write.parquet(str(tmp_path / "in"))
 
-    def prepare(df):
-        return df.withColumn("chunk_index", F.when(F.col("source") == "bad", F.raise_error(F.lit("broken"))).otherwise(0).cast("int"))
+    def split(text):
+        if text == "y":
+            raise ValueError("broken")
+        return [text]
 
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    jobs.ingest_stream(stream, prepare, str(tmp_path / "points"), str(tmp_path / "state"), str(tmp_path / "errors")).awaitTermination()
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    jobs.ingest_stream(stream(), lambda df: chunking.chunked_or_failed(df, split), str(tmp_path / "points"), str(tmp_path / "state"), str(tmp_path / "errors")).awaitTermination()
     points, errors = spark.read.parquet(str(tmp_path / "points")), spark.read.parquet(str(tmp_path / "errors"))
+    assert [(r["source"], r["error"]) for r in errors.collect()] == [("bad", "ValueError: broken")] and points.count() == 3
     report = {r["source"]: r["outcome"] for r in pages.ingest_report(rows.select("source").distinct(), rows, points, points, errors).collect()}
     assert report == {"good": "written", "bad": "error", "fine": "written"}
+    (tmp_path / "blocked").write_text("a file where the table should be")
+    with pytest.raises(Exception, match="(?i)blocked|not a directory|parquet"):
+        jobs.ingest_stream(stream(), lambda df: chunking.chunked_or_failed(df, split), str(tmp_path / "blocked"), str(tmp_path / "state2"), str(tmp_path / "errors2")).awaitTermination()
+    assert not list((tmp_path / "state2" / "commits").glob("[0-9]*"))
+
+
+@pytest.mark.parametrize("order", [(1, 2, 0), (0, 1, 2), (2, 0, 1)])
+def test_pages_in_three_batches_carry_what_one_batch_carries(spark, small, tmp_path, order):
+    front = view(spark, small, "front_v").filter(F.col("source").isin([f"doc{k}.pdf" for k in range(1, 30)]))
+    for k in order:
+        front.filter(F.col("page_number") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(front.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    job = jobs.carried_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert len(job.recentProgress) >= 3
+    got = sorted(map(repr, map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*front.columns, *frontmatter.FIELDS).collect())))
+    want = frontmatter.carried(frontmatter.with_fields(front)).select(*front.columns, *frontmatter.FIELDS)
+    assert got == sorted(map(repr, map(tuple, want.collect())))
 
 
 def test_previews_and_chunk_counts(spark):
