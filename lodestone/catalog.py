@@ -89,7 +89,7 @@ def filterable_payload(spark, sf):
     return p.select("point_id", F.explode("payload").alias("field", "value"))
 
 
-@query(" select point_id, project_title, author, advisor from point_v order by point_id limit 1000", ("point_v",))
+@query(" select point_id, project_title, author, advisor from point_v", ("point_v",))
 def capped_terms(spark, sf):
     return store.capped(view(spark, sf, "point_v"))
 

@@ -17,6 +17,8 @@ FILTER = "map<string,array<string>>"
 #: A named value, and years that questions may hold.
 NAMED = r"""(?iU)"?\b(project_title|title|author|advisor|keywords?)\b"?\s*[:=]\s*(?:"([^"]+)"|'([^']+)'|([^\s"]+))"""
 YEAR = r"(?U)\b(19\d{2}|20\d{2})\b"
+#: Author patterns that a question is tried against.
+MOST_PATTERNS = 1_000
 KEY_NAMES = {"title": "project_title", "keyword": "keywords"}
 
 
@@ -61,8 +63,13 @@ def year(q: DataFrame) -> DataFrame:
     return _settled(q.withColumns({"filters": F.when(found != "", _with(F.col("filters"), "year", F.array(found))).otherwise(F.col("filters")), "rest": F.regexp_replace("rest", YEAR, "")}))
 
 
+def quoted(text: Column) -> Column:
+    """A pattern for text as it stands, one that holds an end of quotation too."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def _word(alias: Column) -> Column:
-    return F.concat(F.lit(r"(?iU)\b\Q"), alias, F.lit(r"\E\b"))
+    return F.concat(F.lit(r"(?iU)\b"), quoted(alias), F.lit(r"\b"))
 
 
 def _named_alias(q: DataFrame, aliases: DataFrame, kind: str, field: str) -> DataFrame:
@@ -76,11 +83,14 @@ def _named_alias(q: DataFrame, aliases: DataFrame, kind: str, field: str) -> Dat
 def author_alias(q: DataFrame, aliases: DataFrame) -> DataFrame:
     """The first known short name of an author, as a whole word, else the first spelling pattern that fits; one occurrence goes.
 
-    Patterns (column pattern of aliases) are few: they come as one row, beside every question.
+    Patterns (column pattern of aliases) come as one row beside every question; more than MOST_PATTERNS are refused.
     """
     q = _named_alias(q, aliases, "author", "author")
     if "pattern" in aliases.columns:
-        each = aliases.filter("kind = 'author' and pattern is not null").select(F.struct("ord", F.concat(F.lit(r"(?iU)\b(?:"), "pattern", F.lit(r")\b")).alias("pattern"), "canonical").alias("p"))
+        written = aliases.filter("kind = 'author' and pattern is not null")
+        if written.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+            raise ValueError(f"over {MOST_PATTERNS} author patterns: each question tries each of them; write them as aliases")
+        each = written.select(F.struct("ord", F.concat(F.lit(r"(?iU)\b(?:"), "pattern", F.lit(r")\b")).alias("pattern"), "canonical").alias("p"))
         q = q.join(F.broadcast(each.agg(F.array_sort(F.collect_list("p")).alias("_patterns"))))  # one row
         fits = F.get(F.filter("_patterns", lambda p: F.rlike("rest", p["pattern"])), F.lit(0))
         found = F.when(F.col("hit").isNull() & ~F.map_contains_key("filters", "author") & fits.isNotNull(), F.struct(F.regexp_substr("rest", fits["pattern"]).alias("phrase"), fits["canonical"].alias("canonical")))
@@ -104,7 +114,7 @@ def dictionary_hit(q: DataFrame, dictionary: DataFrame, field: str, longer_than:
     hits = containing(open_, "text", known, "phrase")
     best = hits.groupBy("question_id").agg(F.min_by(F.struct("phrase", "full_values"), F.struct((-F.length("term")).alias("n"), "term")).alias("hit"))
     q = q.join(best, "question_id", "left")
-    cut = F.regexp_replace("rest", F.concat(F.lit(r"(?iu)\Q"), F.col("hit.phrase"), F.lit(r"\E")), F.lit(""))
+    cut = F.regexp_replace("rest", F.concat(F.lit("(?iu)"), quoted(F.col("hit.phrase"))), F.lit(""))
     return _settled(q.withColumns({"filters": F.when(F.col("hit").isNotNull(), _with(F.col("filters"), field, F.col("hit.full_values"))).otherwise(F.col("filters")), "rest": F.when(F.col("hit").isNotNull(), cut).otherwise(F.col("rest"))}).drop("hit"))
 
 

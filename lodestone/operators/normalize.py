@@ -63,7 +63,7 @@ def protected_by_phrase(questions: DataFrame, tokens_: DataFrame, protected: Dat
     phrases = protected.filter("kind = 'phrase'").select(F.col("value").alias("phrase"))
     hits = containing(questions.select("question_id", "question"), "question", phrases, "phrase")
     n = F.length("phrase")
-    parts = F.transform(F.split("question", F.concat(F.lit(r"(?=\Q"), "phrase", F.lit(r"\E)"))), lambda p: F.length(p))  # a part begins at each occurrence
+    parts = F.transform(F.split("question", F.concat(F.lit(r"(?=\Q"), F.replace("phrase", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))), lambda p: F.length(p))  # a part begins at each occurrence
     starts = F.transform(parts, lambda p, k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(1), lambda a, x: a + x))
     spots = F.filter(starts, lambda i: (F.substring(F.col("question"), i, n) == F.col("phrase")) & ~F.coalesce(F.substring(F.col("question"), i + n, F.lit(1)).rlike(r"(?U)\w"), F.lit(False)) & ((i == 1) | ~F.substring(F.col("question"), i - 1, F.lit(1)).rlike(r"(?U)\w")))
     spans = hits.select("question_id", n.alias("n"), F.explode(spots).alias("i")).select("question_id", (F.col("i") - 1).alias("from"), (F.col("i") - 1 + F.col("n")).alias("to"))

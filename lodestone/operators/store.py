@@ -54,7 +54,7 @@ def payload() -> Column:
     return F.map_from_arrays(F.array(*[F.lit(c) for c in FILTERABLE]), F.array(*[F.col(c) for c in FILTERABLE]))
 
 
-def capped(points: DataFrame, cap: int | None = 1000) -> DataFrame:
-    """project_title, author and advisor of the first points by id (S8); None scans all."""
+def capped(points: DataFrame, cap: int | None = None) -> DataFrame:
+    """project_title, author and advisor of all points, or with a cap of the first by id."""
     df = points.select("point_id", "project_title", "author", "advisor")
     return df if cap is None else df.orderBy("point_id").limit(cap)

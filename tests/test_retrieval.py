@@ -266,6 +266,33 @@ def test_latency_of_one_and_none(spark):
     assert got["c"]["n"] == 0 and got["c"]["median_s"] == 0.0 and got["c"]["qps"] is None
 
 
+def test_percentiles_of_hot_groups_and_values_are_exact(spark):
+    rng = random.Random(9)
+    rows = [("hot", float(rng.choice([1, 1, 1, 2, 5, 9]))) for _ in range(4000)] + [("hot", rng.random()) for _ in range(3000)] + [("same", 4.0)] * 900 + [(None, 1.0), (None, 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r["k"]: tuple(r)[1:] for r in latency.percentiles(df, "k", "v", (0, 12.5, 50, 90, 99.9, 100)).collect()}
+    for k in {r[0] for r in rows}:
+        values = sorted(v for g, v in rows if g == k and v is not None)
+        def want(p):
+            spot = (len(values) - 1) * p / 100
+            low = int(spot)
+            return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (spot - low) if values else 0.0
+        assert got[k] == pytest.approx([want(p) for p in (0, 12.5, 50, 90, 99.9, 100)])
+    ranks = latency.weighted_ranks(df, "k", "v").filter("k = 'hot'")
+    assert ranks.select(F.spark_partition_id()).distinct().count() > 1 and ranks.agg(F.max("last")).first()[0] == 6999
+
+
+def test_streamed_windows_equal_batch_within_the_sketch(spark, small):
+    got = {(r["event_type"], r["window_start"]): r for r in catalog.QUERIES["stream_latency"](spark, small).collect()}
+    events = view(spark, small, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    whole = {(r["event_type"], r["w"]["start"]): r for r in events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("value").alias("n"), F.min("value").alias("min_s"), F.avg("value").alias("mean_s"), F.sort_array(F.collect_list("value")).alias("all")).collect()}
+    assert set(got) <= set(whole) and len(got) > 100
+    for k, r in got.items():
+        w = whole[k]
+        assert (r["n"], r["min_s"]) == (w["n"], w["min_s"]) and r["mean_s"] == pytest.approx(w["mean_s"])
+        assert r["median_s"] in w["all"][(w["n"] - 1) // 2 : w["n"] // 2 + 1]
+
+
 def test_appending_twice_adds_nothing(spark, tmp_path):
     chunks = spark.createDataFrame([("a", 1, 0, "x"), ("a", 1, 1, "y")], "source string, page_number int, chunk_index int, content string")
     for _ in range(2):

@@ -138,3 +138,25 @@ def test_a_quoted_author_is_searched_for(spark, corpus):
     _, kept = corpus.searched(q)
     got = {(r["question_id"], r["point_id"]) for r in kept.collect()}
     assert {p for i, p in got if i == 1} == {1} and {p for i, p in got if i == 2} == {1, 2}
+
+
+def test_terms_that_hold_an_end_of_quotation(spark):
+    q = spark.createDataFrame([(1, r"on c:\e\files now"), (2, r"by x\ey z")], "question_id long, question string")
+    dictionary = spark.createDataFrame([("project_title", r"C:\E\Files", [r"C:\E\Files"])], "field string, term string, full_values array<string>")
+    got = {r["question_id"]: (dict(r["filters"]), r["rest"]) for r in filters.dictionary_hit(filters.start(q), dictionary, "project_title").collect()}
+    assert got == {1: ({"project_title": [r"C:\E\Files"]}, "on  now"), 2: ({}, r"by x\ey z")}
+    aliases = spark.createDataFrame([("staff", 1, r"x\Ey", "Dr. X", None)], ALIASES)
+    got = {r["question_id"]: (dict(r["filters"]), r["rest"]) for r in filters.staff(filters.start(q), aliases).collect()}
+    assert got[2] == ({"advisor": ["Dr. X"]}, "by  z")
+
+
+def test_too_many_patterns_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(filters, "MOST_PATTERNS", 1)
+    q = spark.createDataFrame([(1, "by joe")], "question_id long, question string")
+    aliases = spark.createDataFrame([("author", i, None, "J", "jo+e") for i in range(2)], ALIASES)
+    with pytest.raises(ValueError, match="author patterns"):
+        filters.author_alias(filters.start(q), aliases)
+
+
+def test_capped_terms_scan_all_unless_told(spark, points):
+    assert store.capped(points).count() == 160 and store.capped(points, 7).agg(F.max("point_id")).first()[0] == 6
