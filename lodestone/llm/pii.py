@@ -31,11 +31,12 @@ from .common import boxed, materialize
 START = r"(?<![\p{L}\p{N}_])"
 #: What an entity of each type looks like. Order matters: the first that fits at a place wins.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    # a run of such characters is tried where it begins (or, after a letter outside ASCII, behind its first mark): elsewhere it fails alike
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|(?<=[\p{L}\p{N}&&[^A-Za-z0-9]][A-Za-z0-9_]{0,64}[.%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "account": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![.+-])(?:\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4}(?:-\d{4}){3}(?:-\d{1,3})?|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}|\d{14,16}|\d{19})(?![A-Za-z0-9])",
     "ip": r"(?<!\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![A-Za-z0-9]|\.\d)",
-    "ip6": r"(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){0,5}:)[0-9A-Fa-f]{1,4}(?![\w:])",
+    "ip6": r"(?=[0-9A-Fa-f])(?=[0-9A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){0,5}:)[0-9A-Fa-f]{1,4}(?![\w:])",
     "phone": r"(?:\+\d{1,3}[^\w\n]{1,6}\d{2,4}[^\w\n]{1,6}\d{3}[^\w\n]{0,6}\d{4}(?![A-Za-z0-9])|\+\d(?:[ .()/ -]{0,3}\d){6,14}(?![A-Za-z0-9])|\(\d{3}\) ?\d{3}[ .-]\d{4}(?![A-Za-z0-9])|(?<![.+-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![A-Za-z0-9-]))",
     "social": r"(?<!-)\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])",
 }
