@@ -7,8 +7,10 @@ section and the rest is left out; otherwise the page is one section.
 
 The distribution of a section: a line weighs its characters outside links, and sums of weights slide over WINDOW lines.
 A dive is a full window without weight (a run of link lines: a menu without a mark); between dives lie the candidate regions.
-A region is text if its sums surge to the threshold: SURGE characters, or the highest sum of the section where that is less,
-so that a short page or article keeps its text. All lines from the surge's region are kept, its heading and single link lines included.
+On a page that marks no article a region is text if its sums surge to the threshold: SURGE characters, or the highest sum of the
+page where that is less, so that a short page keeps its text. In an article every region is text, however short: what follows
+a list of links (a note, thanks) belongs to it, and only the dives go. All lines of a region that is text are kept, its heading and single link
+lines included.
 
 Defined cases: null html is the empty page, with an empty text; unclosed elements end with what encloses
 them; an unclosed quote is a character of its tag; a tag that never ends is dropped with what follows it; pages without a text give an
@@ -37,9 +39,9 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button fieldset search".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-FURNITURE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments disqus replies related recommended share sharing social widget login search toolbar pagination pager".split())
+FURNITURE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored adsbygoogle promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments disqus replies related recommended share sharing social widget login search toolbar pagination pager skip-link skiplink".split())
 #: Parts of a name that say nothing beside a part of FURNITURE_NAMES, as in site-header or ad-box-2.
-NEUTRAL_NAMES = frozenset("site main page top bottom left right box bar link links list item items block wrap wrapper container inner outer area slot section global primary secondary mobile desktop fixed sticky content posts stories articles form button buttons icons media post reader user".split())
+NEUTRAL_NAMES = frozenset("site main page top bottom left right box bar link links list item items block wrap wrapper container inner outer area slot section global primary secondary mobile desktop fixed sticky content posts stories articles form button buttons icons media post reader user respond reply legal".split())
 #: Elements that a name makes furniture inside an article.
 CONTAINERS = frozenset("div section ul ol dl table details center figure".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,7 +214,8 @@ def main_text(page: str | None) -> str:
         lines = [x for x in read.lines if x[1] == section]
         weights = [w for _, _, w in lines]
         peak = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
-        kept += [text for a, b in regions(weights, min(SURGE, peak)) for text, _, _ in lines[a:b]]
+        threshold = 1 if section else min(SURGE, peak)
+        kept += [text for a, b in regions(weights, threshold) for text, _, _ in lines[a:b]]
     return "\n\n".join(kept)
 
 

@@ -188,14 +188,56 @@ def test_html_takes_linear_time(bad):
     assert time.process_time() - began < 5
 
 
+def test_html_loses_no_text_of_an_article_behind_links():
+    """A short text behind the article's links stays, whatever stands before it."""
+    links = "".join(f"<li><a href=/{i}>Source {i}</a></li>" for i in range(4))
+    long = "word " * 30
+    got = html_text.main_text(f"<article><h1>Head</h1><p>{long}</p><p>{long}</p><ul>{links}</ul><p>The author thanks the reviewers.</p></article>")
+    assert got == f"Head\n\n{long.strip()}\n\n{long.strip()}\n\nThe author thanks the reviewers."
+    got = html_text.main_text(f"<main><p>{long}</p><ul>{links}</ul><h3>Notes</h3><p>Short note.</p></main>")
+    assert got == f"{long.strip()}\n\nNotes\n\nShort note."
+    named = "<div class=comment-respond>a</div><div class=legal-notice>b</div><div class=adsbygoogle>c</div><div class=skip-link>d</div>"
+    assert html_text.main_text(f"<article><p>text</p>{named}<div class=legal>e</div></article>") == "text\n\ne"
+
+
+def regions_by_force(lines):
+    """Texts of a page without marks: every run of lines between three or more link lines, if one of its window sums surges."""
+    runs = [[]]
+    for i, (text, weight) in enumerate(lines):
+        inside = any(all(not w for _, w in lines[j : j + 3]) for j in range(max(i - 2, 0), min(i, len(lines) - 3) + 1))
+        if inside and weight == 0:
+            runs.append([])
+        else:
+            runs[-1].append((text, weight))
+    sums = [max((sum(w for _, w in run[j : j + 3]) for j in range(len(run))), default=0) for run in runs]
+    threshold = max(1, min(html_text.SURGE, max(sums)))
+    return "\n\n".join(text for run, most in zip(runs, sums) if most >= threshold for text, _ in run)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_pages_without_marks_match_brute_force(seed):
+    """Random pages of paragraphs, scraps and links, none of them told by a name: the sums alone choose the text."""
+    rng = random.Random(seed)
+    lines = []
+    for _ in range(rng.randint(1, 12)):
+        if rng.random() < 0.4:
+            lines += [(f"link {rng.randint(0, 99)}", 0) for _ in range(rng.choice([1, 2, 3, 4, 6]))]
+        else:
+            texts = ["w" * rng.choice([3, 20, 39, 40, 41, 79, 80, 81, 300]) for _ in range(rng.randint(1, 4))]
+            lines += [(t, len(t)) for t in texts]
+    page = "".join(f"<p>{t}</p>" if w else f"<div><a href=x>{t}</a></div>" for t, w in lines)
+    assert html_text.main_text(f"<body>{page}</body>") == regions_by_force(lines)
+
+
 def test_html_distribution_decides():
-    """Where nothing is marked, window sums tell text from menus and scraps; inside an article too."""
+    """Where nothing is marked, window sums tell text from menus and scraps; inside an article only from menus."""
     links = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(5))
     long = "word " * 30
     scrap, body = "<p>Est. 1999</p>", f"<h2>Head</h2><p>{long}a</p><p><a href=s>source</a></p><p>{long}b</p><p>short end</p>"
     want = f"Head\n\n{long}a\n\nsource\n\n{long}b\n\nshort end"
     assert html_text.main_text(f"<div>{scrap}<ul>{links}</ul>{body}</div>") == want
-    assert html_text.main_text(f"<article>{body}<ul>{links}</ul>{scrap}</article>") == want
+    assert html_text.main_text(f"<article>{body}<ul>{links}</ul>{scrap}</article>") == want + "\n\nEst. 1999"
+    assert html_text.main_text(f"<article>{scrap}<ul>{links}</ul>{body}<ul>{links}</ul></article>") == "Est. 1999\n\n" + want
     assert html_text.main_text(f"<div>{scrap}</div>") == "Est. 1999"  # the threshold is never above what a page has
     kept = html_text.main_text(f"<div>{scrap}<p>{'x' * html_text.SURGE}</p><ul>{links}</ul><p>{'y' * (html_text.SURGE - 1)}</p></div>")
     assert kept == "Est. 1999\n\n" + "x" * html_text.SURGE
