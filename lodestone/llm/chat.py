@@ -7,8 +7,9 @@ count (units times the kind's tokens per unit) is recorded beside it.
 
 The template writes each turn as OPEN role CLOSE body END. Every control string begins with "<", and inside
 roles and texts "<" becomes "\\l" and "\\" becomes "\\b" (in roles also "|" becomes "\\p"), so no text can hold a
-control string and the escape is undone exactly. A conversation is one output string, so all its turns meet in one row by definition of the
-result; nothing else is grouped.
+control string and the escape is undone exactly. Numbers of placeholders and places in the output are running sums over a
+conversation's parts, so time grows with its length, not with the square. A conversation is one output string, so all its turns meet
+in one row by definition of the result; nothing else is grouped, and all steps share one shuffle by conversation.
 
 Defined cases: null text or part text is empty; a null role is the empty role; turns are ordered by turn,
 ties by role, then by text; null turns come first; repeated rows stay. A null conv_id is a conversation of
@@ -17,7 +18,7 @@ its own. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,57 +51,66 @@ def _tokens(part: Column) -> Column:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, parts) -> conv_id, formatted, loss_spans (start, end in code points), attachments (n, kind, ref, turn, tokens), n_expanded_tokens."""
-    is_text = lambda p: F.coalesce(p["kind"], F.lit("text")) == "text"
-    each = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(T.ArrayType(PART))).alias("parts")).alias("t"))
-    conv = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    flat = F.flatten(F.transform("turns", lambda t: F.transform(F.filter(t["parts"], lambda p: ~is_text(p)), lambda p: F.struct(t["turn"].alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))))
-    conv = conv.withColumn("attachments", F.transform(flat, lambda a, i: F.struct((i + 1).alias("n"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["turn"].alias("turn"), a["tokens"].alias("tokens"))))
-    # number of attachments before each turn, so that placeholders are numbered through the conversation
-    counts = F.transform("turns", lambda t: F.size(F.filter(t["parts"], lambda p: ~is_text(p))))
-    plain = F.size("attachments") == 0
-    before = F.when(plain, F.transform("turns", lambda t: F.lit(0))).otherwise(
-        F.aggregate(counts, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a["n"] + x).alias("n"), F.concat(a["all"], F.array(a["n"])).alias("all")))["all"])
-    conv = conv.withColumn("before", before)
-
-    def piece(t: Column, at: Column, p: Column, j: Column) -> Column:
-        number = F.when(j == 0, F.lit(0)).otherwise(F.size(F.filter(F.slice(t["parts"], F.lit(1), j), lambda x: ~is_text(x)))) + at + 1
-        mark = F.concat(F.lit("<|"), p["kind"], F.lit(":"), number.cast("string"), F.lit("|>"))
-        return F.when(is_text(p), escaped(F.coalesce(p["text"], F.lit("")))).otherwise(mark)
-
-    body = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.array_join(F.transform(t["parts"], lambda p, j: piece(t, F.get(F.col("before"), i), p, j)), "").alias("body")))
-    conv = conv.withColumn("bodies", body)
-    head = lambda b: F.concat(F.lit(OPEN), F.replace(escaped(b["role"]), F.lit("|"), F.lit("\\p")), F.lit(CLOSE))
-    conv = conv.withColumn("formatted", F.array_join(F.transform("bodies", lambda b: F.concat(head(b), b["body"], F.lit(END))), ""))
-    sizes = F.transform("bodies", lambda b: F.struct((b["role"] == TRAINED_ROLE).alias("loss"), F.length(head(b)).alias("head"), F.length(b["body"]).alias("body")))
-    conv = conv.withColumn("sizes", sizes)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def walk(a: Column, s: Column) -> Column:
-        start = a["at"] + s["head"]
-        span = F.struct(start.alias("start"), (start + s["body"]).alias("end"))
-        return F.struct((start + s["body"] + len(END)).alias("at"), F.when(s["loss"], F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
-
-    conv = conv.withColumn("loss_spans", F.aggregate("sizes", zero, walk)["spans"])
-    total = F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
-    return conv.select("conv_id", "formatted", "loss_spans", "attachments", total.alias("n_expanded_tokens"))
+    filled = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(T.ArrayType(PART))).alias("parts"))
+    placed = filled.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "parts"))).withColumn("last", F.size("parts") - 1)
+    each = placed.select("conv_id", "turn", "role", "at", "last", F.posexplode_outer("parts").alias("j", "p")).withColumn("j", F.coalesce("j", F.lit(0)))
+    each = each.withColumn("is_text", F.coalesce(F.col("p.kind"), F.lit("text")) == "text")
+    # running sums over a conversation's parts: the number of an attachment, and where a piece ends
+    so_far = Window.partitionBy("conv_id").orderBy("at", "j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("n", F.sum((~F.col("is_text")).cast("int")).over(so_far))
+    mark = F.concat(F.lit("<|"), F.col("p.kind"), F.lit(":"), F.col("n").cast("string"), F.lit("|>"))
+    head = F.concat(F.lit(OPEN), F.replace(escaped(F.col("role")), F.lit("|"), F.lit("\\p")), F.lit(CLOSE))
+    each = each.withColumns({
+        "head": F.when(F.col("j") == 0, head).otherwise(""),
+        "body": F.when(F.col("is_text"), escaped(F.coalesce("p.text", F.lit("")))).otherwise(mark),
+        "tail": F.when(F.col("j") >= F.col("last"), END).otherwise(""),
+    }).withColumn("piece", F.concat("head", "body", "tail"))
+    each = each.withColumn("stop", F.sum(F.length("piece").cast("long")).over(so_far))
+    trained = F.col("role") == TRAINED_ROLE
+    start = F.when(trained & (F.col("j") == 0), F.col("stop") - F.length("tail") - F.length("body"))
+    end = F.when(trained & (F.col("j") >= F.col("last")), F.col("stop") - F.length("tail"))
+    attachment = F.when(~F.col("is_text"), F.struct(F.col("n").cast("int").alias("n"), F.col("p.kind").alias("kind"), F.col("p.ref").alias("ref"), "turn", _tokens(F.col("p")).alias("tokens")))
+    conv = each.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "j", "piece", start.alias("start"), end.alias("end"), attachment.alias("attachment")))).alias("all"))
+    known = lambda name: F.filter(F.transform("all", lambda x: x[name]), lambda v: v.isNotNull())
+    spans = F.zip_with(known("start"), known("end"), lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+    conv = conv.select("conv_id", F.array_join(F.transform("all", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss_spans"), known("attachment").alias("attachments"))
+    return conv.withColumn("n_expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text) and loss text, recovered from the formatted string and its loss spans alone."""
-    df = formatted.withColumn("segments", F.split("formatted", r"<\|end\|>"))
-    df = df.withColumn("segments", F.slice("segments", F.lit(1), F.greatest(F.size("segments") - 1, F.lit(0))))
-    head = lambda s: F.substring_index(s, CLOSE, 1)
-    role = lambda s: unescaped(F.replace(F.substring(head(s), F.lit(len(OPEN) + 1), F.length(s)), F.lit("\\p"), F.lit("|")))
-    turns = F.transform("segments", lambda s: F.struct(role(s).alias("role"), unescaped(F.substring(s, F.length(head(s)) + len(CLOSE) + 1, F.length(s))).alias("text")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
-    return df.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
+    """conv_id, turns (role, text), loss text and length, recovered from the formatted string and its loss spans alone.
+
+    The string is cut at END. A span of the mask reads the segment whose body begins where it does.
+    """
+    segments = F.split("formatted", r"<\|end\|>")
+    segments = F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0)))
+    none = lambda kind: F.lit(None).cast(kind)
+    event = lambda i, segment, start, end: F.struct(i.alias("i"), segment.alias("segment"), start.alias("start"), end.alias("end"))
+    cut = F.transform(segments, lambda s, i: event(i, s, none("long"), none("long")))
+    mask = F.transform("loss_spans", lambda s: event(none("int"), none("string"), s["start"], s["end"]))
+    # what is read of a whole string or array is computed below its explode, or each row would carry it
+    whole = formatted.select("conv_id", F.length("formatted").cast("long").alias("n_chars"), F.concat(mask, cut).alias("events"))
+    each = whole.select("conv_id", "n_chars", F.explode("events").alias("e")).select("conv_id", "n_chars", "e.*")
+    head = F.substring_index("segment", CLOSE, 1)
+    opened = F.length(head) + len(CLOSE)
+    so_far = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.coalesce(F.length("segment") + len(END), F.lit(0)).cast("long")
+    each = each.withColumn("at", F.coalesce("start", F.sum(size).over(so_far) - size + opened))
+    each = each.withColumn("masked", F.max(F.col("end") - F.col("at")).over(Window.partitionBy("conv_id", "at"))).filter(F.col("segment").isNotNull())
+    role = unescaped(F.replace(F.substring(head, F.lit(len(OPEN) + 1), F.length(head)), F.lit("\\p"), F.lit("|")))
+    text = unescaped(F.substring("segment", opened + 1, F.length("segment")))
+    loss = unescaped(F.substring("segment", opened + 1, F.col("masked").cast("int")))
+    each = each.select("conv_id", "n_chars", F.struct("i", role.alias("role"), text.alias("text"), loss.alias("loss")).alias("t"))
+    conv = each.groupBy("conv_id").agg(F.max("n_chars").alias("n_chars"), F.sort_array(F.collect_list("t")).alias("all"))
+    turns = F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return conv.select("conv_id", "n_chars", turns.alias("turns"), F.array_join(F.transform("all", lambda t: t["loss"]), "").alias("loss_text"))
 
 
 def digest(conversations: DataFrame) -> DataFrame:
     """The contract's columns per conversation, read back from the formatted output."""
     back = read_back(format_conversations(text_parts(conversations)))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text"), 256).alias("loss_sha256"), F.col("n_chars").alias("formatted_chars"))
 
 
 def probe_rows(conversations: DataFrame) -> DataFrame:

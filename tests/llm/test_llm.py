@@ -625,6 +625,33 @@ def test_chat_parts(spark):
     assert r["n_expanded_tokens"] == 1099
 
 
+def test_chat_takes_linear_time(spark):
+    """One conversation of 100,000 turns, and one turn of 20,000 parts: a list copied at every step would take minutes."""
+    turns = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text < "), F.col("id")).alias("text"))
+    began = time.perf_counter()
+    r = chat.digest(turns).first()
+    assert time.perf_counter() - began < 20
+    said = "".join(f"text < {i}" for i in range(1, 100_000, 2))
+    assert r["n_turns"] == 100_000 and r["loss_chars"] == len(said) and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    kinds = F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.struct(F.when(i % 2 == 0, "image").otherwise("text").alias("kind"), F.lit("t").alias("text"), i.cast("string").alias("ref"), i.cast("long").alias("units")))
+    began = time.perf_counter()
+    r = chat.format_conversations(spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), kinds.alias("parts"))).first()
+    assert time.perf_counter() - began < 20
+    assert len(r["attachments"]) == 10_000 and r["attachments"][-1]["n"] == 10_000 and r["formatted"].endswith("t<|image:10000|><|end|>")
+    assert [tuple(s) for s in r["loss_spans"]] == [(len("<|turn:assistant|>"), len(r["formatted"]) - len("<|end|>"))]
+
+
+def test_chat_null_and_repeated_turns(spark):
+    """Null ids are a conversation of their own, null turns come first, repeated rows stay, turns without parts are empty."""
+    rows = [(None, None, "user", "a", 1), (None, 0, None, None, 1), (None, 0, "assistant", "b", 1), (None, 0, "assistant", "b", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long")
+    r = chat.read_back(chat.format_conversations(chat.text_parts(df))).first()
+    assert [tuple(t) for t in r["turns"]] == [("user", "a"), ("", ""), ("assistant", "b"), ("assistant", "b")] and r["loss_text"] == "bb"
+    bare = spark.createDataFrame([(1, 0, "assistant", None), (1, 1, "assistant", [])], "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,units:long>>")
+    r = chat.format_conversations(bare).first()
+    assert r["formatted"] == "<|turn:assistant|><|end|>" * 2 and len(r["loss_spans"]) == 2 and r["n_expanded_tokens"] == 0
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
 
