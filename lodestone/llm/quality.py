@@ -11,7 +11,7 @@ The sample: at most SAMPLE_ROWS texts of at most SAMPLE_CHARS characters, one te
 partitions that hold enough of them; no other partition is read, and nothing is shuffled.
 
 Defined cases: a null or blank text has no words, all metrics 0, and fails min_words. Extra columns pass
-through; metrics and helper columns are prefixed so that they cannot clash with them. Repeated rows and ties are judged each on
+through accepted(), whatever their names; metrics() and cascade() add columns that begin with OWN, so theirs must not. Repeated rows and ties are judged each on
 its own; null ids stay. An empty table gives an empty table.
 """
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, words_of
+from .common import WORD, boxed, unboxed, words_of
 
 #: Prefix of the columns that the cascade adds.
 OWN = "_q_"
@@ -171,8 +171,9 @@ def cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
 
 
 def accepted(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """Rows of docs that every rule accepts, with the columns of docs."""
-    return cascade(docs, text, **options).filter(_c("kept")).select(*docs.columns)
+    """Rows of docs that every rule accepts, with the columns of docs, whatever their names."""
+    rows = boxed(docs, text=F.col("`" + text.replace("`", "``") + "`"))
+    return unboxed(cascade(rows, "text", **options).filter(_c("kept")))
 
 
 def report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

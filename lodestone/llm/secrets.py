@@ -242,18 +242,18 @@ def masked(text: str, spans: list[tuple]) -> str:
 
 def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """docs with the secrets in text masked and n_chars, where there, brought up to date; the columns stay."""
-    schema = docs.schema
+    names, text = docs.columns, docs.columns.index("text")
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names that hold dots stop an Arrow function
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(text).to_pylist()
             new = [t if t is None else masked(t, s) for t, s in zip(texts, _scanned([t or "" for t in texts], scanner), strict=True)]
-            k = batch.schema.get_field_index("text")
-            batch = batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
-            yield batch
-
-    out = docs.mapInArrow(scan, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return out
+            yield batch.set_column(text, batch.schema.field(text), pa.array(new, batch.schema.field(text).type))
+
+    out = numbered.mapInArrow(scan, numbered.schema)
+    if "n_chars" in names:
+        k = names.index("n_chars")
+        out = out.withColumn(f"c{k}", F.length(f"c{text}").cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*names)
