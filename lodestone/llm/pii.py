@@ -8,12 +8,13 @@ given name by the gender of its title, so a surname alone and in a full name are
 
 An entity's surrogate comes from a keyed digest of its type and canonical form. Letters become letters, digits digits,
 octets octets; top-level domains, country codes and titles stay; card numbers that pass their check digit
-pass it again, account numbers get theirs; names are built from syllables of the name's script, with endings by gender and
-hyphens where the name has them. A mention gives its surrogate its own case and separators.
+pass it again, account numbers get theirs; names are built from syllables of the name's script (Latin, Cyrillic, Greek), with endings by gender and
+hyphens or an apostrophe where the name has them. A mention gives its surrogate its own case and separators.
 
 Collisions: surrogates of all entities are compared over the whole table, with each other and with the originals; of
 entities that share one, the first keeps it and the others draw again, alone. The space grows with the draws (longer names, more
-letters or digits), so the rounds end however many entities there are. Distinct entities stay distinct, mentions of one entity
+letters or digits, IPv6 addresses of eight full groups), so the rounds end however many entities there are. IPv4 addresses do not grow: they
+are drawn again among 254^4, close to all that there can be. Distinct entities stay distinct, mentions of one entity
 equal everywhere. Only texts with entities are shuffled; an entity named very often is a skewed join key of small rows.
 
 Defined cases: null text stays null, null ids stay; rows that repeat are rewritten alike. Extra columns pass through replaced(),
@@ -29,12 +30,14 @@ from .common import boxed, materialize
 
 #: Nothing begins inside a word or number.
 START = r"(?<![\p{L}\p{N}_])"
+#: A number from 0 to 255, of at most three digits.
+OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
 #: What an entity of each type looks like. Order matters: the first that fits at a place wins.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "account": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![.+-])(?:\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4}(?:-\d{4}){3}(?:-\d{1,3})?|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}|\d{14,16}|\d{19})(?![A-Za-z0-9])",
-    "ip": r"(?<!\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![A-Za-z0-9]|\.\d)",
+    "ip": r"(?<!\.)" + r"\.".join([OCTET] * 4) + r"(?![A-Za-z0-9]|\.\d)",
     "ip6": r"(?=[0-9A-Fa-f])(?=[0-9A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){0,5}:)[0-9A-Fa-f]{1,4}(?![\w:])",
     "phone": r"(?:\+\d{1,3}[^\w\n]{1,6}\d{2,4}[^\w\n]{1,6}\d{3}[^\w\n]{0,6}\d{4}(?![A-Za-z0-9])|\+\d(?:[ .()/ -]{0,3}\d){6,14}(?![A-Za-z0-9])|\(\d{3}\) ?\d{3}[ .-]\d{4}(?![A-Za-z0-9])|(?<![.+-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![A-Za-z0-9-]))",
     "social": r"(?<!-)\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])",
@@ -47,13 +50,14 @@ TITLES = {
 }
 PARTICLES = "de|del|della|da|di|du|van|von|der|den|ter|la|le|bin|ibn|al|el|af|av|zu|y|e"
 _TITLE = r"(?:" + "|".join(TITLES.values()) + r")\.?+ "
-_WORD = r"\p{Lu}\p{L}*+(?:['’-]\p{L}++)*+"
+#: Behind an apostrophe stand two letters or more, so that a possessive s is no part of a name.
+_WORD = r"\p{Lu}\p{L}*+(?:['’]\p{L}{2,}+|-\p{L}++)*+"
 _LEAD = rf"(?:\p{{Lu}}\. |(?:{PARTICLES}) )"
 NAME = rf"(?=[\p{{Lu}}])(?:{_TITLE})++{_LEAD}{{0,5}}{_WORD}(?: {_LEAD}{{0,5}}{_WORD}){{0,2}}"
 PLAIN = START + "(?:" + "|".join(PATTERNS.values()) + ")"
 ANY = START + "(?:" + "|".join([*PATTERNS.values(), NAME]) + ")"
 KINDS = (*PATTERNS, "name")
-SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(), "cyrillic": "ба бе ви во га да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то".split()}
+SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(), "cyrillic": "ба бе ви во га да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то".split(), "greek": "βα βε βι βο γα γε γι γο δα δε δι δο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο πα πε πι πο ρα ρε ρι ρο σα σε σι σο τα τε τι το".split()}
 #: Country codes of one and two digits; all others have three.
 COUNTRY_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: From this draw on, surrogates of fixed length grow by a letter or digit with each draw.
@@ -113,15 +117,16 @@ def _like(value: Column, stream: Column) -> Column:
 def _word(canonical: Column, stream: Column, draw: int) -> Column:
     """A name's word: class (s, gf, gm, gx), a space, the word in lower case."""
     kind, word = F.substring_index(canonical, " ", 1), F.substring_index(canonical, " ", -1)
-    cyrillic = word.rlike(r"\p{IsCyrillic}")
+    apostrophe = F.regexp_extract(word, "['’]", 0)
 
     def built(script: str, a: str, n: str) -> Column:
         sounds = F.array(*[F.lit(x) for x in SYLLABLES[script]])
         parts = F.transform(F.sequence(F.lit(0), F.lit(2 + draw)), lambda i: F.get(sounds, _byte(stream, i) % len(SYLLABLES[script])))
-        plain, hyphened = F.array_join(parts, ""), F.concat(F.array_join(F.slice(parts, 1, 2), ""), F.lit("-"), F.array_join(F.slice(parts, 3, 1 + draw), ""))
+        plain = F.concat(F.substring(F.array_join(parts, ""), 1, 1), apostrophe, F.substring(F.array_join(parts, ""), 2, 2 * (3 + draw)))
+        hyphened = F.concat(F.array_join(F.slice(parts, 1, 2), ""), F.lit("-"), F.array_join(F.slice(parts, 3, 1 + draw), ""))
         return F.concat(F.when(word.contains("-"), hyphened).otherwise(plain), F.when(kind == "gf", a).when(kind == "gm", n).otherwise(""))
 
-    return F.when(cyrillic, built("cyrillic", "а", "н")).otherwise(built("latin", "a", "n"))
+    return F.when(word.rlike(r"\p{IsCyrillic}"), built("cyrillic", "а", "н")).when(word.rlike(r"\p{IsGreek}"), built("greek", "α", "ς")).otherwise(built("latin", "a", "n"))
 
 
 def made(kind: Column, canonical: Column, draw: int, key: str) -> Column:
@@ -142,8 +147,8 @@ def made(kind: Column, canonical: Column, draw: int, key: str) -> Column:
     hexed = F.array_join(F.transform(_chars(canonical), lambda c, i: F.when(c == ":", c).otherwise(F.substring(stream, i + 1, F.lit(1)))), "")
     return (
         F.when(kind == "email", F.concat(local, letters, F.lit("@"), host, end))
-        .when(kind == "ip", F.concat(octets, F.lit(f":{more}" if more else "")))
-        .when(kind == "ip6", F.concat(hexed, F.lit(f"%{more}" if more else "")))
+        .when(kind == "ip", octets)
+        .when(kind == "ip6", F.concat_ws(":", *[F.substring(stream, 4 * i + 1, 4) for i in range(8)]) if more else hexed)
         .when(kind == "account", F.concat(country, account_check(country, body), body))
         .when(kind == "phone", F.concat(code, F.substring(like, F.length(code) + 1, F.length(like)), digits))
         .when(kind == "card", F.when(luhn_valid(canonical), F.concat(payload, check)).otherwise(F.concat(like, digits)))
@@ -160,7 +165,7 @@ def rendered(kind: Column, value: Column, surrogate: Column) -> Column:
     spread = F.array_join(F.transform(of, lambda c, i: F.when(c.rlike(kept), F.substring(surrogate, nth(i), F.lit(1))).otherwise(c)), "")
     rest = F.substring(surrogate, F.length(F.regexp_replace(value, r"[^A-Za-z0-9+]", "")) + 1, F.length(surrogate))
     upper = (F.upper(value) == value) & (F.lower(value) != value)
-    hyphened = F.array_join(F.transform(F.split(surrogate, "-"), lambda w: F.initcap(w)), "-")
+    hyphened = F.array_join(F.transform(F.split(surrogate, "(?<=['’-])"), lambda w: F.initcap(w)), "")
     return (
         F.when(kind == "email", F.when(upper, F.upper(surrogate)).otherwise(surrogate))
         .when(kind == "name", F.when(upper & (F.length(value) > 1), F.upper(surrogate)).otherwise(hyphened))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import ipaddress
 import itertools
 import random
 import re
@@ -584,6 +585,40 @@ def test_surrogates(spark):
     assert re.fullmatch(r"Prof\. Dr\. (\w+-\w+) \w+-\w+ and Mr\. J\. R\. de la (\w+) left; \1 and \2 stayed\. Mr\. \w+", got[9]["text"]) and "Cruz" not in got[9]["text"]
 
 
+def test_surrogates_keep_script_format_and_type(spark):
+    rows = [
+        (1, "Mr. Γιώργος Παπάς wrote; Παπάς agreed."), (2, "Mr. Sean O'Neil and Ms. Ann O’Hara; O'Neil left. O'NEIL"), (3, "999.999.999.999 and 256.1.1.1 stay; 255.254.1.0 goes"),
+        (4, "Mr. Smith's wife met Smith."), *[(100 + i, f"1::{i:x}") for i in range(256)], *[(1000 + i, f"10.0.{i // 250}.{i % 250}") for i in range(1000)],
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    name = re.fullmatch(r"Mr\. ([\u0370-\u03ff]+) ([\u0370-\u03ff]+) wrote; ([\u0370-\u03ff]+) agreed\.", got[1]).groups()
+    assert name[1] == name[2] and not {"Γιώργος", "Παπάς"} & set(name)
+    a, b, c, d = re.fullmatch(r"Mr\. \w+ (\w'\w+) and Ms\. \w+ (\w’\w+); (\w'\w+) left\. (\w'\w+)", got[2]).groups()
+    assert a == c and d == a.upper() and a[2].isupper() and a != "O'Neil" and b != "O’Hara"
+    assert re.fullmatch(r"999\.999\.999\.999 and 256\.1\.1\.1 stay; \d+\.\d+\.\d+\.\d+ goes", got[3]) and "255.254.1.0" not in got[3]
+    smith = re.fullmatch(r"Mr\. (\w+)'s wife met (\w+)\.", got[4]).groups()
+    assert smith[0] == smith[1] != "Smith"
+    six = [got[100 + i] for i in range(256)]
+    four = [got[1000 + i] for i in range(1000)]
+    assert len(set(six)) == 256 and not set(six) & {f"1::{i:x}" for i in range(256)} and all(ipaddress.IPv6Address(x) for x in six)
+    assert len(set(four)) == 1000 and all(ipaddress.IPv4Address(x) for x in four)
+
+
+def test_columns_of_any_name_pass(spark):
+    """Columns with the names of helpers, null ids and repeated rows go through all that returns the columns of documents."""
+    names = ["doc", "row", "found", "_q_note", "_q_kept", "_q_text", "key", "kind", "shard", "place", "h", "n", "a.b", "entities", "parts", "size", "block"]
+    text = " ".join(f"word{i} stands here" for i in range(60))
+    schema = "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c}` string" for c in names)
+    rows = [(i if i % 4 else None, f"{text} {i} told {'xyz'[i % 3]}{i * 7919}", "s", "en", *names) for i in range(8)] + [(None, None, None, None, *names)]
+    df = spark.createDataFrame(rows, schema)
+    for keep in (quality.accepted, secrets.redact, simhash.one_of_each, mixing.mixed):
+        out = keep(df)
+        assert out.columns == df.columns, keep
+        assert all([r[c] for c in names] == names for r in out.collect()), keep
+    out = pii.replaced(df, "k")
+    assert out.columns == [*df.columns, "entities_"] and out.count() == 9
+
+
 def test_surrogates_stay_distinct_when_the_space_is_small(spark):
     """More one-letter addresses and surnames than short surrogates: the space grows, and equal stays equal."""
     letters = "abcdefghijklmnopqrstuvwxyz"
