@@ -257,6 +257,17 @@ def dict_summary(spark, sf):
     return dictionaries.summary(_points(spark, sf))
 
 
+@query(_DICTS + " select field, term, array_to_string(full_values, '|') as full_values from dict", ("point_v",))
+def dict_by_deltas(spark, sf):
+    """The dictionaries of all points, from a state to which sources are added in three steps; one source comes twice and goes once."""
+    points = _points(spark, sf)
+    source = F.coalesce(F.col("source"), F.lit(""))
+    a, b, c = (points.filter(p) for p in (source < "k", (source >= "k") & (source < "s"), source >= "s"))
+    state = dictionaries.changed(dictionaries.value_counts(a), fresh=b)
+    state = dictionaries.changed(cut(state, "values"), fresh=c.unionByName(b), gone=b)
+    return dictionaries.dictionary(dictionaries.valued(cut(state, "values"))).select("field", "term", F.array_join("full_values", "|").alias("full_values"))
+
+
 _TERMS = """, terms as (select distinct lower(trim(regexp_replace(v, '\\s+', ' ', 'g'))) as term from (select unnest([project_title, author, advisor]) as v from point_v) where v is not null)"""
 _TOKENS = "select distinct token from (select unnest(regexp_extract_all(lower(term), '[a-z0-9]+')) as token from {t}) where length(token) > 2 and token not in (" + ", ".join(f"'{w}'" for w in dictionaries.STOP_WORDS) + ")"
 _PROTECTED = _TERMS + ", phrases as (select term from terms union select lower(unnest([alias, canonical])) from aliases where kind in ('advisor', 'staff')), ptok as (" + _TOKENS.format(t="phrases") + ")"

@@ -17,6 +17,31 @@ def likely_author(value: Column) -> Column:
     return (F.size(words) >= 2) & ~any_of(words, NON_NAME_WORDS)
 
 
+def value_counts(points: DataFrame) -> DataFrame:
+    """field, value, n: how many points have a value, of all fields that dictionaries and protected terms are made of.
+
+    The state from which dictionaries follow without their points: it grows with distinct values, and changes by changed().
+    """
+    fields = [c for c in ("project_title", "title", "author", "advisor", "keywords") if c in points.columns]
+    each = points.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in fields])).alias("v")).select("v.*")
+    return each.filter("value is not null").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def changed(counts: DataFrame, fresh: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """counts after points are added and others are gone; only these are read. A value that no point has any more is left out."""
+    rows = counts.select("field", "value", "n")
+    if fresh is not None:
+        rows = rows.unionByName(value_counts(fresh))
+    if gone is not None:
+        rows = rows.unionByName(value_counts(gone).withColumn("n", -F.col("n")))
+    return rows.groupBy("field", "value").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def valued(counts: DataFrame) -> DataFrame:
+    """counts as rows of one value each: all functions of this module that list values give for it what they give for its points."""
+    return counts.select(*[F.when(F.col("field") == c, F.col("value")).alias(c) for c in ("project_title", "title", "author", "advisor", "keywords")])
+
+
 def titles(points: DataFrame) -> DataFrame:
     """Distinct non-empty titles."""
     columns = [c for c in ("project_title", "title") if c in points.columns]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
@@ -18,10 +18,17 @@ def select_sources(files: DataFrame, mode: str = "all", names: tuple[str, ...] =
 
 
 def page_table(documents: DataFrame) -> DataFrame:
-    """One row per page with text; page_number and total_pages count blank pages too (S2, S3). A source of any size is numbered in ranges."""
-    df = numbered(documents.select("source", "doc_id", F.col("text").alias("content")), "source", [F.col("doc_id")])
-    df = df.select("source", (F.col("nth") + 1).cast("int").alias("page_number"), F.col("n_all").cast("int").alias("total_pages"), "content")
-    return df.filter(has_text(F.col("content")))
+    """One row per page with text; page_number and total_pages count blank pages too.
+
+    A source of any size is numbered in ranges, by its ids alone; numbers and texts meet in a join by id, the one shuffle of the texts.
+    Blank pages need no text, so they end before it. Rows that repeat an id get its numbers in any order.
+    """
+    ids = numbered(documents.select("source", "doc_id", has_text(F.col("text")).alias("_full")), "source", [F.col("doc_id"), F.col("_full").desc()])
+    ids = ids.groupBy(F.col("source").alias("_source"), F.col("doc_id").alias("_id")).agg(F.min("nth").alias("_first"), F.first("n_all").alias("_all"), F.max("_full").alias("_any"))
+    texts = documents.select("source", "doc_id", F.col("text").alias("content")).filter(has_text(F.col("content")))
+    df = texts.join(ids.filter("_any"), F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    nth = F.col("_first") + F.row_number().over(Window.partitionBy("source", "doc_id").orderBy("doc_id"))
+    return df.select("source", nth.cast("int").alias("page_number"), F.col("_all").cast("int").alias("total_pages"), "content")
 
 
 def drop_blank(pages: DataFrame) -> DataFrame:

@@ -168,6 +168,13 @@ def test_numbers_in_ranges_are_those_of_a_sort(spark):
     assert got == sorted(want)
 
 
+def test_pages_are_numbered_by_ids_alone(spark):
+    rows = [("a", 3, "z"), ("a", 1, " "), ("a", 2, "x"), ("a", 2, "x"), ("a", 2, None), (None, 5, "n"), ("b", None, "u"), ("c", 1, "")]
+    df = spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(3)
+    got = sorted(((r["source"] or "", r["page_number"], r["total_pages"], r["content"]) for r in pages.page_table(df).collect()))
+    assert got == [("", 1, 1, "n"), ("a", 2, 5, "x"), ("a", 3, 5, "x"), ("a", 5, 5, "z"), ("b", 1, 1, "u")]
+
+
 def test_a_bad_page_does_not_stop_the_others_and_bad_storage_stops_the_batch(spark, tmp_path):
     rows = spark.createDataFrame([("good", 1, "x"), ("bad", 1, "y"), ("bad", 2, "z"), ("fine", 1, "z")], "source string, page_number int, content string")
     rows.write.parquet(str(tmp_path / "in"))

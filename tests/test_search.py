@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import cells, filters, search, store
+from lodestone.operators import cells, dictionaries, filters, search, store
 from lodestone.operators.pointindex import PointIndex
 from lodestone.functions import encoders
 from lodestone.plans import retrieval
@@ -160,3 +160,42 @@ def test_too_many_patterns_are_refused(spark, monkeypatch):
 
 def test_capped_terms_scan_all_unless_told(spark, points):
     assert store.capped(points).count() == 160 and store.capped(points, 7).agg(F.max("point_id")).first()[0] == 6
+
+
+def valued_rows(n=200, seed=6):
+    rng = random.Random(seed)
+    pick = lambda *xs: rng.choice([None, "", " ", *xs])
+    return [(i, "text", f"s{i % 5}", pick("Rice Mill", " Rice Mill ", "Fish, Pond"), pick("John Doe, Ann Lee", "Ann Lee", "wlan system"), pick("Dr. Kim", "dr. kim"), pick("iot, rice", "rice,,iot ", "bio"), "2014") for i in range(n)]
+
+
+VALUED = "point_id long, content string, source string, project_title string, author string, advisor string, keywords string, year string"
+
+
+def test_dictionaries_follow_from_counts_without_their_points(spark):
+    rows = valued_rows()
+    table = lambda some: spark.createDataFrame(some, VALUED)
+    aliases = spark.createDataFrame([("staff", 1, "pat", "Dr. Pat", None)], ALIASES)
+    as_set = lambda df: {tuple(map(str, r)) for r in df.collect()}
+    counts = dictionaries.value_counts(table(rows[:50]))
+    for low, high in ((50, 120), (120, 200)):
+        counts = dictionaries.changed(counts, table(rows[low:high]))
+    for gone in ([], rows[:150], rows):
+        left = dictionaries.valued(dictionaries.changed(counts, gone=table(gone)) if gone else counts)
+        kept = table(rows[len(gone) :])
+        assert as_set(dictionaries.dictionary(left)) == as_set(dictionaries.dictionary(kept))
+        assert as_set(dictionaries.protected(left, aliases)) == as_set(dictionaries.protected(kept, aliases))
+
+
+def test_a_corpus_grows_by_what_is_new(spark, tmp_path):
+    first, more = (encoders.embed_documents(spark.createDataFrame(rows, VALUED)) for rows in (valued_rows()[:150], valued_rows()[150:] + [(900, "new fish", "z", "A New Title", "Joe Moe", None, None, "2001")]))
+    aliases = spark.createDataFrame([], ALIASES)
+    path = str(tmp_path / "points")
+    first.write.parquet(path)
+    grown = retrieval.Corpus.prepared(spark.read.parquet(path), aliases).extended(more)
+    whole = retrieval.Corpus.prepared(first.unionByName(more), aliases)
+    for field in ("dictionary", "protected", "counts"):
+        assert {tuple(map(str, r)) for r in getattr(grown, field).collect()} == {tuple(map(str, r)) for r in getattr(whole, field).collect()}
+        assert not any(path in f for f in getattr(grown, field).inputFiles())
+    q = spark.createDataFrame([(1, "joe moe fish"), (2, "rice mill")], "question_id long, question string")
+    hits = [{(r["question_id"], r["point_id"]) for r in c.searched(q)[1].collect()} for c in (grown, whole)]
+    assert hits[0] == hits[1] and (1, 900) in hits[0]
