@@ -24,10 +24,11 @@ def page_table(documents: DataFrame) -> DataFrame:
     Blank pages need no text, so they end before it. Rows that repeat an id get its numbers in any order.
     """
     ids = numbered(documents.select("source", "doc_id", has_text(F.col("text")).alias("_full")), "source", [F.col("doc_id"), F.col("_full").desc()])
-    ids = ids.groupBy(F.col("source").alias("_source"), F.col("doc_id").alias("_id")).agg(F.min("nth").alias("_first"), F.first("n_all").alias("_all"), F.max("_full").alias("_any"))
-    texts = documents.select("source", "doc_id", F.col("text").alias("content")).filter(has_text(F.col("content")))
-    df = texts.join(ids.filter("_any"), F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    nth = F.col("_first") + F.row_number().over(Window.partitionBy("source", "doc_id").orderBy("doc_id"))
+    key = F.struct("source", "doc_id")  # equal where both are, nulls too; join and window share its partitioning
+    ids = ids.groupBy(key.alias("_key")).agg(F.min("nth").alias("_first"), F.first("n_all").alias("_all"), F.max("_full").alias("_any"))
+    texts = documents.select("source", key.alias("_key"), F.col("text").alias("content")).filter(has_text(F.col("content")))
+    df = texts.join(ids.filter("_any"), "_key")
+    nth = F.col("_first") + F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     return df.select("source", nth.cast("int").alias("page_number"), F.col("_all").cast("int").alias("total_pages"), "content")
 
 
