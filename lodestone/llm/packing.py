@@ -33,6 +33,8 @@ CLOSING_ID = 1
 CLASS_WIDTH = 8
 #: The program ends when its bound shows that no more than this share of sequences could still be saved.
 TOLERANCE, MOST_ROUNDS = 1e-4, 4000
+#: Least sound pivot of the simplex, and what counts as a tie of its ratios.
+PIVOT, TIED = 1e-7, 1e-9
 #: Bytes of words and ids that a Python worker keeps, with the overhead of an entry, before it begins anew.
 KEPT_BYTES, ENTRY_BYTES = 256 << 20, 200
 #: ASCII punctuation, which the tokenizer never joins to letters before it.
@@ -189,6 +191,19 @@ def _times(inverse: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return (inverse * vector).sum(1)
 
 
+def _leaving(uses: np.ndarray, step: np.ndarray) -> int | None:
+    """The pattern that a new one replaces: of those used up first (ties but for rounding), the one with the largest pivot.
+
+    Ties are common, and a tiny pivot among them would make the basis singular. None where no pivot is sound.
+    """
+    ratios = np.where(step > PIVOT, uses / np.where(step > PIVOT, step, 1), np.inf)
+    least = ratios.min()
+    if not np.isfinite(least):
+        return None
+    tied = np.flatnonzero(ratios <= least + TIED * max(1.0, least))
+    return int(tied[step[tied].argmax()])
+
+
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(patterns by row, uses, lower bound) of the linear program min sum(uses), patterns' uses meeting demand; revised simplex."""
     basis, uses = first_basis(sizes, demand, capacity)
@@ -202,15 +217,18 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
         if price <= 1 + TOLERANCE:
             break
         step = _times(inverse, pattern)
-        ratios = np.where(step > 1e-9, uses / np.where(step > 1e-9, step, 1), np.inf)
-        out = int(ratios.argmin())
-        moved = ratios[out]
+        out = _leaving(uses, step)
+        if out is None:  # rounding has spoilt the inverse: the patterns so far meet the demand, and the plan repairs them
+            break
+        moved = uses[out] / step[out]
         uses = np.maximum(uses - moved * step, 0)
         uses[out] = moved
         basis[:, out] = pattern
         if turn % 64 == 0:  # rounding errors do not add up
-            inverse = inverted(basis)
-            uses = np.maximum(_times(inverse, demand), 0)
+            again = inverted(basis)
+            if not np.isfinite(again).all():  # singular but for rounding
+                break
+            inverse, uses = again, np.maximum(_times(again, demand), 0)
         else:
             row = inverse[out] / step[out]
             inverse -= np.outer(step, row)

@@ -364,6 +364,26 @@ def test_column_generation_reaches_the_bound():
     assert sum(t for _, t in packing.plan({100: 30, 70: 30, 86: 30}, 256)) == 30  # filling largest first would waste a sequence in four
 
 
+#: Pieces of 1 to 255 units for which tied pivots once made the basis singular, and the uses NaN.
+TIED_PIECES = (
+    "62 320 411 393 166 134 248 182 212 191 129 135 147 179 147 252 205 280 394 396 360 348 300 362 449 351 337 316 428 559 422 457 449 384 518 "
+    "358 452 374 346 406 446 369 449 452 423 420 378 413 475 336 387 327 353 430 452 320 517 367 400 358 361 407 254 343 326 412 450 320 263 342 "
+    "395 346 262 296 402 287 370 281 309 254 221 219 282 255 243 315 299 303 320 266 300 307 275 176 275 325 251 190 252 296 283 316 240 571 344 "
+    "215 238 227 231 210 314 139 156 167 157 138 196 177 199 199 239 182 174 166 149 195 161 165 120 152 155 120 105 150 223 141 158 137 164 168 "
+    "110 106 155 130 108 154 89 93 118 116 135 129 101 134 167 144 99 95 117 100 133 121 92 123 138 126 110 140 121 102 144 104 114 127 88 100 "
+    "106 96 123 91 85 81 97 97 78 100 77 86 68 75 92 56 91 66 90 141 79 98 93 113 89 72 81 79 141 85 76 73 63 79 63 86 81 53 78 55 78 59 74 65 80 "
+    "64 57 49 78 78 53 76 78 72 67 59 57 105 58 60 47 43 57 45 56 35 58 44 54 37 43 56 30 57 57 56 49 36 42 "
+)
+
+
+def test_ties_of_pivots_keep_the_basis_sound():
+    histogram = {i + 1: int(n) for i, n in enumerate(TIED_PIECES.split())}
+    plan = packing.plan(histogram, 256)
+    assert slots_of(plan, 256) == histogram
+    assert sum(t for _, t in plan) <= sum(s * n for s, n in histogram.items()) / 256 + 3
+    assert packing._leaving(np.zeros(2), np.array([1e-12, -1.0])) is None and packing._leaving(np.zeros(3), np.array([1e-3, 2.0, -1.0])) == 1
+
+
 def test_word_memory_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_BYTES", 2_000)
     words = packing.WordTokenizer(packing.default_tokenizer())
