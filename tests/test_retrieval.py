@@ -318,3 +318,13 @@ def test_streams_equal_batch(spark, small):
     chunks = catalog.QUERIES["chunk_stats"](spark, small)
     assert {r["source"]: r["n_points"] for r in points.collect()} == {r["source"]: r["n_chunks"] for r in chunks.collect()}
     assert catalog.QUERIES["stream_latency"](spark, small).count() == 145
+
+
+def test_streams_read_tables_that_are_folders(spark, small, tmp_path):
+    for name in ("documents", "conversations"):
+        spark.read.parquet(f"{small}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("embeddings", "part", "nation"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in ("stream_ingest", "stream_answers"):
+        got, whole = (catalog.QUERIES[query](spark, str(d)).collect() for d in (tmp_path, small))
+        assert got and sorted(got) == sorted(whole)
