@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,21 @@ def test_a_corpus_grows_by_what_is_new(spark, tmp_path):
     q = spark.createDataFrame([(1, "joe moe fish"), (2, "rice mill")], "question_id long, question string")
     hits = [{(r["question_id"], r["point_id"]) for r in c.searched(q)[1].collect()} for c in (grown, whole)]
     assert hits[0] == hits[1] and (1, 900) in hits[0]
+
+
+def test_tasks_keep_the_best_alone_and_score_a_bounded_number_of_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(0, 3, (400, 4)).astype(float)  # many equal scores
+    units = search._units(vectors)
+    ids, matrix = np.arange(60) * 10, search._units(rng.integers(0, 3, (60, 4)).astype(float))
+    monkeypatch.setattr(search, "PAIRS_AT_ONCE", 500)
+    for names in (np.arange(400), np.array([f"p{i:03}" for i in range(400)], object)):
+        best = search._Best(ids, matrix, 7)
+        for i in range(0, 400, 90):
+            best.meet(0, 40, names[i : i + 90], units[i : i + 90])
+            best.meet(40, 20, names[i : i + 90], units[i : i + 90])
+            assert sum(len(q) for q, _, _ in best.held) <= 60 * 7 + 2 * 500
+        (got,) = best.frames()
+        scores = np.round(matrix @ units.T, search.DIGITS)
+        want = [(int(ids[q]), names[p], scores[q, p]) for q in range(60) for p in sorted(range(400), key=lambda p: (-scores[q, p], names[p]))[:7]]
+        assert list(got.itertuples(index=False, name=None)) == want
