@@ -328,3 +328,8 @@ def test_streams_read_tables_that_are_folders(spark, small, tmp_path):
     for query in ("stream_ingest", "stream_answers"):
         got, whole = (catalog.QUERIES[query](spark, str(d)).collect() for d in (tmp_path, small))
         assert got and sorted(got) == sorted(whole)
+
+
+def test_filters_on_fields_do_not_repeat_the_steps_before(spark, small):
+    plan = catalog.QUERIES["authors"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^(Mr") == 1  # each line is tested for a name once
