@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import cells, dictionaries, filters, search, store
-from lodestone.operators.pointindex import PointIndex
+from lodestone.operators.pointindex import PointIndex, token_frequencies
 from lodestone.functions import encoders
 from lodestone.plans import retrieval
 
@@ -93,6 +93,20 @@ def test_pair_scores_with_and_without_the_index(spark, points):
         assert got == pytest.approx(want)
 
 
+def test_reranked_hits_read_written_points(spark, small):
+    from lodestone import catalog
+
+    for name in ("rerank_topn", "context_text"):
+        assert not [f for f in catalog.QUERIES[name](spark, small).inputFiles() if "documents.parquet" in f], name
+
+
+def test_frequencies_of_wanted_tokens_alone(spark, points):
+    wanted = spark.createDataFrame([("rice",), ("unheard",)], "token string")
+    every = {r["token"]: r["df"] for r in PointIndex.build(points).tokens.collect()}
+    assert {r["token"]: r["df"] for r in token_frequencies(points, wanted).collect()} == {"rice": every["rice"]}
+    assert PointIndex.build(points, False).tokens is None
+
+
 @pytest.mark.parametrize("k, n_cells, block", [(1, None, 10_000), (6, 40, 7), (50, 3, 10_000), (500, 5, 10_000)])
 def test_cells_give_what_all_points_give(spark, points, questions, monkeypatch, k, n_cells, block):
     monkeypatch.setattr(search, "BROADCAST_QUESTIONS", block)
