@@ -232,3 +232,11 @@ def test_tasks_keep_the_best_alone_and_score_a_bounded_number_of_pairs(monkeypat
         scores = np.round(matrix @ units.T, search.DIGITS)
         want = [(int(ids[q]), names[p], scores[q, p]) for q in range(60) for p in sorted(range(400), key=lambda p: (-scores[q, p], names[p]))[:7]]
         assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_pages_of_parts_are_made_by_as_many_tasks_as_a_shuffle_has_parts(spark, small):
+    from lodestone.sources.fixtures import view
+
+    front = view(spark, small, "front_v")
+    assert "REPARTITION_BY_NUM" in front._jdf.queryExecution().executedPlan().toString()
+    assert front.count() == 6 * view(spark, small, "part").count()
