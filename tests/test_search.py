@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import cells, dictionaries, filters, search, store
+from lodestone.operators import cells, dictionaries, filters, normalize, search, store
 from lodestone.operators.pointindex import PointIndex, token_frequencies
 from lodestone.functions import encoders
 from lodestone.plans import retrieval
+from lodestone.sources.tables import cut
 
 POINT = "point_id long, vector array<double>, content string, " + ", ".join(f"{c} string" for c in store.FILTERABLE)
 ALIASES = "kind string, ord int, alias string, canonical string, pattern string"
@@ -240,3 +241,21 @@ def test_pages_of_parts_are_made_by_as_many_tasks_as_a_shuffle_has_parts(spark,
     front = view(spark, small, "front_v")
     assert "REPARTITION_BY_NUM" in front._jdf.queryExecution().executedPlan().toString()
     assert front.count() == 6 * view(spark, small, "part").count()
+
+
+def test_phrases_of_the_same_words_are_not_all_candidates(spark, monkeypatch):
+    """Titles made of few words share all trigrams; a text meets those that it may contain, whether their grams travel to it or not."""
+    words = [a + b for a in ("al", "be", "co", "du") for b in ("mond", "rick", "ver")]
+    titles = sorted({f"project {a} {b} {c}" for a in words for b in words for c in words if a < b < c})
+    texts = spark.createDataFrame([(i, f"of {t} and more") for i, t in enumerate(titles)], "i long, t string")
+    phrases = spark.createDataFrame([(t,) for t in [*titles, "more", "du", "absent"]], "p string")
+    want = sorted([*enumerate(titles), *[(i, "more") for i in range(len(titles))]])
+    made = []
+    monkeypatch.setattr(normalize, "cut", lambda df, name="step": made.append((name, cut(df, name))) or made[-1][1])
+    for most in (normalize.BROADCAST_GRAMS, 0):
+        monkeypatch.setattr(normalize, "BROADCAST_GRAMS", most)
+        got = normalize.containing(texts, "t", phrases, "p")
+        assert sorted((r["i"], r["p"]) for r in got.collect()) == want
+        keys = dict(made)["keys"]
+        assert keys.groupBy("_gram").count().agg(F.max("count")).first()[0] < 30  # 220 titles; by trigrams alone one key is of 50 or more
+        assert "BroadcastExchange" not in normalize.containing(texts, "t", phrases, "p")._jdf.queryExecution().executedPlan().toString() or most
