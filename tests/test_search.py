@@ -259,3 +259,15 @@ def test_phrases_of_the_same_words_are_not_all_candidates(spark, monkeypatch):
         keys = dict(made)["keys"]
         assert keys.groupBy("_gram").count().agg(F.max("count")).first()[0] < 30  # 220 titles; by trigrams alone one key is of 50 or more
         assert "BroadcastExchange" not in normalize.containing(texts, "t", phrases, "p")._jdf.queryExecution().executedPlan().toString() or most
+
+
+def test_pairs_are_scored_without_texts(spark, small, monkeypatch):
+    """What scoring writes and shuffles holds no text of a point; of texts only those of kept hits are written."""
+    from lodestone import catalog
+
+    made = []
+    monkeypatch.setattr(catalog, "cut", lambda df, name="step": made.append((name, cut(df, name))) or made[-1][1])
+    kept = catalog._kept_with_texts(spark, small)
+    assert {name for name, df in made if "content" in df.columns} == {"texts"}
+    assert dict(made)["texts"].count() == kept.select("point_id").distinct().count()
+    assert not kept.filter("content is null or length(content) <> n_chars").count()
