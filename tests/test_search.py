@@ -271,3 +271,39 @@ def test_pairs_are_scored_without_texts(spark, small, monkeypatch):
     assert {name for name, df in made if "content" in df.columns} == {"texts"}
     assert dict(made)["texts"].count() == kept.select("point_id").distinct().count()
     assert not kept.filter("content is null or length(content) <> n_chars").count()
+
+
+def test_vectors_travel_once_and_meet_only_scored_points(spark, small, monkeypatch):
+    """What pair_scores writes holds no vector but those of questions; pairs are keys and scores."""
+    from lodestone import catalog
+
+    made = []
+    for module in (catalog, search):
+        monkeypatch.setattr(module, "cut", lambda df, name="step": made.append((name, cut(df, name))) or made[-1][1])
+    hits = catalog._pairs(spark, small)[1]
+    assert {name for name, df in made if {"vector", "qvec"} & set(df.columns)} == {"asked"}
+    assert {c for name, df in made if name == "pairs" for c in df.columns} == {"question_id", "point_id", "score", "rank"}
+    assert hits.count() == spark.read.parquet(f"{small}/documents.parquet").filter("doc_id % 50 = 0").count() * 20
+
+
+def test_blocks_of_questions_read_points_found_once(spark, points, questions, monkeypatch):
+    made = []
+    monkeypatch.setattr(search, "cut", lambda df, name="step": made.append((name, cut(df, name))) or made[-1][1])
+    monkeypatch.setattr(search, "BROADCAST_QUESTIONS", 7)
+    vectors = points.select("point_id", "vector").union(points.filter("point_id < 9").select(F.col("point_id") + 1000, "vector"))
+    hits = search.semantic_topk(questions, points.drop("vector"), 6, vectors=vectors)
+    assert found(hits) == brute(question_rows(), point_rows(), 6)
+    (written,) = [df for name, df in made if name == "found"]
+    assert len([1 for name, _ in made if name == "hits"]) > 2
+    assert written.count() == written.select("point_id").distinct().count()  # once, however many filters find a point
+
+
+def test_postings_of_the_fields_that_filters_name(spark, points, questions, monkeypatch):
+    from lodestone.operators import pointindex
+
+    made = []
+    monkeypatch.setattr(pointindex, "cut", lambda df, name="step": made.append((name, cut(df, name))) or made[-1][1])
+    years = questions.filter("filters['year'] is not null and size(filters) = 1")
+    want = brute([r for r in question_rows() if r[2] == {"year": ["2011"]}], point_rows(), 4)
+    assert found(search.semantic_topk(years, points, 4)) == want
+    assert {r["field"] for r in dict(made)["postings"].select("field").distinct().collect()} == {"year"}
