@@ -307,3 +307,12 @@ def test_postings_of_the_fields_that_filters_name(spark, points, questions, monk
     want = brute([r for r in question_rows() if r[2] == {"year": ["2011"]}], point_rows(), 4)
     assert found(search.semantic_topk(years, points, 4)) == want
     assert {r["field"] for r in dict(made)["postings"].select("field").distinct().collect()} == {"year"}
+
+
+def test_metadata_answers_read_no_documents_for_their_questions(spark, small):
+    """Ids of questions come from the vectors' table, hits from what is written."""
+    from lodestone import catalog
+
+    read = catalog.QUERIES["metadata_answer"](spark, small)
+    assert not [f for f in read.inputFiles() if "documents.parquet" in f or "part.parquet" in f]
+    assert read.count() == spark.read.parquet(f"{small}/documents.parquet").filter("doc_id % 50 = 0").count()
